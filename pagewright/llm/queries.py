@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pagewright.llm import op8_exact_dedup as exact
 from pagewright.llm.op5_token_counts import op5_token_counts
+from pagewright.llm.op7_sharding import op7_sharding
+from pagewright.llm.op8_exact_dedup import op8_exact_dedup
+from pagewright.llm.op10_bpe_codec import op10_bpe_codec
 
-QUERIES = {f.__name__: f for f in (op5_token_counts,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op7_sharding, op8_exact_dedup, op10_bpe_codec)}
+ORACLES = {"op8_exact_dedup": exact.ORACLE}

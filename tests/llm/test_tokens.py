@@ -37,3 +37,52 @@ def test_counts_documents(spark):
     got = {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
     rows = docs.collect()
     assert got == dict(zip([r.doc_id for r in rows], library([r.text or "" for r in rows]), strict=True))
+
+
+def tiktoken_ids(texts):
+    import tiktoken
+
+    from pagewright.llm.op10_bpe_codec import VOCABULARY
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    return [enc.encode_ordinary(t) for t in texts]
+
+
+def test_encode_words():
+    from pagewright.llm.op10_bpe_codec import VOCABULARY
+
+    ranks, pick = bpe.read_ranks(VOCABULARY), random.Random(7)
+    words = ["".join(pick.choice("aeé日nstThion😀") for _ in range(pick.randint(1, 80))) for _ in range(2000)]
+    assert [bpe.encode_word(w.encode(), ranks) for w in words] == tiktoken_ids(words)
+
+
+def test_codec(spark, odd):
+    import hashlib
+
+    from pagewright.llm import op10_bpe_codec as codec
+
+    texts = [t or "" for t in ODD]
+    want = dict(enumerate(tiktoken_ids(texts)))
+    encoded = codec.encode(odd, buckets=7)
+    rows = encoded.collect()
+    assert len(rows) == odd.count()
+    assert all(r.ids == want[r.doc_id] for r in rows if r.doc_id not in (None, 3))
+    assert all(bytes(r.bytes) == texts[r.doc_id].encode() for r in codec.decode(encoded).collect() if r.doc_id is not None)
+    for r in codec.round_trip_digests(odd).collect():
+        if r.doc_id not in (None, 3):
+            assert r.n_tokens == len(want[r.doc_id])
+            assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want[r.doc_id])).encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert codec.encode(odd.limit(0)).count() == 0
+
+
+def test_codec_documents(spark):
+    import hashlib
+
+    from pagewright.llm.op10_bpe_codec import op10_bpe_codec
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in op10_bpe_codec(spark, "/root/testdata/sf0.001").collect()}
+    for r, ids in zip(rows, tiktoken_ids([r.text or "" for r in rows]), strict=True):
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
