@@ -169,3 +169,40 @@ def counter(path: str, pattern: str):
         return len(parts) - 1 + sum(map(plain, parts))
 
     return count
+
+
+@lru_cache(maxsize=2)
+def json_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes to id and special string to id, from a tokenizer's JSON whose ids follow the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    vocab, of = held["model"]["vocab"], byte_symbols()
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in held["model"]["merges"]]
+    if merged != sorted(merged) or merged and merged[0] < 256:
+        raise ValueError(f"{path}: ids don't follow the order of merges")
+    return {bytes(of[c] for c in word): i for word, i in vocab.items()}, {x["content"]: x["id"] for x in held.get("added_tokens", [])}
+
+
+def encoder(path: str, pattern: str):
+    """text -> its ids as bytes of 16-bit numbers, special strings in a text being one id each."""
+    import numpy as np
+    import tiktoken
+
+    ranks, special = json_ranks(path)
+    if max([*ranks.values(), *special.values()]) >= 1 << 16:
+        raise ValueError(f"{path}: ids over 16 bits")
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    literal = Remembered(lambda x: np.array(encode(x), "<u2").tobytes())
+    split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    marks = {k: np.array([i], "<u2").tobytes() for k, i in special.items()}
+
+    def plain(text: str) -> bytes:
+        cut = literals(text)
+        return b"".join([literal[x] for x in cut]) if cut is not None else np.array(encode(text), "<u2").tobytes()
+
+    def ids(text: str) -> bytes:
+        if split is None or not split.search(text):
+            return plain(text)
+        return b"".join([marks[x] if x in marks else plain(x) for x in split.split(text)])
+
+    return ids
