@@ -24,9 +24,9 @@ ROW_POSITIONS = 400_000
 #: Words are dealt to the encoders by hash in so many buckets; a row holds the words of one block and bucket.
 BUCKETS = 512
 
-_PACKED = "block long, kind int, bucket int, ids array<long>, a binary, b binary, c binary"
-_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-WORDS, TEXTS = 0, 1
+#: key: where a row is dealt to, the block's number or, below zero, the bucket of words.
+_PACKED = "key long, block long, ids array<long>, a binary, b binary, c binary"
+_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def _pack(numbers) -> bytes:
@@ -70,7 +70,7 @@ class _Block:
         self.bytes += len(text)
 
     def texts(self) -> tuple:
-        row = (self.number, TEXTS, -1, self.ids, _pack(self.places), _pack(self.sizes), None)
+        row = (self.number, self.number, self.ids, _pack(self.places), _pack(self.sizes), None)
         self.ids, self.sizes, self.places = [], [], []
         return row
 
@@ -83,7 +83,7 @@ class _Block:
         for bucket, own in enumerate(held):
             if own:
                 own.sort()
-                yield (self.number, WORDS, bucket, None, _pack([i for _, i in own]), zstandard.compress(b"".join(w for w, _ in own), 3), _pack([len(w) for w, _ in own]))
+                yield (-1 - bucket, self.number, None, _pack([i for _, i in own]), zstandard.compress(b"".join(w for w, _ in own), 3), _pack([len(w) for w, _ in own]))
 
 
 def _explode(pattern: str, buckets: int):
@@ -109,28 +109,27 @@ def _explode(pattern: str, buckets: int):
 
 
 def _encode(path: str):
-    """Words become ids; the rows of a bucket come together, and each of its distinct words is encoded once."""
+    """Words become ids, dealt back to their block; the rows of a bucket come together, and each of its distinct words is encoded once."""
 
     def work(batches):
         ranks = bpe.read_ranks(path)
         known: dict[bytes, list[int]] = {}
         bucket = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == WORDS:
-                    if row["bucket"] != bucket:
-                        bucket, known = row["bucket"], {}
-                    joined, sizes = zstandard.decompress(row["b"]), _unpack(row["c"]).tolist()
-                    ids, counts, start = [], [], 0
-                    for n in sizes:
-                        word = joined[start : start + n]
-                        start += n
-                        if (own := known.get(word)) is None:
-                            own = known[word] = bpe.encode_word(word, ranks)
-                        ids += own
-                        counts.append(len(own))
-                    row |= {"b": _pack(ids), "c": _pack(counts)}
-                yield _rows([tuple(row.values())])
+            for key, block, _, at, joined, sizes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key >= 0:
+                    continue
+                if key != bucket:
+                    bucket, known = key, {}
+                joined, ids, counts, start = zstandard.decompress(joined), [], [], 0
+                for n in _unpack(sizes).tolist():
+                    word = joined[start : start + n]
+                    start += n
+                    if (own := known.get(word)) is None:
+                        own = known[word] = bpe.encode_word(word, ranks)
+                    ids += own
+                    counts.append(len(own))
+                yield _rows([(block, block, None, at, _pack(ids), _pack(counts))])
 
     return work
 
@@ -141,39 +140,35 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _reassemble(finish):
+def _reassemble(finish, schema: str):
     """Positions become ids by the block's table of words; finish gets document ids, offsets and ids of several texts."""
-
-    def work(batches):
-        block, parts, lookup = None, [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != block:
-                    block, parts, lookup = row["block"], [], None
-                if row["kind"] == WORDS:
-                    parts.append((_unpack(row["a"]), _unpack(row["b"]), _unpack(row["c"])))
-                    continue
-                if lookup is None:
-                    at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, "u4")
-                    ids = np.concatenate([p[1] for p in parts]) if parts else at
-                    counts = (np.concatenate([p[2] for p in parts]) if parts else at).astype("i8")
-                    starts, sizes = np.zeros(len(at), "i8"), np.zeros(len(at), "i8")
-                    starts[at], sizes[at] = np.cumsum(counts) - counts, counts
-                    lookup, parts = (ids.astype("i4"), starts, sizes), []
-                places, of = _unpack(row["a"]), _unpack(row["b"]).astype("i8")
-                each = lookup[2][places]
-                ids = _gather(lookup[0], lookup[1][places], each)
-                ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(of)])]
-                yield finish(row["ids"], ends, ids)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def work(key, texts: pa.Table, words: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # a bucket of words, encoded by now
+            return finish([], np.zeros(1, "i8"), np.zeros(0, "i4")).slice(0, 0)
+        at, ids, counts = ([_unpack(x) for x in words.column(c).to_pylist()] for c in "abc")
+        at, ids, counts = (np.concatenate(x) if x else np.zeros(0, "u4") for x in (at, ids, counts))
+        counts = counts.astype("i8")
+        starts, sizes = np.zeros(len(at), "i8"), np.zeros(len(at), "i8")
+        starts[at], sizes[at] = np.cumsum(counts) - counts, counts
+        ids, out = ids.astype("i4"), []
+        for doc_ids, places, of in zip(texts.column("ids").to_pylist(), texts.column("a").to_pylist(), texts.column("b").to_pylist(), strict=True):
+            places, of = _unpack(places), _unpack(of).astype("i8")
+            each = sizes[places]
+            ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(of)])]
+            out.append(finish(doc_ids, ends, _gather(ids, starts[places], each)))
+        return pa.concat_tables(out).select(names)
 
     return work
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, buckets: int, finish, schema: str) -> DataFrame:
+    """Two exchanges: words go to their bucket and texts to their block in the first, ids follow to the block in the second. Texts wait where the first one put them."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    exploded = texts.mapInArrow(_explode(pattern, buckets), _PACKED)
-    encoded = exploded.repartition(F.expr("if(kind = 0, bucket, block)")).sortWithinPartitions("kind", "bucket").mapInArrow(_encode(vocabulary), _PACKED)
-    return encoded.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_reassemble(finish), schema)
+    dealt = texts.mapInArrow(_explode(pattern, buckets), _PACKED).repartition("key")
+    encoded = dealt.sortWithinPartitions("key").mapInArrow(_encode(vocabulary), _PACKED).repartition("key")
+    return dealt.groupBy("key").cogroup(encoded.groupBy("key")).applyInArrow(_reassemble(finish, schema), schema)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, buckets: int = BUCKETS) -> DataFrame:
@@ -187,7 +182,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
 
     def finish(doc_ids, ends, ids):
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
+        return pa.table({"id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
 
     return _run(docs, id_col, text_col, vocabulary, pattern, buckets, finish, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -226,8 +221,8 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for start, stop in zip(ends, ends[1:], strict=False):
             own = ids[start:stop].tolist()
             rows.append((stop - start, hashlib.sha256(",".join([written[i] for i in own]).encode()).hexdigest(), hashlib.sha256(b"".join([held[i] for i in own])).hexdigest()))
-        counts, a, b = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        counts, a, b = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
     return _run(docs, id_col, text_col, vocabulary, pattern, buckets, finish, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
