@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagewright.llm import op8_exact_dedup as exact
 from pagewright.llm.op2_lattice import op2_lattice
+from pagewright.llm.op3_toxicity import op3_toxicity
 from pagewright.llm.op4_simhash import op4_simhash
 from pagewright.llm.op5_token_counts import op5_token_counts
 from pagewright.llm.op6_packing import op6_packing
@@ -11,5 +12,5 @@ from pagewright.llm.op7_sharding import op7_sharding
 from pagewright.llm.op8_exact_dedup import op8_exact_dedup
 from pagewright.llm.op10_bpe_codec import op10_bpe_codec
 
-QUERIES = {f.__name__: f for f in (op2_lattice, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op10_bpe_codec)}
 ORACLES = {"op8_exact_dedup": exact.ORACLE}
