@@ -10,7 +10,8 @@ from pagewright.llm.op5_token_counts import op5_token_counts
 from pagewright.llm.op6_packing import op6_packing
 from pagewright.llm.op7_sharding import op7_sharding
 from pagewright.llm.op8_exact_dedup import op8_exact_dedup
+from pagewright.llm.op9_quality import op9_quality
 from pagewright.llm.op10_bpe_codec import op10_bpe_codec
 
-QUERIES = {f.__name__: f for f in (op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec)}
 ORACLES = {"op8_exact_dedup": exact.ORACLE}
