@@ -264,3 +264,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+def good_rows(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of docs, all columns as they are, that the scorer gives at least ``keep``."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([sent.value.probability(hashed(x, *measures(x))) >= keep for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
