@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import op8_exact_dedup as exact
+from pagewright.llm.op1_lm_score import op1_lm_score
 from pagewright.llm.op2_lattice import op2_lattice
 from pagewright.llm.op3_toxicity import op3_toxicity
 from pagewright.llm.op4_simhash import op4_simhash
@@ -13,5 +14,5 @@ from pagewright.llm.op8_exact_dedup import op8_exact_dedup
 from pagewright.llm.op9_quality import op9_quality
 from pagewright.llm.op10_bpe_codec import op10_bpe_codec
 
-QUERIES = {f.__name__: f for f in (op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec)}
 ORACLES = {"op8_exact_dedup": exact.ORACLE}
