@@ -62,13 +62,23 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
-def wer_python(base: pd.Series, pred: pd.Series) -> pd.Series:
-    def one(b: str | None, p: str | None) -> float | None:
-        b, p = (b or "").split(), (p or "").split()
-        return edit_distance(b, p) / len(b) if b and p else None
+def _py_wer(b: str | None, p: str | None) -> float | None:
+    b, p = (b or "").split(), (p or "").split()
+    return edit_distance(b, p) / len(b) if b and p else None
 
-    return pd.Series([one(b, p) for b, p in zip(base, pred, strict=True)], dtype="float64")
+
+def _by_pairs(one, base: str | Column, pred: str | Column) -> Column:
+    """A number for each pair of texts, worked out batch by batch."""
+
+    def work(b: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(b, p, strict=True)], dtype="float64")
+
+    return F.pandas_udf(work, "double")(base, pred)
+
+
+def wer_python(base: str | Column, pred: str | Column) -> Column:
+    """As wer, for any number of words."""
+    return _by_pairs(_py_wer, base, pred)
 
 
 def disagreement(rows: DataFrame, page: str, model: str, text: str) -> DataFrame:
@@ -143,21 +153,19 @@ def compared(base: str | None, pred: str | None) -> dict | None:
     }
 
 
-@F.udf(schemas.TEXT_COMPARISON, useArrow=True)
-def text_comparison(base, pred):
+def text_comparison(base: str | Column, pred: str | Column) -> Column:
     """The diff of two texts; sequence matching is order-bound and has no counterpart among built-in functions."""
-    return compared(base, pred)
+    return F.udf(compared, schemas.TEXT_COMPARISON, useArrow=True)(base, pred)
 
 
-@F.pandas_udf("double")
-def similarity(base: pd.Series, pred: pd.Series) -> pd.Series:
-    """Matching share of the tokens of two texts, 0 to 100; null where either is empty."""
+def _py_similarity(b: str | None, p: str | None) -> float | None:
+    b, p = (b or "").strip(), (p or "").strip()
+    return opcodes(py_tokens(b), py_tokens(p))[1] if b and p else None
 
-    def one(b: str | None, p: str | None) -> float | None:
-        b, p = (b or "").strip(), (p or "").strip()
-        return opcodes(py_tokens(b), py_tokens(p))[1] if b and p else None
 
-    return pd.Series([one(b, p) for b, p in zip(base, pred, strict=True)], dtype="float64")
+def similarity(base: str | Column, pred: str | Column) -> Column:
+    """Matching share of the tokens of two texts, 0 to 100; null where either is empty."""
+    return _by_pairs(_py_similarity, base, pred)
 
 
 def row_classes(codes: list[tuple]) -> list[tuple[str, int | None, int | None]]:

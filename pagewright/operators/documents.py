@@ -77,7 +77,8 @@ def from_layout(name: str, payload: str | None, categories: dict[str, str] | Non
     return {"name": name, "page": {"width": width, "height": height}, "items": items}
 
 
-markdown_document = F.udf(from_markdown, schemas.DOCUMENT, useArrow=True)
+def markdown_document(name: str | Column, text: str | Column) -> Column:
+    return F.udf(from_markdown, schemas.DOCUMENT, useArrow=True)(name, text)
 
 
 def layout_document(categories: dict[str, str] | None = None, resized: bool = False, **limits):

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagewright.plans import on_documents, on_events, on_layout, on_sampling, on_streams, on_text
+from pagewright.plans.named import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "on_documents", "on_events", "on_layout", "on_sampling", "on_streams", "on_text"]
