@@ -22,7 +22,7 @@ EDGE = TOKENS
 #: Tokens seen on either side, width of the hidden layer.
 WINDOW, WIDTH = 2, 16
 #: Positions in a training step and in a scoring step; step size of both trainings, seed.
-STEP, BATCH, RATE, SEED = 4096, 1 << 15, 0.1, 1
+STEP, BATCH, RATE, SEED = 1 << 13, 1 << 14, 0.1, 1
 #: Documents of the first, small training, and how often it goes through them.
 WARM_DOCUMENTS, WARM_ROUNDS = 400, 3
 #: Pieces in which networks are summed up.
@@ -62,58 +62,63 @@ class Network:
         return cls(*out)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        """context: 2 * WINDOW rows of tokens."""
+        """A column for each position; context: 2 * WINDOW rows of tokens."""
         h = self.near[0][context[0]]
         for k in range(1, 2 * WINDOW):
             h += self.near[k][context[k]]
         h += self.shift
-        return np.tanh(h, out=h)
+        return np.ascontiguousarray(np.tanh(h, out=h).T)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target between its neighbours."""
-        h, group, member = self.hidden(context), target // MEMBERS, target % MEMBERS
-        out = _log_softmax_at(h @ self.group + self.group_bias, group)
-        for g, rows in _by_group(group):
-            out[rows] += _log_softmax_at(h[rows] @ self.member[g] + self.member_bias[g], member[rows])
+        order, slices = _by_group(target // MEMBERS)
+        target = target[order]
+        h, group, member = self.hidden(context[:, order]), target // MEMBERS, target % MEMBERS
+        own = _log_softmax_at(self.group.T @ h + self.group_bias[:, None], group)
+        for g, at in slices:
+            own[at] += _log_softmax_at(self.member[g].T @ h[:, at] + self.member_bias[g][:, None], member[at])
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log probability, for parts()."""
         n = np.float32(len(target))
+        order, slices = _by_group(target // MEMBERS)
+        context, target = context[:, order], target[order]
         h, group, member = self.hidden(context), target // MEMBERS, target % MEMBERS
-        off = _softmax_less_one(h @ self.group + self.group_bias, group) / n
+        off = _softmax_less_one(self.group.T @ h + self.group_bias[:, None], group) / n
         d_member, d_member_bias = np.zeros_like(self.member), np.zeros_like(self.member_bias)
-        back = off @ self.group.T
-        for g, rows in _by_group(group):
-            own = h[rows]
-            below = _softmax_less_one(own @ self.member[g] + self.member_bias[g], member[rows]) / n
-            d_member[g], d_member_bias[g] = own.T @ below, below.sum(axis=0)
-            back[rows] += below @ self.member[g].T
+        back = self.group @ off
+        for g, at in slices:
+            own = h[:, at]
+            below = _softmax_less_one(self.member[g].T @ own + self.member_bias[g][:, None], member[at]) / n
+            d_member[g], d_member_bias[g] = own @ below.T, below.sum(axis=1)
+            back[:, at] += self.member[g] @ below
         back *= 1 - h * h
-        columns = np.ascontiguousarray(back.T)
-        d_near = np.stack([np.stack([np.bincount(c, x, TOKENS + 1) for x in columns], axis=1) for c in context]).astype("f4")
-        return [d_near, back.sum(axis=0), h.T @ off, off.sum(axis=0), d_member, d_member_bias]
+        d_near = np.stack([np.stack([np.bincount(c, x, TOKENS + 1) for x in back], axis=1) for c in context]).astype("f4")
+        return [d_near, back.sum(axis=1), h @ off.T, off.sum(axis=1), d_member, d_member_bias]
 
 
-def _by_group(group: np.ndarray):
-    order = np.argsort(group, kind="stable")
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order in which positions of one group stand together, and where each group that occurs stands in it."""
+    order = np.argsort(group.astype("u1"), kind="stable")
     edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if edges[g] < edges[g + 1]:
-            yield g, order[edges[g] : edges[g + 1]]
+    return order, [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(at)), at]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+    """Columns of scores to the log probability of one row in each."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(len(at))]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def _softmax_less_one(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    x[np.arange(len(at)), at] -= 1
+    x /= x.sum(axis=0)
+    x[at, np.arange(len(at))] -= 1
     return x
 
 
@@ -133,7 +138,11 @@ class Trainer:
 def windows(documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Contexts (2 * WINDOW rows) and targets of every token of every document."""
     edge = [EDGE] * WINDOW
-    line = np.array([t for d in documents for t in (*edge, *d)] + edge, "i4")
+    joined: list[int] = []
+    for d in documents:
+        joined += edge
+        joined += d
+    line = np.array(joined + edge, "i4")
     at = np.flatnonzero(line != EDGE)
     return np.stack([line[at + k] for k in range(-WINDOW, WINDOW + 1) if k]), line[at]
 
