@@ -70,8 +70,8 @@ def smart_resize(height: Column, width: Column, factor: int = 28, min_pixels: in
     h, w = height.cast("double"), width.cast("double")
     near = lambda x: F.greatest(F.lit(float(factor)), F.bround(x / factor) * factor)
     area = near(h) * near(w)
-    shrink, grow = F.sqrt(h * w / max_pixels), F.sqrt(F.lit(float(min_pixels)) / (h * w))
-    floor = lambda x: F.floor(x / shrink / factor) * factor
+    shrink, grow = F.sqrt(h * w / max_pixels), F.sqrt(F.try_divide(F.lit(float(min_pixels)), h * w))
+    floor = lambda x: F.floor(F.try_divide(x, shrink) / factor) * factor
     ceil = lambda x: F.ceil(x * grow / factor) * factor
     pick = lambda x: F.when(area > max_pixels, floor(x)).when(area < min_pixels, ceil(x)).otherwise(near(x)).cast("bigint")
     return F.struct(pick(h).alias("h"), pick(w).alias("w"))

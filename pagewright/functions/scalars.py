@@ -87,7 +87,7 @@ def human_duration(seconds: Column) -> Column:
 
 def snippet(texts: Column, length: int) -> Column:
     """Stripped non-empty texts joined by a dot until they make up the length, on one line, cut with an ellipsis."""
-    own = F.filter(F.transform(texts, F.trim), lambda x: F.length(x) > 0)
+    own = F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
     step = lambda a, x: F.when(a["n"] >= length, a).otherwise(F.struct(F.when(a["n"] == 0, x).otherwise(F.concat(a["s"], F.lit(" · "), x)).alias("s"), (a["n"] + F.length(x)).alias("n")))
     line = F.replace(F.aggregate(own, start, step)["s"], F.lit("\n"), F.lit(" "))

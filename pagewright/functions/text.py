@@ -43,7 +43,7 @@ def wer(base: str, pred: str) -> Column:
     Each distinct word becomes one code point, so that the character distance of the rewritten texts is the word distance.
     Null, too, beyond the code points that don't collide with surrogates: such pairs are for ``wer_python``.
     """
-    words = lambda c: F.filter(F.split(stripped(c), r"\s+"), lambda w: w != "")
+    words = lambda c: F.filter(F.split(stripped(c), r"(?U)\s+"), lambda w: w != "")
     b, p = words(base), words(pred)
     known = F.array_distinct(F.concat(b, p))
     point = lambda w: F.lpad(F.hex(F.array_position(known, w) + (_FIRST_WORD - 1)), 8, "0")

@@ -62,8 +62,8 @@ def row_pages(df: DataFrame, parent: str, index: str, path: str | None = None) -
 def text_references(pages: DataFrame, root: str) -> DataFrame:
     """reference_text of each page from <root>/<page id with .txt for its suffix>, else <root>/<stem>.txt; null without either."""
     texts = pages.sparkSession.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
-    base = root.rstrip("/") + "/"
-    relative = F.regexp_replace(F.substring_index("p", base, -1), "^/", "")
+    base = root.split("://")[-1].split(":", 1)[-1].strip("/") + "/"
+    relative = F.substring_index(F.col("p"), base, -1)
     texts = texts.select(relative.alias("rel"), "text")
     full = F.concat(F.regexp_replace("page_id", r"\.[^./]*$", ""), F.lit(".txt"))
     stem = F.concat(F.regexp_replace(F.regexp_extract("page_id", r"([^/]+)$", 1), r"\.[^./]*$", ""), F.lit(".txt"))
