@@ -44,12 +44,12 @@ def wer(base: str, pred: str) -> Column:
     Null, too, beyond the code points that don't collide with surrogates: such pairs are for ``wer_python``.
     """
     words = lambda c: F.filter(F.split(stripped(c), r"(?U)\s+"), lambda w: w != "")
-    b, p = words(base), words(pred)
-    known = F.array_distinct(F.concat(b, p))
-    point = lambda w: F.lpad(F.hex(F.array_position(known, w) + (_FIRST_WORD - 1)), 8, "0")
-    written = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, point), "")), "UTF-32")
-    fits = (F.size(b) > 0) & (F.size(p) > 0) & (F.size(known) <= _WORD_POINTS)
-    return F.when(fits, F.levenshtein(written(b), written(p)) / F.size(b))
+    point = lambda w, known: F.lpad(F.hex(F.array_position(known, w) + (_FIRST_WORD - 1)), 8, "0")
+    written = lambda ws, known: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: point(w, known)), "")), "UTF-32")
+    # one-element arrays bind what is used more than once, so it is worked out once
+    bound = F.transform(F.array(F.struct(words(base).alias("b"), words(pred).alias("p"))), lambda s: F.struct(s["b"].alias("b"), s["p"].alias("p"), F.array_distinct(F.concat(s["b"], s["p"])).alias("k")))
+    fits = lambda s: (F.size(s["b"]) > 0) & (F.size(s["p"]) > 0) & (F.size(s["k"]) <= _WORD_POINTS)
+    return F.transform(bound, lambda s: F.when(fits(s), F.levenshtein(written(s["b"], s["k"]), written(s["p"], s["k"])) / F.size(s["b"])))[0]
 
 
 def edit_distance(a: list, b: list) -> int:
