@@ -8,7 +8,11 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 
 #: Where a text may be cut in front of a blank without touching a pre-token: nowhere inside a run of white space.
 _INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
@@ -124,27 +128,30 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def literals(text: str) -> list[str] | None:
-    """text in literals that each begin with their blank (but the first), so that no pre-token crosses two of them; None if it can't be cut so.
+    """text split at its blanks, each part but the first to be read with a blank in front, so that no pre-token crosses two parts; None if it can't be cut so.
 
     A blank begins a pre-token of its own unless it stands inside a run of white space; texts with such a blank
     have to be matched as they stand.
     """
-    if _INNER_BLANK.search(text):
-        return None
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+    return None if _INNER_BLANK.search(text) else text.split(" ")
 
 
 class Remembered(dict):
-    """work(key) for each key, kept for short keys; emptied when it holds ``most`` entries, so memory is bounded."""
+    """work(key) for each key, kept for short keys in two generations of ``most`` entries at the most.
 
-    def __init__(self, work, most: int = 400_000):
-        self.work, self.most = work, most
+    A full generation becomes the old one; what is asked for again moves on, so frequent keys stay and memory is bounded.
+    """
+
+    def __init__(self, work, most: int = 250_000):
+        self.work, self.most, self.old = work, most, {}
 
     def __missing__(self, key):
-        value = self.work(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
         if len(key) < LONG:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -156,11 +163,12 @@ def counter(path: str, pattern: str):
     split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     find = regex.compile(pattern).findall
     word = Remembered(lambda w: merged_count(w.encode(), merges, first))
-    literal = Remembered(lambda x: sum([word[w] for w in find(x)]))
+    whole = lambda text: sum([word[w] for w in find(text)])
+    after_blank = Remembered(lambda x: whole(" " + x))
 
     def plain(text: str) -> int:
         cut = literals(text)
-        return sum([literal[x] for x in cut]) if cut is not None else sum([word[w] for w in find(text)])
+        return whole(text) if cut is None else whole(cut[0]) + sum([after_blank[x] for x in cut[1:]])
 
     def count(text: str) -> int:
         if split is None or not split.search(text):
@@ -183,26 +191,80 @@ def json_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(of[c] for c in word): i for word, i in vocab.items()}, {x["content"]: x["id"] for x in held.get("added_tokens", [])}
 
 
-def encoder(path: str, pattern: str):
-    """text -> its ids as bytes of 16-bit numbers, special strings in a text being one id each."""
-    import numpy as np
-    import tiktoken
+#: White space (more of it than any pattern takes for such); around a blank or before one at the end; at either end, or nothing at all.
+_WHITE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_INNER_BLANK_RE2, _WHITE_ENDS_RE2 = rf"{_WHITE} ({_WHITE}|\z)", rf"^{_WHITE}|{_WHITE}\z|^\z"
 
-    ranks, special = json_ranks(path)
-    if max([*ranks.values(), *special.values()]) >= 1 << 16:
-        raise ValueError(f"{path}: ids over 16 bits")
-    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    literal = Remembered(lambda x: np.array(encode(x), "<u2").tobytes())
-    split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-    marks = {k: np.array([i], "<u2").tobytes() for k, i in special.items()}
 
-    def plain(text: str) -> bytes:
-        cut = literals(text)
-        return b"".join([literal[x] for x in cut]) if cut is not None else np.array(encode(text), "<u2").tobytes()
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after another."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
-    def ids(text: str) -> bytes:
-        if split is None or not split.search(text):
-            return plain(text)
-        return b"".join([marks[x] if x in marks else plain(x) for x in split.split(text)])
 
-    return ids
+class Encoder:
+    """The ids of a batch of texts, special strings in a text being one id each.
+
+    A batch is cut at its blanks, its distinct parts are put in a row and encoded in one go; as no token crosses two parts, the
+    bytes of the tokens tell where each part's ids end. Texts that can't be cut so, or hold a special string, are
+    encoded by themselves, and so are parts with white space at an end.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        ranks, self.special = json_ranks(path)
+        if max([*ranks.values(), *self.special.values()]) >= 1 << 16:
+            raise ValueError(f"{path}: ids over 16 bits")
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.bytes = np.zeros(1 << 16, "i8")
+        for word, i in ranks.items():
+            self.bytes[i] = len(word)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), "<u2")
+
+    def whole(self, text: str) -> np.ndarray:
+        if self.split is None or not self.split.search(text):
+            return self.plain(text)
+        return np.concatenate([np.array([self.special[x]], "<u2") if x in self.special else self.plain(x) for x in self.split.split(text)])
+
+    def parts(self, distinct: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each part with a blank in front, one after another in pieces, and how many each part has."""
+        edged = pc.match_substring_regex(distinct, _WHITE_ENDS_RE2)
+        joined = distinct.filter(pc.invert(edged))
+        row = pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined)
+        ids = self.plain(" " + pc.binary_join(row, " ")[0].as_py()) if len(joined) else np.zeros(0, "<u2")
+        at = np.cumsum(self.bytes[ids])
+        stops = np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype("i8") + 1)
+        last = np.searchsorted(at, stops)
+        if len(stops) and not np.array_equal(at[last], stops):
+            raise ValueError("a token crosses a blank; the pattern doesn't begin pre-tokens there")
+        others = [self.plain(" " + x) for x in distinct.filter(edged).to_pylist()]
+        alone = edged.to_numpy(zero_copy_only=False)
+        sizes, starts = np.zeros(len(distinct), "i8"), np.zeros(len(distinct), "i8")
+        sizes[~alone], sizes[alone] = np.diff(last + 1, prepend=0), [len(x) for x in others]
+        starts[~alone] = np.cumsum(sizes[~alone]) - sizes[~alone]
+        starts[alone] = len(ids) + np.cumsum(sizes[alone]) - sizes[alone]
+        return [ids, *others], np.stack([starts, sizes])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as 16-bit numbers, and where each text's begin (one more: the end)."""
+        n = len(texts)
+        apart = pc.match_substring_regex(texts, _INNER_BLANK_RE2)
+        for x in self.special:
+            apart = pc.or_(apart, pc.match_substring(texts, x))
+        cut = pc.split_pattern(pc.if_else(apart, pa.scalar("", texts.type), texts), " ")
+        offsets = cut.offsets.to_numpy().astype("i8")
+        offsets -= offsets[0]
+        coded = cut.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype("i8")
+        held, (starts, sizes) = self.parts(coded.dictionary)
+        alone, firsts = apart.to_numpy(zero_copy_only=False), coded.dictionary.take(pa.array(at[offsets[:-1]])).to_pylist()
+        begins = [self.whole(texts[i].as_py()) if alone[i] else self.plain(firsts[i]) for i in range(n)]
+        at[offsets[:-1]] = len(sizes) + np.arange(n)
+        own = np.array([len(x) for x in begins], "i8")
+        starts = np.concatenate([starts, sum(map(len, held)) + np.cumsum(own) - own])
+        sizes = np.concatenate([sizes, own])
+        each = sizes[at]
+        ids = gather(np.concatenate([*held, *begins]), starts[at], each)
+        return ids, np.concatenate([[0], np.cumsum(each)])[offsets]

@@ -49,7 +49,7 @@ class _Block:
     def __init__(self, number: int, find):
         self.number, self.find, self.bytes = number, find, 0
         self.at: dict[str, int] = {}
-        self.literal = bpe.Remembered(self._places)
+        self.after_blank = bpe.Remembered(lambda x: self._places(" " + x))
         self.ids, self.sizes, self.places = [], [], []
 
     def _places(self, text: str) -> list[int]:
@@ -62,9 +62,10 @@ class _Block:
         if cut is None:
             self.places += self._places(text)
         else:
-            literal, extend = self.literal, self.places.extend
-            for x in cut:
-                extend(literal[x])
+            after_blank, extend = self.after_blank, self.places.extend
+            extend(self._places(cut[0]))
+            for x in cut[1:]:
+                extend(after_blank[x])
         self.ids.append(doc_id)
         self.sizes.append(len(self.places) - before)
         self.bytes += len(text)
@@ -134,12 +135,6 @@ def _encode(path: str):
     return work
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs values[start : start + size], one after another."""
-    before = np.cumsum(sizes) - sizes
-    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-
-
 def _reassemble(finish, schema: str):
     """Positions become ids by the block's table of words; finish gets document ids, offsets and ids of several texts."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -157,7 +152,7 @@ def _reassemble(finish, schema: str):
             places, of = _unpack(places), _unpack(of).astype("i8")
             each = sizes[places]
             ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(of)])]
-            out.append(finish(doc_ids, ends, _gather(ids, starts[places], each)))
+            out.append(finish(doc_ids, ends, bpe.gather(ids, starts[places], each)))
         return pa.concat_tables(out).select(names)
 
     return work
@@ -178,7 +173,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     distinct words, and a text is kept as those numbers. All blocks' words meet by hash, so every distinct word is
     encoded once; the ids go back to the blocks, where texts are put together again by position. A word that makes up
     a third of all positions is one entry a block. Null counts as empty and gives no ids; a null document id stays null;
-    other columns aren't read. Special strings are ordinary text.
+    other columns aren't read. Special strings are ordinary text. A block's numbers follow the order of its rows, so docs has to
+    give its rows in the same order when a lost task reads them again, as files and checkpoints do.
     """
 
     def finish(doc_ids, ends, ids):
