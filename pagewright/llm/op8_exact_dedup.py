@@ -29,8 +29,8 @@ def _survivors(rows: DataFrame, groups: DataFrame, bound: int) -> DataFrame:
     return rows.join(F.broadcast(groups), groups.columns, "left_semi")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The rows with lazy keys (id, text, size, prefix, digest), and the durable table of groups of two rows or more: size, prefix, digest, keep_id, group_size.
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with lazy keys (id, text, size, prefix, digest), those that get as far as the digest, and the durable table of groups of two rows or more: size, prefix, digest, keep_id, group_size.
 
     Each step counts rows by the keys so far, partly before the shuffle, and only rows of groups of two or more come to
     the next step; so the prefix is cut and the full text hashed for those alone.
@@ -41,8 +41,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("prefix", F.xxhash64(normalised(F.substring(text, 1, prefix_chars))))
     alike = durable(_survivors(rows, sizes, bound).groupBy("size", "prefix").count().filter("count > 1").select("size", "prefix"))
     rows = rows.withColumn("digest", F.sha2(normalised(text).cast("binary"), 256))
-    groups = _survivors(rows, alike, bound).groupBy("size", "prefix", "digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows, durable(groups.filter("group_size > 1"))
+    left = _survivors(rows, alike, bound)
+    groups = left.groupBy("size", "prefix", "digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return rows, left, durable(groups.filter("group_size > 1"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, keep_id, group_size) for the rows of groups of two or more alone; the full text of other rows is never hashed. What counts as equal, and for odd rows: as in exact_duplicates."""
+    _, left, groups = duplicate_groups(docs, id_col, text_col, prefix_chars, bound)
+    return left.drop("text").join(narrow(groups, BROADCAST_GROUPS), ["size", "prefix", "digest"]).select(F.col("id").alias(id_col), "keep_id", "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,7 +59,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group. The largest id of a group stays; repeated rows of that id all stay, as an id stands for a document. Rows
     without an id stay, with the largest id of their group, if any, as keep_id. Other columns aren't read.
     """
-    rows, groups = duplicate_groups(docs, id_col, text_col, prefix_chars, bound)
+    rows, _, groups = duplicate_groups(docs, id_col, text_col, prefix_chars, bound)
     found = rows.drop("text").join(narrow(groups, BROADCAST_GROUPS), ["size", "prefix", "digest"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(

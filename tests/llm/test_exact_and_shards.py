@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from pagewright.llm.op7_sharding import TOLERANCE, kd_shards, op7_sharding
-from pagewright.llm.op8_exact_dedup import exact_duplicates, op8_exact_dedup
+from pagewright.llm.op8_exact_dedup import copies, exact_duplicates, op8_exact_dedup
 
 
 def lowered(text):
@@ -30,7 +30,9 @@ def test_exact(spark, odd):
                 assert (r.keep_id, r.group_size) == (keep, n)
                 assert r.kept == (r.doc_id is None or r.doc_id == keep)
                 assert r.text_sha256 == hashlib.sha256(lowered(text[r.doc_id]).encode()).hexdigest()
-    assert exact_duplicates(odd.limit(0)).count() == 0
+            pair = lambda rows: sorted(((r.doc_id, r.keep_id, r.group_size) for r in rows if r.group_size > 1), key=str)
+            assert pair(copies(docs, bound=bound).collect()) == pair(got)
+    assert exact_duplicates(odd.limit(0)).count() == 0 and copies(odd.limit(0)).count() == 0
 
 
 def test_exact_plan_is_native(spark):
