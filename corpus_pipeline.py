@@ -13,7 +13,7 @@ from pagewright.llm import op3_toxicity, op9_quality
 from pagewright.llm.common import durable, table, without
 from pagewright.llm.op4_simhash import near_duplicates
 from pagewright.llm.op6_packing import pack
-from pagewright.llm.op8_exact_dedup import exact_duplicates
+from pagewright.llm.op8_exact_dedup import copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return without(docs, durable(exact_duplicates(docs).filter("not kept").select("doc_id").distinct()), "doc_id")
+    return without(docs, durable(copies(docs).filter("doc_id <> keep_id").select("doc_id").distinct()), "doc_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
