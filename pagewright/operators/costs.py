@@ -83,3 +83,29 @@ def autoscale(profiles: DataFrame, gpus: DataFrame) -> DataFrame:
     ceiling = F.when(F.col("bandwidth").isNotNull(), F.greatest(F.lit(1), F.floor(F.col("bandwidth") / BANDWIDTH_A_REQUEST))).otherwise(scalars.lookup(F.col("backend"), CEILINGS, DEFAULT_CEILING))
     fits = F.greatest(F.lit(1), F.least(F.floor(share / request), ceiling, by_time)).cast("bigint")
     return rows.select("gpu", F.col("name").alias("profile"), fits.alias("concurrent_requests"), (fits * request).alias("kv_cache_memory_bytes"), "overhead_bytes", "max_model_len")
+
+
+def match_gpus(probes: DataFrame, specs: DataFrame) -> DataFrame:
+    """Each probed GPU with the name and bandwidth of its entry in a catalog, null where none fits.
+
+    probes: gpu, memory_gb, cc_major, cc_minor, clock_mhz, pcie_gen, pcie_width (all but gpu may be null); specs: name, bandwidth, memory_gb,
+    cc_major, cc_minor, clock_mhz, bus. An entry of the very name wins. Else entries that hold the name as whole words stand; if
+    there are several, those whose bus is slower than the one seen go, and of the rest those that agree in most of memory (10 %), compute
+    capability and clock (3 %), of equal ones that of least bandwidth; none if nothing agrees. Names are compared by their words, so no
+    pair without a common first word is formed.
+    """
+    name = F.regexp_replace(F.trim("gpu"), "^(NVIDIA|Tesla) ", "")
+    words = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"\s+", " "), F.lit(" "))
+    own = probes.select(F.col("gpu"), name.alias("wanted"), F.element_at(F.split(name, r"\s+"), 1).alias("word"), *[F.col(c).alias(f"p_{c}") for c in ("memory_gb", "cc_major", "cc_minor", "clock_mhz", "pcie_gen", "pcie_width")])
+    known = specs.filter("bandwidth > 0").withColumn("word", F.explode(F.array_distinct(F.split("name", r"\s+"))))
+    near = lambda a, b, share: F.when(F.abs(F.col(a) - F.col(b)) / F.col(b) <= share, 1).otherwise(0)
+    score = near("memory_gb", "p_memory_gb", 0.10) + near("clock_mhz", "p_clock_mhz", 0.03) + F.when((F.col("cc_major") == F.col("p_cc_major")) & (F.col("cc_minor") == F.col("p_cc_minor")), 1).otherwise(0)
+    bus = lambda i: F.regexp_extract("bus", r"(?i)PCIe\s+(\d+)\.\d+\s+x(\d+)", i).try_cast("int")
+    slower = F.coalesce(bus(1) < F.col("p_pcie_gen"), F.lit(False)) | F.coalesce(bus(2) < F.col("p_pcie_width"), F.lit(False))
+    pairs = own.join(known, "word").filter(F.contains(words("name"), words("wanted")))
+    w = Window.partitionBy("gpu")
+    pairs = pairs.withColumn("exact", F.col("name") == F.col("wanted")).withColumn("many", F.count("*").over(w) > 1)
+    pairs = pairs.filter(F.col("exact") | ~F.col("many") | ~slower).withColumn("many", F.count("*").over(w) > 1).withColumn("score", score)
+    pairs = pairs.filter(F.col("exact") | ~F.col("many") | (F.col("score") > 0))
+    best = pairs.withColumn("at", F.row_number().over(w.orderBy(F.desc("exact"), F.desc("score"), "bandwidth", "name"))).filter("at = 1")
+    return probes.select("gpu").join(best.select("gpu", "name", "bandwidth"), "gpu", "left")

@@ -73,3 +73,19 @@ def year_in(column: str) -> Column:
 def number_in(column: str) -> Column:
     """Text as a whole number once trimmed; null where it isn't one ('', '\\N' and 'NULL' too)."""
     return F.trim(column).try_cast("bigint")
+
+
+def rule_for_rights(text: Column) -> Column:
+    """A rule in place of a language model: what a rights statement allows, by its words; null where it says nothing of it."""
+    low = F.lower(text)
+    return F.when(low.rlike("public domain|no known copyright|cc0"), "public_domain").when(low.rlike("creative commons|cc[ -]by|licen[sc]ed under"), "licensed").when(low.rlike("in copyright|all rights reserved|permission"), "in_copyright")
+
+
+def classified(combinations: DataFrame, rule=rule_for_rights, column: str = "rights_json") -> DataFrame:
+    """The combinations with their classification and whether there is one. rule: a function of a column, a Python function wrapped as one included."""
+    return combinations.withColumn("classification", rule(F.col(column))).withColumn("parsing_success", F.col("classification").isNotNull())
+
+
+def parsed_share(verdicts: DataFrame) -> DataFrame:
+    """How many combinations there are, and how many of them have a verdict."""
+    return verdicts.agg(F.count("*").alias("n"), F.count_if("parsing_success").alias("parsed"))
