@@ -81,41 +81,58 @@ def cells(unit: np.ndarray, salt: np.ndarray, tables: int = TABLES, probes: int
     return out
 
 
-def _spread(tables: int, probes: int, scale: float, seed: int):
-    """A row for each vector, table and cell."""
+def _by_dimension(batch, tables: int, probes: int, scale: float, seed: int):
+    """(rows, vectors as given, cells) for the vectors of each dimension in a batch of rep, weight, salt, vec."""
+    salts = batch.column(2).to_numpy(zero_copy_only=False)
+    sizes = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+    flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        m = flat[starts[at][:, None] + np.arange(dim)]
+        yield at, m, cells(m / np.sqrt((m * m).sum(axis=1, keepdims=True)), salts[at].view("u8"), tables, probes, scale, seed)
+
+
+def _spread(*lattice):
+    """A narrow row (cell, rep, t, probe) for each vector, table and cell."""
 
     def work(batches):
         for batch in batches:
-            reps, weights, salts = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            vectors = batch.column(3)
-            sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(sizes) - sizes
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                raw = flat[(starts[at][:, None] + np.arange(dim))]
-                wide = raw.astype("f8")
-                unit = wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
-                found = cells(unit, salts[at].view("u8"), tables, probes, scale, seed)
-                n, wide_rows = len(at), tables * (1 + probes)
-                payload, every = [x.tobytes() for x in wide], [x.tobytes() for x in found]
-                take = np.repeat(np.arange(n), wide_rows)
+            reps = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, _, found in _by_dimension(batch, *lattice):
+                n, tables, width = found.shape
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found.reshape(-1)),
-                        pa.array(np.repeat(reps[at], wide_rows)),
-                        pa.array(np.repeat(weights[at], wide_rows)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype="i4"), 1 + probes), n)),
-                        pa.array(np.tile(np.arange(1 + probes) > 0, n * tables)),
-                        pa.array(payload, pa.binary()).take(pa.array(take)),
-                        pa.array(every, pa.binary()).take(pa.array(take)),
+                        pa.array(np.repeat(reps[at], tables * width)),
+                        pa.array(np.tile(np.repeat(np.arange(tables, dtype="i4"), width), n)),
+                        pa.array(np.tile(np.arange(width) > 0, n * tables)),
                     ],
-                    ["cell", "rep", "weight", "t", "probe", "vec", "all"],
+                    ["cell", "rep", "t", "probe"],
                 )
 
     return work
 
 
+def _carried(*lattice):
+    """(rep, weight, vec, all): what a vector brings to where it meets others. Components that single precision holds exactly go as such."""
+
+    def work(batches):
+        for batch in batches:
+            for at, m, found in _by_dimension(batch, *lattice):
+                short = m.astype("f4")
+                exact = (short == m).all(axis=1)
+                vec = [b"4" + short[k].tobytes() if exact[k] else b"8" + m[k].tobytes() for k in range(len(at))]
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(vec, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["rep", "weight", "vec", "all"])
+
+    return work
+
+
+def _vector(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"f{held[:1].decode()}", offset=1).astype("f8")
+
+
 def _verify(cosine: float, tables: int, probes: int):
     """Rows sorted by cell to (rep, n, root): other vectors linked here for the first time, and the least one of the linked set in this cell."""
     width = 1 + probes
@@ -131,7 +148,7 @@ def _verify(cosine: float, tables: int, probes: int):
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if hi - lo < 2 or probe[lo:hi].all():
                     continue
-                m = np.stack([np.frombuffer(x, "f8") for x in vec[lo:hi]])
+                m = np.stack([_vector(x) for x in vec[lo:hi]])
                 known = np.stack([np.frombuffer(x, "i8") for x in every[lo:hi]]).reshape(hi - lo, tables, width)
                 norm, own, table_no = np.sqrt((m * m).sum(axis=1)), ~probe[lo:hi], t[lo]
                 homes = np.flatnonzero(own)
@@ -167,20 +184,22 @@ def lattice_links(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES
     """(rep, n, root) from (rep long, weight long, salt long, vec array<double>): rows to be summed by rep, and links to be followed.
 
     Vectors meet in a cell if it is the home of both, or the home of one and among the cells that the other probes;
-    only vectors of equal salt and dimension do. A pair counts in the first table where it meets. A cell with over
-    block_rows rows is dealt out by pairs of blocks, so what a task holds is bounded.
+    only vectors of equal salt and dimension do. Narrow rows find the cells where anything can meet at all; only
+    there the vectors follow. A pair counts in the first table where it meets. A cell with over block_rows rows is dealt out by pairs
+    of blocks, so what a task holds is bounded.
     """
-    spread = vectors.select("rep", "weight", "salt", "vec").mapInArrow(
-        _spread(tables, probes, scale, seed), "cell long, rep long, weight long, t int, probe boolean, vec binary, all binary"
-    )
-    full = durable(spread.select("cell").groupBy("cell").count().filter(F.col("count") > block_rows))
-    blocks = F.ceil(F.col("count") / block_rows).cast("int")
-    rows = spread.join(narrow(full), "cell", "left").withColumn("block", F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("rep"), blocks)).otherwise(0).cast("int"))
-    shared = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, F.col("block")) * 65536 + F.greatest(x, F.col("block")))
-    rows = rows.withColumn("part", F.explode(F.when(F.col("count").isNotNull(), shared).otherwise(F.array(F.lit(-1)))))
+    lattice = (tables, probes, scale, seed)
+    given = vectors.select("rep", "weight", "salt", "vec")
+    spread = given.mapInArrow(_spread(*lattice), "cell long, rep long, t int, probe boolean")
+    shared = durable(spread.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("homes")).filter("n > 1 and homes > 0").select("cell", "n"))
+    rows = spread.join(narrow(shared), "cell")
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, F.col("block")) * 65536 + F.greatest(x, F.col("block")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("n") > block_rows, pairs).otherwise(F.array(F.lit(-1)))))
+    rows = rows.join(given.mapInArrow(_carried(*lattice), "rep long, weight long, vec binary, all binary"), "rep")
     rows = rows.select("cell", F.col("part").cast("int").alias("part"), "rep", "weight", "t", "probe", "block", "vec", "all")
-    dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(_verify(cosine, tables, probes), "rep long, n long, root long")
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_verify(cosine, tables, probes), "rep long, n long, root long")
 
 
 def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **lattice) -> DataFrame:
