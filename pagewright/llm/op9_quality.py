@@ -42,10 +42,10 @@ MEASURES = (
     ("odd characters a visible byte", 0.012, 0.05),
     ("capitals a letter", 0.15, 0.45),
     ("lines said before", 0.05, 0.3),
-    ("share of the commonest word", 0.12, 0.3),
+    ("share of the commonest word", 0.12, 0.5),
     ("words like the one before", 0.03, 0.2),
     ("longest run of a word, up to 5", 1, 4),
-    ("pairs of words said before", 0.15, 0.45),
+    ("pairs of words said before", 0.15, 0.92),
     ("words a sentence", 45, 80),
     ("letters a word", 7.5, 11),
     ("words with odd endings", 0.04, 0.25),
