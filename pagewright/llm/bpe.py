@@ -14,9 +14,7 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 
-#: Where a text may be cut in front of a blank without touching a pre-token: nowhere inside a run of white space.
-_INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
-#: A literal of this length or more is worked out anew each time rather than remembered.
+#: A key of this length or more is worked out anew each time rather than remembered.
 LONG = 96
 
 
@@ -127,15 +125,6 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def literals(text: str) -> list[str] | None:
-    """text split at its blanks, each part but the first to be read with a blank in front, so that no pre-token crosses two parts; None if it can't be cut so.
-
-    A blank begins a pre-token of its own unless it stands inside a run of white space; texts with such a blank
-    have to be matched as they stand.
-    """
-    return None if _INNER_BLANK.search(text) else text.split(" ")
-
-
 class Remembered(dict):
     """work(key) for each key, kept for short keys in two generations of ``most`` entries at the most.
 
@@ -157,28 +146,6 @@ class Remembered(dict):
         return value
 
 
-def counter(path: str, pattern: str):
-    """text -> number of tokens, special strings in a text counting one each."""
-    merges, first, special = read_merges(path)
-    split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-    find = regex.compile(pattern).findall
-    word = Remembered(lambda w: merged_count(w.encode(), merges, first))
-    whole = lambda text: sum([word[w] for w in find(text)])
-    after_blank = Remembered(lambda x: whole(" " + x))
-
-    def plain(text: str) -> int:
-        cut = literals(text)
-        return whole(text) if cut is None else whole(cut[0]) + sum([after_blank[x] for x in cut[1:]])
-
-    def count(text: str) -> int:
-        if split is None or not split.search(text):
-            return plain(text)
-        parts = split.split(text)
-        return len(parts) - 1 + sum(map(plain, parts))
-
-    return count
-
-
 @lru_cache(maxsize=2)
 def json_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     """Bytes to id and special string to id, from a tokenizer's JSON whose ids follow the order of its merges."""
@@ -202,40 +169,34 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-class Encoder:
-    """The ids of a batch of texts, special strings in a text being one id each.
+class Batches:
+    """What ``match`` finds in each text of a batch: values, one for each token or pre-token.
 
-    A batch is cut at its blanks, its distinct parts are put in a row and encoded in one go; as no token crosses two parts, the
-    bytes of the tokens tell where each part's ids end. Texts that can't be cut so, or hold a special string, are
-    encoded by themselves, and so are parts with white space at an end.
+    match(text) gives values and the lengths of what they stand for, in the units of ``measure``; it mustn't find anything that reaches
+    over a blank with text on both sides. A batch is cut at its blanks, its distinct parts are put in a row and matched in one go, and
+    the lengths tell where each part's values end. Texts that can't be cut so, or hold a special string (one value each), are
+    matched by themselves, and so are parts with white space at an end.
     """
 
-    def __init__(self, path: str, pattern: str):
-        ranks, self.special = json_ranks(path)
-        if max([*ranks.values(), *self.special.values()]) >= 1 << 16:
-            raise ValueError(f"{path}: ids over 16 bits")
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bytes = np.zeros(1 << 16, "i8")
-        for word, i in ranks.items():
-            self.bytes[i] = len(word)
+    def __init__(self, match, measure, dtype: str, special: dict[str, int] | None = None):
+        self.match, self.measure, self.dtype, self.special = match, measure, dtype, special or {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.encode(text), "<u2")
+        return self.match(text)[0]
 
     def whole(self, text: str) -> np.ndarray:
         if self.split is None or not self.split.search(text):
             return self.plain(text)
-        return np.concatenate([np.array([self.special[x]], "<u2") if x in self.special else self.plain(x) for x in self.split.split(text)])
+        return np.concatenate([np.array([self.special[x]], self.dtype) if x in self.special else self.plain(x) for x in self.split.split(text)])
 
     def parts(self, distinct: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of each part with a blank in front, one after another in pieces, and how many each part has."""
+        """Values of each part with a blank in front, one after another in pieces; where each part's start, and how many it has."""
         edged = pc.match_substring_regex(distinct, _WHITE_ENDS_RE2)
         joined = distinct.filter(pc.invert(edged))
         row = pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined)
-        ids = self.plain(" " + pc.binary_join(row, " ")[0].as_py()) if len(joined) else np.zeros(0, "<u2")
-        at = np.cumsum(self.bytes[ids])
-        stops = np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False).astype("i8") + 1)
+        values, lengths = self.match(" " + pc.binary_join(row, " ")[0].as_py()) if len(joined) else (np.zeros(0, self.dtype), np.zeros(0, "i8"))
+        at, stops = np.cumsum(lengths), np.cumsum(self.measure(joined).to_numpy(zero_copy_only=False).astype("i8") + 1)
         last = np.searchsorted(at, stops)
         if len(stops) and not np.array_equal(at[last], stops):
             raise ValueError("a token crosses a blank; the pattern doesn't begin pre-tokens there")
@@ -244,12 +205,14 @@ class Encoder:
         sizes, starts = np.zeros(len(distinct), "i8"), np.zeros(len(distinct), "i8")
         sizes[~alone], sizes[alone] = np.diff(last + 1, prepend=0), [len(x) for x in others]
         starts[~alone] = np.cumsum(sizes[~alone]) - sizes[~alone]
-        starts[alone] = len(ids) + np.cumsum(sizes[alone]) - sizes[alone]
-        return [ids, *others], np.stack([starts, sizes])
+        starts[alone] = len(values) + np.cumsum(sizes[alone]) - sizes[alone]
+        return [values, *others], np.stack([starts, sizes])
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids as 16-bit numbers, and where each text's begin (one more: the end)."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All values, and where each text's begin (one more: the end)."""
         n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(1, "i8")
         apart = pc.match_substring_regex(texts, _INNER_BLANK_RE2)
         for x in self.special:
             apart = pc.or_(apart, pc.match_substring(texts, x))
@@ -266,5 +229,40 @@ class Encoder:
         starts = np.concatenate([starts, sum(map(len, held)) + np.cumsum(own) - own])
         sizes = np.concatenate([sizes, own])
         each = sizes[at]
-        ids = gather(np.concatenate([*held, *begins]), starts[at], each)
-        return ids, np.concatenate([[0], np.cumsum(each)])[offsets]
+        values = gather(np.concatenate([*held, *begins]), starts[at], each)
+        return values, np.concatenate([[0], np.cumsum(each)])[offsets]
+
+
+def words_in(pattern: str, value, dtype: str, special: dict[str, int] | None = None) -> Batches:
+    """value(word) of each pre-token."""
+    find = regex.compile(pattern).findall
+
+    def match(text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = find(text)
+        return np.fromiter(map(value, words), dtype, len(words)), np.fromiter(map(len, words), "i8", len(words))
+
+    return Batches(match, pc.utf8_length, dtype, special)
+
+
+def counter(path: str, pattern: str) -> Batches:
+    """The number of tokens of each pre-token, special strings counting one."""
+    merges, first, special = read_merges(path)
+    word = Remembered(lambda w: merged_count(w.encode(), merges, first))
+    return words_in(pattern, word.__getitem__, "i8", dict.fromkeys(special, 1))
+
+
+def encoder(path: str, pattern: str) -> Batches:
+    """The ids of each text as 16-bit numbers, special strings being one id each."""
+    ranks, special = json_ranks(path)
+    if max([*ranks.values(), *special.values()]) >= 1 << 16:
+        raise ValueError(f"{path}: ids over 16 bits")
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    size = np.zeros(1 << 16, "i8")
+    for word, i in ranks.items():
+        size[i] = len(word)
+
+    def match(text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(encode(text), "<u2")
+        return ids, size[ids]
+
+    return Batches(match, pc.binary_length, "<u2", special)

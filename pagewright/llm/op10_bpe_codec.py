@@ -7,7 +7,6 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK_WORDS, BLOCK_BYTES = 400_000, 48 << 20
 #: Texts of one block travel together up to about so many positions.
 ROW_POSITIONS = 400_000
+#: Texts that are matched at a time.
+BATCH_ROWS = 2000
 #: Words are dealt to the encoders by hash in so many buckets; a row holds the words of one block and bucket.
 BUCKETS = 512
 
@@ -46,33 +47,23 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class _Block:
     """Numbers the distinct pre-tokens of a run of texts in order of first sight; the positions of a text become those numbers."""
 
-    def __init__(self, number: int, find):
-        self.number, self.find, self.bytes = number, find, 0
+    def __init__(self, number: int, pattern: str):
+        self.number, self.bytes, self.positions = number, 0, 0
         self.at: dict[str, int] = {}
-        self.after_blank = bpe.Remembered(lambda x: self._places(" " + x))
+        self.match = bpe.words_in(pattern, lambda w: self.at.setdefault(w, len(self.at)), "i4")
         self.ids, self.sizes, self.places = [], [], []
 
-    def _places(self, text: str) -> list[int]:
-        at = self.at
-        return [at.setdefault(w, len(at)) for w in self.find(text)]
-
-    def add(self, doc_id, text: str) -> None:
-        before = len(self.places)
-        cut = bpe.literals(text)
-        if cut is None:
-            self.places += self._places(text)
-        else:
-            after_blank, extend = self.after_blank, self.places.extend
-            extend(self._places(cut[0]))
-            for x in cut[1:]:
-                extend(after_blank[x])
-        self.ids.append(doc_id)
-        self.sizes.append(len(self.places) - before)
-        self.bytes += len(text)
+    def add(self, doc_ids: list, texts: pa.Array) -> None:
+        places, ends = self.match(texts)
+        self.ids += doc_ids
+        self.places.append(places)
+        self.sizes.append(np.diff(ends))
+        self.positions += len(places)
+        self.bytes += texts.nbytes
 
     def texts(self) -> tuple:
-        row = (self.number, self.number, self.ids, _pack(self.places), _pack(self.sizes), None)
-        self.ids, self.sizes, self.places = [], [], []
+        row = (self.number, self.number, self.ids, _pack(np.concatenate(self.places)), _pack(np.concatenate(self.sizes)), None)
+        self.ids, self.sizes, self.places, self.positions = [], [], [], 0
         return row
 
     def words(self, buckets: int):
@@ -89,18 +80,18 @@ class _Block:
 
 def _explode(pattern: str, buckets: int):
     def work(batches):
-        find = regex.compile(pattern).findall
         number = TaskContext.get().partitionId() << 24
-        block = _Block(number, find)
+        block = _Block(number, pattern)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block.add(doc_id, text)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(start, BATCH_ROWS)
+                block.add(some.column(0).to_pylist(), some.column(1))
                 full = len(block.at) >= BLOCK_WORDS or block.bytes >= BLOCK_BYTES
-                if full or len(block.places) >= ROW_POSITIONS:
+                if full or block.positions >= ROW_POSITIONS:
                     yield _rows([block.texts()])
                 if full:
                     yield _rows(list(block.words(buckets)))
-                    block = _Block(number := number + 1, find)
+                    block = _Block(number := number + 1, pattern)
         if block.ids:
             yield _rows([block.texts()])
         if block.at:

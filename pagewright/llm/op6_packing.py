@@ -82,12 +82,12 @@ def _unpacked(held: bytes) -> np.ndarray:
 
 def _tokenise(vocabulary: str, end_id: int):
     def work(batches):
-        encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+        encode = bpe.encoder(vocabulary, public_tokenizers.PATTERN)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
             if n:
-                flat, ends = encoder.batch(batch.column(1))
+                flat, ends = encode(batch.column(1))
                 ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 keys = hilbert_key(coordinates(ids))
                 held = [_packed(np.append(x, np.uint16(end_id))) for x in ids]

@@ -59,7 +59,7 @@ def test_batch_encoder():
     import public_tokenizers as P
     import pyarrow as pa
 
-    from pagewright.llm.bpe import Encoder
+    from pagewright.llm.bpe import encoder as encoder_of
 
     from .conftest import ODD
 
@@ -67,11 +67,11 @@ def test_batch_encoder():
     texts = [t or "" for t in ODD] + ["".join(pick.choice(["a", "bc", " ", " ", "\n", "\t", "é", " ", "　", "\x1c", "\x85", ".", "'s", "<|endoftext|>", "12", "​"]) for _ in range(pick.randint(0, 14))) for _ in range(20000)]
     encode = Tokenizer.from_file(VOCABULARY)
     want = [x.ids for x in encode.encode_batch(texts, add_special_tokens=False)]
-    encoder = Encoder(VOCABULARY, P.PATTERN)
+    encoder = encoder_of(VOCABULARY, P.PATTERN)
     for size in (1, 7, len(texts)):
         some = texts[: 40 * size]
         got = []
         for k in range(0, len(some), size):
-            ids, ends = encoder.batch(pa.array(some[k : k + size], pa.string()))
+            ids, ends = encoder(pa.array(some[k : k + size], pa.string()))
             got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         assert got == want[: len(some)]
