@@ -1,6 +1,8 @@
 import public_tokenizers as P
 import random
 
+import pyarrow as pa
+
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe
@@ -28,8 +30,8 @@ def test_counts_odd_texts(spark, odd):
 def test_counts_random_texts():
     pick = random.Random(5)
     texts = ["".join(pick.choice("ab cd\n\t é.'s  <|endoftext|>0") for _ in range(pick.randint(0, 60))) for _ in range(3000)]
-    count = bpe.counter(VOCABULARY, P.PATTERN)
-    assert [count(t) for t in texts] == library(texts)
+    counts, ends = bpe.counter(VOCABULARY, P.PATTERN)(pa.array(texts, pa.string()))
+    assert [int(counts[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)] == library(texts)
 
 
 def test_counts_documents(spark):
