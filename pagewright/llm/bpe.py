@@ -169,6 +169,21 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
+#: Bytes of text that are matched at a time; what that takes of memory is some twenty times as much.
+SLICE_BYTES = 6 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
+    """The batch in runs of rows with up to so many bytes of text, a single longer text by itself."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("i8"))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 class Batches:
     """What ``match`` finds in each text of a batch: values, one for each token or pre-token.
 

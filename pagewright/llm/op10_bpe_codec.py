@@ -20,8 +20,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK_WORDS, BLOCK_BYTES = 400_000, 48 << 20
 #: Texts of one block travel together up to about so many positions.
 ROW_POSITIONS = 400_000
-#: Texts that are matched at a time.
-BATCH_ROWS = 2000
 #: Words are dealt to the encoders by hash in so many buckets; a row holds the words of one block and bucket.
 BUCKETS = 512
 
@@ -83,8 +81,7 @@ def _explode(pattern: str, buckets: int):
         number = TaskContext.get().partitionId() << 24
         block = _Block(number, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                some = batch.slice(start, BATCH_ROWS)
+            for some in bpe.slices(batch, 1):
                 block.add(some.column(0).to_pylist(), some.column(1))
                 full = len(block.at) >= BLOCK_WORDS or block.bytes >= BLOCK_BYTES
                 if full or block.positions >= ROW_POSITIONS:

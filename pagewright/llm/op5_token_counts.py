@@ -26,7 +26,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches):
         count = bpe.counter(vocabulary, public_tokenizers.PATTERN)
-        for batch in batches:
+        for batch in (some for batch in batches for some in bpe.slices(batch, 1)):
             counts, ends = count(batch.column(1))
             sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
             tokens = pa.array(np.diff(np.concatenate([[0], np.cumsum(counts)])[ends]), pa.int64())

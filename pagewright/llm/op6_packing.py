@@ -84,16 +84,15 @@ def _tokenise(vocabulary: str, end_id: int):
     def work(batches):
         encode = bpe.encoder(vocabulary, public_tokenizers.PATTERN)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (some for batch in batches for some in bpe.slices(batch, 1)):
             n = batch.num_rows
-            if n:
-                flat, ends = encode(batch.column(1))
-                ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                keys = hilbert_key(coordinates(ids))
-                held = [_packed(np.append(x, np.uint16(end_id))) for x in ids]
-                sizes = np.array([len(x) + 1 for x in ids], "i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys), pa.array(sizes), pa.array(held, pa.binary())], ["id", "row", "key", "n", "ids"])
-                row += n
+            flat, ends = encode(batch.column(1))
+            ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            keys = hilbert_key(coordinates(ids))
+            held = [_packed(np.append(x, np.uint16(end_id))) for x in ids]
+            sizes = np.array([len(x) + 1 for x in ids], "i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), pa.array(keys), pa.array(sizes), pa.array(held, pa.binary())], ["id", "row", "key", "n", "ids"])
+            row += n
 
     return work
 
