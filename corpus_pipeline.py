@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import op3_toxicity, op9_quality
 from pagewright.llm.common import durable, table, without
-from pagewright.llm.op4_simhash import near_duplicates
+from pagewright.llm.near_copies import near_copies
 from pagewright.llm.op6_packing import pack
 from pagewright.llm.op8_exact_dedup import copies
 
@@ -32,8 +32,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints links connect the one with the smallest id."""
-    return without(docs, durable(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id")
+    """Of documents that links connect, pairs with a five-word similarity of 0.8 or more, the one with the smallest id."""
+    return without(docs, durable(near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

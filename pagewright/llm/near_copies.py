@@ -1,0 +1,139 @@
+"""Near copies by exact similarity of word shingles; candidates come from bands of min-hashes."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import durable, narrow, whole_text
+from pagewright.llm.components import connected
+from pagewright.llm.unions import runs, whole_groups
+
+SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
+#: A pair of similarity s agrees on one of the bands with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993 at 0.8.
+BANDS, ROWS = 24, 6
+#: Shingles that are hashed anew at a time.
+HASHES = 1 << 10
+
+_DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text of fewer words, or of none, is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    own = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space alone
+    joined, ends, at = b" ".join(own), [], -1
+    for w in own:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends]]
+    hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=False)] or [xxh64_intdigest(joined, seed)]
+    return np.unique(np.array(hashes, "u8"))
+
+
+def identity(own: np.ndarray) -> int:
+    """A number that stands for a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes(), SEED)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A key for each band: the least of the shingles under each of its hash functions."""
+    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    for start in range(0, len(own), HASHES):
+        held = own[start : start + HASHES, None] ^ _DRAW[0]
+        held *= _DRAW[1]
+        np.minimum(least, held.min(axis=0), out=least)
+    least ^= least >> np.uint64(31)
+    mixed = (least * _DRAW[2]).reshape(BANDS, ROWS).sum(axis=1, dtype="u8")
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _prints(batches):
+    for batch in batches:
+        of, keys = [], []
+        for text in batch.column(1).to_pylist():
+            own = shingles(text)
+            of.append(identity(own))
+            keys.append(bands(own))
+        flat = np.concatenate([*keys, np.zeros(0, "u8")]).view("i8")
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype="i4") * BANDS), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(of, "u8").view("i8")), listed], ["id", "node", "keys"])
+
+
+def _sets(batches):
+    for batch in batches:
+        held = [shingles(text) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([identity(x) for x in held], "u8").view("i8")), pa.array([x.tobytes() for x in held], pa.binary())], ["node", "shingles"])
+
+
+def _shared(batches):
+    """Sorted rows (key, node) to those of keys with two nodes or more, each with the key's least node."""
+    for key, node in whole_groups(batches, 1):
+        edge = runs(key)
+        size = np.diff(edge)
+        stay = np.repeat(size > 1, size)
+        yield pa.RecordBatch.from_arrays([pa.array(key[stay]), pa.array(node[stay]), pa.array(np.repeat(node[edge[:-1]], size)[stay])], ["key", "node", "hub"])
+
+
+def _across(batches):
+    """Sorted rows (key, node, hub, root) to pairs of one key that have different roots; those with the hub were compared before."""
+    for key, node, hub, root in whole_groups(batches, 1):
+        edge = runs(key)
+        low, high = np.minimum.reduceat(root, edge[:-1]), np.maximum.reduceat(root, edge[:-1])
+        for k in np.flatnonzero(low != high):
+            at = slice(edge[k], edge[k + 1])
+            n, r, h = node[at], root[at], hub[at]
+            for i in range(len(n) - 1):
+                j = np.flatnonzero((r[i + 1 :] != r[i]) & (n[i + 1 :] != h[i + 1 :])) + i + 1 if n[i] != h[i] else np.zeros(0, "i8")
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(n[i], n[j])), pa.array(np.maximum(n[i], n[j]))], ["a", "b"])
+
+
+def _verified(similarity: float):
+    def work(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(s, "u8") for s in batch.column(c).to_pylist()] for c in (2, 3))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], "i8")
+            either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], "i8") - both
+            near = both >= similarity * either - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["a", "b"])
+
+    return work
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) for every row of docs, repeated rows included.
+
+    Links are the pairs of texts that share a band and whose sets of five-word shingles have a Jaccard similarity of
+    ``similarity`` or more, worked out exactly. Equal sets are one node from the start. Of the texts under one key each is
+    compared with the least first; then, among texts that links don't connect yet, each with each. So a large group of
+    copies costs a row a copy and key. Null counts as empty, and texts without words are alike. component_id is the
+    least id that links reach; a null id stays, and component_id is null only if no row of the component has an id.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    prints = durable(texts.mapInArrow(_prints, "id long, node long, keys array<long>"))
+    nodes = durable(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
+    rows = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    shared = durable(rows.mapInArrow(_shared, "key long, node long, hub long"))
+    met = durable(shared.select("node").distinct().join(nodes.select("node", "first"), "node"))
+    named = durable(met.filter("first is not null").select(F.col("first").alias("id")).distinct())
+    asked = texts.join(narrow(named), "id", "left_semi").select("id", "text").union(texts.filter("id is null"))
+    sets = durable(asked.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        return durable(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
+
+    links = verified(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    roots = durable(connected(links, "a", "b"))
+    apart = shared.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "node")
+    later = verified(apart.mapInArrow(_across, "a long, b long").distinct())
+    roots = durable(connected(links.union(later), "a", "b"))
+    rooted = durable(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.select("id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")

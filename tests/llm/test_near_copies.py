@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from pagewright.llm import near_copies as near
+
+from .test_simhash import sets
+
+
+def shingled(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {b" ".join(words)}
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def components(rows):
+    """(id, least id of the component) by comparing all pairs."""
+    own = [shingled(r.text) for r in rows]
+    root = sets(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if similarity(own[i], own[j]) >= 0.8])
+    first = {}
+    for k, r in enumerate(rows):
+        if r.doc_id is not None:
+            first[root[k]] = min(first.get(root[k], r.doc_id), r.doc_id)
+    return sorted(((r.doc_id, first.get(root[k])) for k, r in enumerate(rows)), key=str)
+
+
+def test_all_pairs(spark, odd):
+    pick = random.Random(8)
+    word = lambda: f"w{pick.randrange(5000)}"
+    texts = []
+    for _ in range(30):
+        own = [word() for _ in range(pick.randint(60, 400))]
+        for _ in range(pick.randint(1, 12)):
+            changed = list(own)
+            for _ in range(pick.randint(0, max(1, len(own) // 60))):
+                changed[pick.randrange(len(own))] = word()
+            texts.append(" ".join(changed))
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for docs in (made, odd):
+        got = near.near_copies(docs).collect()
+        assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == components(docs.collect())
+    assert near.near_copies(odd.limit(0)).count() == 0
+
+
+def test_stage_drops_a_copy_with_changed_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id in (875, 582, 944, 709, 1)")
+    text = {r.doc_id: shingled(r.text) for r in docs.collect()}
+    assert similarity(text[875], text[582]) >= 0.8 and similarity(text[944], text[709]) >= 0.8
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 582, 709]
+
+
+def test_bands_meet_as_often_as_they_should():
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        own = np.unique(rng.integers(0, 1 << 63, 270, dtype="u8"))[:260]
+        met += (near.bands(own[:234]) == near.bands(own[26:])).any()  # 208 of 260 in common
+    assert met >= 395
