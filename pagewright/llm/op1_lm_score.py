@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.bpe import Remembered
-from pagewright.llm.common import table, whole_text
+from pagewright.llm.common import durable, table, whole_text
 
 #: Outputs are GROUPS groups of MEMBERS tokens each; BUCKETS of the tokens stand for words by hash, the others for the commonest words.
 GROUPS, MEMBERS, BUCKETS = 32, 32, 128
@@ -157,8 +157,8 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def common_words(texts: DataFrame, n: int = TOKENS - BUCKETS) -> list[str]:
-    """The n commonest words of all texts, equal counts by word; counted by task first, then over all."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) for every word of all texts; counted by task first, then over all."""
 
     def work(batches):
         held: Counter = Counter()
@@ -173,8 +173,31 @@ def common_words(texts: DataFrame, n: int = TOKENS - BUCKETS) -> list[str]:
     def counted(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    seen = texts.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in seen.orderBy(F.desc("n"), "word").limit(n).select("word").collect()]
+    return texts.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(texts: DataFrame, n: int = TOKENS - BUCKETS) -> list[str]:
+    """The n commonest words of all texts, equal counts by word."""
+    return commonest(word_counts(texts), n)
+
+
+def commonest(counts: DataFrame, n: int = TOKENS - BUCKETS) -> list[str]:
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).select("word").collect()]
+
+
+def within_buckets(words: DataFrame, counts: DataFrame, common: list[str]) -> DataFrame:
+    """(row, inside) for rows (row, word, times) of words that aren't common: the sum of times * log(share of the word in its bucket).
+
+    A bucket's N counted words leave one part in N + 1 to unseen ones: a word counted n times has n / (N + 1), an unseen one 1 / (N + 1).
+    """
+    spark = words.sparkSession
+    known = spark.createDataFrame([(w,) for w in common], "word string")
+    bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").select("word", "n")
+    totals = durable(rare.groupBy(bucket).agg(F.sum("n").alias("total")))
+    each = words.join(rare, "word", "left").select("row", "times", "n", bucket).join(F.broadcast(totals), "bucket", "left")
+    share = F.log(F.coalesce("n", F.lit(1))) - F.log(F.coalesce("total", F.lit(0)) + 1)
+    return each.groupBy("row").agg(F.sum(F.col("times") * share).alias("inside"))
 
 
 def _steps(batches, column: int, token: Remembered, size: int):
@@ -247,8 +270,11 @@ def train(texts: DataFrame, common: list[str]) -> Network:
     return Network.from_flat(np.concatenate([np.frombuffer(r["sum"], "f8") / r.n for r in sorted(rows, key=lambda r: r.chunk)]))
 
 
-def score(docs: DataFrame, network: Network, common: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_likelihood, mean_log_probability) for every row of docs."""
+def score(docs: DataFrame, network: Network, common: list[str], id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(id, n_tokens, log_likelihood, mean_log_probability) for every row of docs.
+
+    With counts (word, n) a word in a bucket has its share of the bucket; without, it has the whole bucket's probability.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((network, common))
 
     def work(batches):
@@ -257,19 +283,22 @@ def score(docs: DataFrame, network: Network, common: list[str], id_col: str = "d
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            sums, counts = np.zeros(len(ids)), np.zeros(len(ids), "i8")
+            sums, sizes = np.zeros(len(ids)), np.zeros(len(ids), "i8")
+            rare: list[Counter] = []
             held, of, n = [], [], 0
 
             def flush():
                 if held:
                     context, target = windows(held)
                     each = np.concatenate([network.log_probability(context[:, s : s + BATCH], target[s : s + BATCH]) for s in range(0, len(target), BATCH)])
-                    sizes = [len(x) for x in held]
-                    sums[of] = np.add.reduceat(each.astype("f8"), np.cumsum([0, *sizes[:-1]]))
+                    sums[of] = np.add.reduceat(each.astype("f8"), np.cumsum([0, *[len(x) for x in held[:-1]]]))
 
             for k, text in enumerate(texts):
-                own = [token[w] for w in words_of(text)]
-                counts[k] = len(own)
+                words = words_of(text)
+                own = [token[w] for w in words]
+                sizes[k] = len(own)
+                if shared:
+                    rare.append(Counter([w for w, t in zip(words, own, strict=True) if t >= TOKENS - BUCKETS]))
                 if own:
                     held.append(own)
                     of.append(k)
@@ -278,24 +307,36 @@ def score(docs: DataFrame, network: Network, common: list[str], id_col: str = "d
                     flush()
                     held, of, n = [], [], 0
             flush()
-            mean = [float(s / c) if c else None for s, c in zip(sums, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(sums), pa.array(mean, pa.float64())], ["id", "n_tokens", "log_likelihood", "mean_log_probability"])
+            out = [batch.column(0), pa.array(sizes), pa.array(sums)]
+            if shared:
+                out += [pa.array([list(x) for x in rare], pa.list_(pa.string())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(out, names)
 
+    shared = counts is not None
+    names = ["id", "n_tokens", "log_likelihood", *(["words", "times"] if shared else [])]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(work, "id long, n_tokens long, log_likelihood double, mean_log_probability double").withColumnRenamed("id", id_col)
+    found = rows.mapInArrow(work, "id long, n_tokens long, log_likelihood double" + (", words array<string>, times array<int>" if shared else ""))
+    if shared:
+        found = durable(found.withColumn("row", F.monotonically_increasing_id()))
+        each = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times").withColumnRenamed("words", "word")
+        found = found.drop("words", "times").join(within_buckets(each, counts, common), "row", "left")
+        found = found.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0)))
+    return found.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Count the words of docs, train on docs, score every row of docs.
 
     The score is the sum over a document's words of the log probability of each one given the two words on either side;
-    a word that isn't among the commonest counts as its hash bucket. Words are lower-cased, blank-separated.
+    a word that isn't among the commonest is seen by the network as its hash bucket, and has the bucket's probability times its
+    share of the bucket's words in all of docs. Words are lower-cased, blank-separated.
     Null counts as empty: 0 tokens, likelihood 0, no mean. A null id stays, and its text is trained on all the same.
     Repeated rows count as often as they occur. Other columns aren't read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    common = common_words(texts)
-    return score(docs, train(texts, common), common, id_col, text_col)
+    counts = durable(word_counts(texts))
+    common = commonest(counts)
+    return score(docs, train(texts, common), common, id_col, text_col, counts)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,25 @@ def test_context_helps(spark):
     assert network.log_probability(context, target).mean() > unigram + 0.1
     mixed = np.random.default_rng(1).permutation(np.concatenate(held)).tolist()
     assert network.log_probability(*lm.windows([mixed])).mean() < unigram
+
+
+def test_words_share_their_bucket(spark):
+    """Every token has a probability of its own: the bucket's times the word's share of it, and the shares with the unseen one add up to 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = docs.selectExpr("doc_id as id", "text")
+    seen = Counter(w for r in texts.collect() for w in r.text.lower().split())
+    common, first = lm.common_words(texts), lm.TOKENS - lm.BUCKETS
+    token, network = lm.numbering(common), lm.train(texts, common)
+    total = Counter()
+    for w, n in seen.items():
+        total[token[w]] += n
+    assert sum(token[w] >= first for w in seen) > 1000
+    some = spark.createDataFrame([(-1, "unseenword qqqq the unseenword"), (-2, None), (None, "zzzzunseen")], "doc_id long, text string").union(docs.select("doc_id", "text").limit(30))
+    counts = lm.word_counts(texts)
+    plain = {r.doc_id: r for r in lm.score(some, network, common).collect()}
+    whole = {r.doc_id: r for r in lm.score(some, network, common, counts=counts).collect()}
+    for r in some.collect():
+        inside = sum(np.log((seen[w] or 1) / (total[token[w]] + 1)) for w in (r.text or "").lower().split() if token[w] >= first)
+        assert abs(whole[r.doc_id].log_likelihood - plain[r.doc_id].log_likelihood - inside) < 1e-6 * max(1, abs(inside))
+    trained = {r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(docs).collect()}
+    assert all(abs(trained[i] - whole[i].log_likelihood) < 1e-2 * abs(trained[i]) for i in whole if i is not None and i >= 0)
