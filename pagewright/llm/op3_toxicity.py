@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.bpe import Remembered
 from pagewright.llm.common import durable, table, whole_text
 
-#: Labelled rows of each class that are indexed at most; terms at most, their least chi-square and odds ratio.
-EXAMPLES, TERMS, CHI_SQUARE, ODDS = 3000, 2048, 24.0, 4.0
+#: Labelled rows of each class that are indexed at most; chi-square and odds ratio from which a term tells the classes apart, weight of one that doesn't.
+EXAMPLES, CHI_SQUARE, ODDS, PLAIN = 3000, 24.0, 4.0, 0.02
+#: A term that one example in so many has is kept as a row of all examples.
+OFTEN = 8
 #: A word or prefix is a term of its own again where it is dense: so often at least, and so often a word at least.
 LEVELS = ((1, 0.0), (2, 1 / 400), (3, 1 / 120))
 #: Examples in a block, blocks looked at first, neighbours that vote.
@@ -74,20 +76,47 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Examples with unit vectors in blocks. For each term its postings: example numbers, weights, and the largest weight in each block."""
+    """Examples with unit vectors in blocks. Frequent terms have a weight for every example and the largest in each block; the others have postings: example numbers and weights."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Where each term's postings start in at and of, and the end.
+    start: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
+    #: Row of a frequent term, -1 for others; weights by block, row and place in the block; the largest by row and block.
+    row: np.ndarray
+    often: np.ndarray
     block_max: np.ndarray
     #: What a text without any term scores; slope and offset of the calibration.
     empty: float
     slope: float = 1.0
     offset: float = 0.0
 
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.at[a:b], self.of[a:b]) for a, b in zip(self.start[:-1].tolist(), self.start[1:].tolist(), strict=True)]
+
+    def arrange(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Postings, rows and block maxima from the (terms, weights) of every example."""
+        n, sizes = len(vectors), [len(t) for t, _ in vectors]
+        terms = np.concatenate([t for t, _ in vectors] + [np.zeros(0, "i8")]).astype("i8")
+        order = np.argsort(terms, kind="stable")
+        self.at = np.repeat(np.arange(n), sizes)[order].astype("i4")
+        self.of = np.concatenate([w for _, w in vectors] + [np.zeros(0)])[order]
+        self.start = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
+        much = np.flatnonzero(np.diff(self.start) * OFTEN >= max(n, OFTEN))
+        self.row = np.full(len(self.vocabulary), -1, "i4")
+        self.row[much] = np.arange(len(much))
+        self.often = np.zeros((-(-n // BLOCK), len(much), BLOCK))
+        for k, t in enumerate(much):
+            at = self.at[self.start[t] : self.start[t + 1]]
+            self.often[at // BLOCK, k, at % BLOCK] = self.of[self.start[t] : self.start[t + 1]]
+        self.block_max = np.ascontiguousarray(self.often.max(axis=2).T) if len(much) else np.zeros((0, len(self.often)))
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
@@ -95,31 +124,36 @@ class Index:
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int | None = None, first: int = FIRST_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the id of one to leave out.
 
-        The sum of a block's largest weights bounds its cosines. The best-bounded blocks are scored first; of the rest
-        only those whose bound reaches the k-th best cosine so far, so the result is exact.
+        Postings of the rarer terms are summed up for all examples. A block's largest such sum and its largest weights of the
+        frequent terms bound its cosines. The best-bounded blocks are scored first; of the rest only those whose bound
+        reaches the k-th best cosine so far, so the result is exact.
         """
-        bound = w @ self.block_max[terms]
+        row = self.row[terms]
+        rare = row < 0
+        begin, size = self.start[terms[rare]], self.start[terms[rare] + 1] - self.start[terms[rare]]
+        places = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        blocks = len(self.often)
+        part = np.bincount(self.at[places], self.of[places] * np.repeat(w[rare], size), minlength=blocks * BLOCK).reshape(blocks, BLOCK)
+        row, own = row[~rare], w[~rare]
+        bound = part.max(axis=1) + own @ self.block_max[row]
         order = np.argsort(-bound, kind="stable")
-        at = np.concatenate([self.postings[t][0] for t in terms])
-        part = np.concatenate([self.postings[t][1] * x for t, x in zip(terms, w, strict=True)])
-        now = np.zeros(len(bound), bool)
-        now[order[:first]] = True
-        score = self._scored(at, part, now, without)
+        score = np.zeros((blocks, BLOCK))
+        left_out = np.flatnonzero(self.ids == without) if without is not None else np.zeros(0, "i8")
+
+        def scored(some: np.ndarray) -> None:
+            for b in some:
+                score[b] = part[b] + own @ self.often[b, row]
+            score.reshape(-1)[left_out] = 0
+
+        scored(order[:first])
+        flat = score.reshape(-1)[: len(self.ids)]
         if len(order) > first:
-            best = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
-            later = (bound >= max(best, 1e-12) * (1 - 1e-9)) & ~now
-            if later.any():
-                score = np.maximum(score, self._scored(at, part, later, without))
-        found = np.lexsort((np.arange(len(score)), -score))[:k] if len(score) <= k else self._top(score, k)
-        found = found[score[found] > 0]
-        return found, score[found]
-
-    def _scored(self, at: np.ndarray, part: np.ndarray, blocks: np.ndarray, without: int | None) -> np.ndarray:
-        inside = blocks[at // BLOCK]
-        score = np.bincount(at[inside], part[inside], minlength=len(self.ids))
-        if without is not None:
-            score[self.ids == without] = 0
-        return score
+            best = np.partition(flat, len(flat) - k)[len(flat) - k] if len(flat) >= k else 0.0
+            later = order[first:]
+            scored(later[bound[later] >= max(best, 1e-12) * (1 - 1e-9)])
+        found = np.lexsort((np.arange(len(flat)), -flat))[:k] if len(flat) <= k else self._top(flat, k)
+        found = found[flat[found] > 0]
+        return found, flat[found]
 
     @staticmethod
     def _top(score: np.ndarray, k: int) -> np.ndarray:
@@ -169,8 +203,8 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return durable(texts.join(F.broadcast(picked[0].union(picked[1])), "id").select("id", "toxic", "text")), sizes
 
 
-def _terms(examples: DataFrame, terms: int, least: float, odds: float) -> list[tuple[str, int]]:
-    """The terms that tell the classes apart best: by chi-square over documents, with an odds ratio either way."""
+def _terms(examples: DataFrame, least: float, odds: float) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """All terms of the examples, and the factor of each: 1 where chi-square over documents and an odds ratio either way tell the classes apart, else PLAIN."""
 
     def work(batches):
         for batch in batches:
@@ -187,13 +221,14 @@ def _terms(examples: DataFrame, terms: int, least: float, odds: float) -> list[t
     n = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
     if not n0 or not n1:
-        return []
+        return [], np.zeros(0)
     seen = examples.select("toxic", "text").mapInArrow(work, "stem string, level int, clean long, toxic long").groupBy("stem", "level").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n0) - F.col("a"), F.lit(n1) - F.col("b")
     chi = (n0 + n1) * F.pow(a * d - b * c, 2) / (n0 * n1 * (a + b) * F.greatest(c + d, F.lit(0.5)))
     ratio = F.abs(F.log((b + 0.5) * (c + 0.5) / ((a + 0.5) * (d + 0.5))))
-    best = seen.withColumn("chi", chi).filter((F.col("chi") >= least) & (ratio >= float(np.log(odds)))).orderBy(F.desc("chi"), "stem", "level").limit(terms)
-    return [(r.stem, r.level) for r in best.select("stem", "level").collect()]
+    tells = (chi >= least) & (ratio >= float(np.log(odds)))
+    rows = seen.select("stem", "level", tells.alias("tells")).orderBy("stem", "level").toArrow()
+    return list(zip(rows["stem"].to_pylist(), rows["level"].to_pylist(), strict=True)), np.where(np.array(rows["tells"].to_pylist(), bool), 1.0, PLAIN)
 
 
 def _document_frequency(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -210,24 +245,23 @@ def _document_frequency(docs: DataFrame, text_col: str, vocabulary: Vocabulary)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(held[at])], ["term", "n"])
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary) + 1)
-    for r in rows:
-        df[r.term] = r.n
+    df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES, terms: int = TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES) -> Index:
     """The index of the labelled examples that aren't held out.
 
-    Bounds: ``each`` examples a class, ``terms`` terms, so the index that goes to the executors has a fixed size at the
-    most. Document frequencies are taken over all of docs.
+    Every term of every example is indexed; ``each`` examples a class bound the index that goes to the executors. Document
+    frequencies are taken over all of docs.
     """
     examples, sizes = _examples(docs, labels, id_col, text_col, label_col, each)
-    words = _terms(examples, terms, CHI_SQUARE, ODDS)
+    words, factor = _terms(examples, CHI_SQUARE, ODDS)
     vocabulary = Vocabulary(words)
     df, n = _document_frequency(docs, text_col, vocabulary) if words else (np.zeros(0), 0)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = (np.log((1 + n) / (1 + df)) + 1) * factor
 
     def work(batches):
         read = vocabulary.reader()
@@ -239,20 +273,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stands = {t: sizes.get(t, 0) / max(1, sum(r.toxic == t for r in rows)) for t in (0, 1)}
     without = [sum(r.toxic == t and not r.terms for r in rows) * stands[t] for t in (0, 1)]
     empty = without[1] / sum(without) if sum(without) else sizes.get(1, 0) / max(1, sum(sizes.values()))
-    index = Index(vocabulary, idf, np.zeros(0, "i8"), np.zeros(0), np.zeros(0), [], np.zeros((len(words), 0)), empty)
+    none = np.zeros(0)
+    index = Index(vocabulary, idf, np.zeros(0, "i8"), none, none, none, none, none, none, none, none, empty)
     rows = [(r, np.array(r.terms), index.vector(np.array(r.terms), np.array(r.counts))) for r in rows if r.terms]
     rows.sort(key=lambda x: (int(x[1][x[2].argmax()]), x[0].id))  # neighbours share their heaviest term, so bounds are tight
     index.ids, index.toxic = np.array([r.id for r, _, _ in rows], "i8"), np.array([r.toxic for r, _, _ in rows], "f8")
     index.weight = np.array([stands[r.toxic] for r, _, _ in rows])
-    held: list[list] = [[[], []] for _ in words]
-    for k, (_, own, w) in enumerate(rows):
-        for t, x in zip(own.tolist(), w.tolist(), strict=True):
-            held[t][0].append(k)
-            held[t][1].append(x)
-    index.postings = [(np.array(a, "i8"), np.array(w, "f8")) for a, w in held]
-    index.block_max = np.zeros((len(words), -(-len(rows) // BLOCK)))
-    for t, (at, w) in enumerate(index.postings):
-        np.maximum.at(index.block_max[t], at // BLOCK, w)
+    index.arrange([(own, w) for _, own, w in rows])
     if rows:
         votes = np.array([index.vote(*index.nearest(own, w, NEIGHBOURS, r.id)) for r, own, w in rows])
         index.slope, index.offset = _platt(votes, index.toxic, index.weight)
@@ -285,7 +312,8 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fit on docs and labels, then score all of docs.
 
-    Terms are words and word prefixes, and once more where one is dense in a text; a text's weights are (1 + log count) * idf. Its nearest examples vote, weighted by
+    Terms are words and word prefixes, and once more where one is dense in a text; a text's weights are (1 + log count) * idf, less for
+    terms that don't tell the classes apart. Its nearest examples vote, weighted by
     inverse distance and class size, and a logistic curve fitted on the examples' own leave-one-out votes makes a probability of
     the vote. A text that shares no term with any example (an empty or null one too) scores the share of toxic rows among examples
     without terms. Rows of labels with a null, or with a label other than 0 and 1, teach nothing; of several labels of an id the

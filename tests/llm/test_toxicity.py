@@ -42,3 +42,17 @@ def test_odd_rows(spark, odd):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert all(r.score == 0 for r in tox.toxicity(odd, labels.limit(0)).collect())
     assert tox.toxicity(odd.limit(0), labels).count() == 0
+
+
+def test_a_copy_of_an_example_finds_it(spark):
+    """Few labels, and words that one example alone has: every example is indexed with all of its terms."""
+    texts = [f"clean{i} quiet{i} talk{i}" for i in range(8)] + [f"vile{i} nasty{i} slur{i}" for i in range(8)]
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:16]
+    labelled = list(zip(ids, texts, strict=True))
+    docs = spark.createDataFrame([*labelled, *[(1000 + i, t) for i, t in labelled]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in labelled], "doc_id long, toxic int")
+    index = tox.fit(docs, labels)
+    assert sorted(index.ids.tolist()) == ids
+    got = {r.doc_id: r for r in tox.score(docs, index).collect()}
+    for i, _ in labelled:
+        assert got[1000 + i].evidence[0] == i and abs(got[1000 + i].cosine - 1) < 1e-9
