@@ -14,8 +14,9 @@ from pagewright import schemas
 #: Words and runs of newlines; other white space separates.
 TOKEN = r"(?U)\S+|\n+"
 _PY_TOKEN = re.compile(r"\S+|\n+")
-#: First code point that stands for a word in the word error rate, and how many there are before surrogates.
-_FIRST_WORD, _WORD_POINTS = 0x4E00, 0xD800 - 0x4E00
+#: First code point that stands for a word in the word error rate, how many there are before surrogates, and with those of the further planes.
+_FIRST_WORD, _LOW_POINTS = 0x4E00, 0xD800 - 0x4E00
+_WORD_POINTS = _LOW_POINTS + 0x110000 - 0x10000
 
 
 def tokens(column: str | Column) -> Column:
@@ -41,15 +42,20 @@ def wer(base: str, pred: str) -> Column:
     """Word edit distance over the number of baseline words, both stripped; null where either is empty.
 
     Each distinct word becomes one code point, so that the character distance of the rewritten texts is the word distance.
-    Null, too, beyond the code points that don't collide with surrogates: such pairs are for ``wer_python``.
+    Pairs with more distinct words than there are code points go to ``wer_python``.
     """
     words = lambda c: F.filter(F.split(stripped(c), r"(?U)\s+"), lambda w: w != "")
-    point = lambda w, known: F.lpad(F.hex(F.array_position(known, w) + (_FIRST_WORD - 1)), 8, "0")
+    low, high = _FIRST_WORD - 1, 0x10000 - 1 - _LOW_POINTS
+    code = lambda at: at + F.when(at <= _LOW_POINTS, low).otherwise(high)
+    point = lambda w, known: F.lpad(F.hex(F.transform(F.array(F.array_position(known, w)), code)[0]), 8, "0")
     written = lambda ws, known: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: point(w, known)), "")), "UTF-32")
     # one-element arrays bind what is used more than once, so it is worked out once
     bound = F.transform(F.array(F.struct(words(base).alias("b"), words(pred).alias("p"))), lambda s: F.struct(s["b"].alias("b"), s["p"].alias("p"), F.array_distinct(F.concat(s["b"], s["p"])).alias("k")))
     fits = lambda s: (F.size(s["b"]) > 0) & (F.size(s["p"]) > 0) & (F.size(s["k"]) <= _WORD_POINTS)
-    return F.transform(bound, lambda s: F.when(fits(s), F.levenshtein(written(s["b"], s["k"]), written(s["p"], s["k"])) / F.size(s["b"])))[0]
+    rate = F.transform(bound, lambda s: F.when(fits(s), F.levenshtein(written(s["b"], s["k"]), written(s["p"], s["k"])) / F.size(s["b"])))[0]
+    # n words take 2 * n - 1 characters at least
+    many = F.when(F.length(base) + F.length(pred) >= 2 * _WORD_POINTS, F.size(F.array_distinct(F.concat(words(base), words(pred)))) > _WORD_POINTS)
+    return F.coalesce(rate, wer_python(F.when(many, F.col(base)), F.when(many, F.col(pred))))
 
 
 def edit_distance(a: list, b: list) -> int:

@@ -54,3 +54,14 @@ def test_disagreement_is_quick_ratio(spark):
         ratios = [1 - difflib.SequenceMatcher(None, own[i], own[j], autojunk=False).quick_ratio() for i in range(len(own)) for j in range(i + 1, len(own))]
         assert abs(got[page].disagreement - (sum(ratios) / len(ratios) if ratios else 0.0)) < 1e-9, page
     assert got["same"].disagreement == 0 and got["apart"].disagreement == 1 and got["nameless"].n_models == 0
+
+
+def test_word_error_rate_of_many_words(spark, monkeypatch):
+    many = " ".join(f"w{i}" for i in range(36000))
+    rows = spark.createDataFrame([(many, "w35999 w2 x"), ("w1 w2 x", many), ("a b c d e", "a x c y e z"), ("", many), (None, many)], "a string, b string")
+    want = [text._py_wer(r.a, r.b) for r in rows.collect()]
+    assert want[0] is not None and want[3] is None
+    assert [r.w for r in rows.select(text.wer("a", "b").alias("w")).collect()] == want
+    monkeypatch.setattr(text, "_WORD_POINTS", 5)
+    small = rows.filter("length(a) < 20 and length(b) < 20").union(spark.createDataFrame([("a b c", "a b d")], "a string, b string"))
+    assert [r.w for r in small.select(text.wer("a", "b").alias("w")).collect()] == [text._py_wer(r.a, r.b) for r in small.collect()]
