@@ -326,22 +326,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def clean_rows(docs: DataFrame, index: Index, text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
-    """The rows of docs, all columns as they are, that score below ``most``."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+def clean_rows(docs: DataFrame, index: Index, text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns as they are, that score below ``most``; an example is scored without itself, as in score."""
+    sent, at, own_id = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col), docs.columns.index(id_col)
 
     def work(batches):
         index = sent.value
         read = index.vocabulary.reader()
 
-        def scored(text: str) -> float:
+        def scored(text: str, doc_id: int | None) -> float:
             if not (hit := read(text)):
                 return index.empty
             terms, counts = np.array(list(hit)), np.array(list(hit.values()))
-            found, cosine = index.nearest(terms, index.vector(terms, counts), k)
+            found, cosine = index.nearest(terms, index.vector(terms, counts), k, doc_id)
             return index.calibrated(index.vote(found, cosine)) if len(found) else index.empty
 
         for batch in batches:
-            yield batch.filter(pa.array([scored(x or "") < most for x in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scored(x or "", i) < most for x, i in zip(batch.column(at).to_pylist(), batch.column(own_id).to_pylist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
