@@ -158,8 +158,8 @@ def json_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(of[c] for c in word): i for word, i in vocab.items()}, {x["content"]: x["id"] for x in held.get("added_tokens", [])}
 
 
-#: White space (more of it than any pattern takes for such); around a blank or before one at the end; at either end, or nothing at all.
-_WHITE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+#: White space (more of it than any pattern takes for such: the vertical tab, which this matcher leaves out of \s, too); around a blank or before one at the end; at either end, or nothing at all.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _INNER_BLANK_RE2, _WHITE_ENDS_RE2 = rf"{_WHITE} ({_WHITE}|\z)", rf"^{_WHITE}|{_WHITE}\z|^\z"
 
 

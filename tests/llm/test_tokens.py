@@ -50,6 +50,47 @@ def tiktoken_ids(texts):
     return [enc.encode_ordinary(t) for t in texts]
 
 
+def test_white_space():
+    """Every character that Python or the pattern's engine takes for white space, beside blanks and letters, in batches of several texts."""
+    import pyarrow.compute as pc
+    import regex
+
+    from pagewright.llm.op6_packing import VOCABULARY as PACKED
+    from pagewright.llm.op10_bpe_codec import VOCABULARY as CODEC
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    white = [c for c in chars if c.isspace() or regex.match(r"\s", c)]
+    assert "\x0b" in white and all(pc.match_substring_regex(pa.array(white), f"^{bpe._WHITE}$").to_pylist())
+    pick = random.Random(11)
+    texts = [f(w) for w in white for f in ("a {}".format, "{}-".format, "b {0}c {0}d".format, " {0} {0}".format, "a{0} b".format, "x {0}{0} y".format)]
+    texts += ["".join(pick.choice([" ", "a", "b.", pick.choice(white)]) for _ in range(pick.randint(1, 30))) for _ in range(3000)]
+    find = regex.compile(P.PATTERN).findall
+    library_ids = [x.ids for x in Tokenizer.from_file(PACKED).encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 97):
+        some = texts[at : at + 97]
+        batch = pa.array(some, pa.string())
+        cut = lambda found: [found[0][a:b].tolist() for a, b in zip(found[1][:-1], found[1][1:], strict=True)]
+        seen: dict[str, int] = {}
+        words = cut(bpe.words_in(P.PATTERN, lambda w: seen.setdefault(w, len(seen)), "i4")(batch))  # noqa: B023
+        names = list(seen)
+        assert [[names[i] for i in x] for x in words] == [find(t) for t in some]
+        assert cut(bpe.encoder(PACKED, P.PATTERN)(batch)) == library_ids[at : at + 97]
+        assert [sum(x) for x in cut(bpe.counter(VOCABULARY, P.PATTERN)(batch))] == [len(x) for x in library_ids[at : at + 97]]
+    ranks = bpe.read_ranks(CODEC)
+    assert [[i for w in find(t) for i in bpe.encode_word(w.encode(), ranks)] for t in texts] == tiktoken_ids(texts)
+
+
+def test_vertical_tabs(spark):
+    from pagewright.llm.op6_packing import pack
+    from pagewright.llm.op10_bpe_codec import round_trip_digests
+
+    texts = ["a \x0b", "\x0b-", "b \x0bc \x0bd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r.n_tokens for r in count_tokens(docs).orderBy("doc_id").collect()] == library(texts)
+    assert [r.n_tokens for r in round_trip_digests(docs).orderBy("doc_id").collect()] == list(map(len, tiktoken_ids(texts)))
+    assert pack(docs).count() == 3
+
+
 def test_encode_words():
     from pagewright.llm.op10_bpe_codec import VOCABULARY
 
