@@ -11,156 +11,191 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import Remembered
 from pagewright.llm.common import durable, table, whole_text
+from pagewright.llm.unions import runs
 
 #: Labelled rows of each class that are indexed at most; chi-square and odds ratio from which a term tells the classes apart, weight of one that doesn't.
 EXAMPLES, CHI_SQUARE, ODDS, PLAIN = 3000, 24.0, 4.0, 0.02
-#: A term that one example in so many has is kept as a row of all examples.
-OFTEN = 8
-#: A word or prefix is a term of its own again where it is dense: so often at least, and so often a word at least.
-LEVELS = ((1, 0.0), (2, 1 / 400), (3, 1 / 120))
-#: Examples in a block, blocks looked at first, neighbours that vote.
-BLOCK, FIRST_BLOCKS, NEIGHBOURS = 32, 8, 15
-#: Prefixes that count as terms of their own, for words that are longer.
+#: Examples in a block, blocks looked at first, neighbours that vote, clusters by which examples are ordered, and rounds of clustering.
+BLOCK, FIRST_BLOCKS, NEIGHBOURS, CLUSTERS, ROUNDS = 32, 8, 15, 64, 4
+#: A term that one example in so many has keeps its postings as a row of all blocks.
+OFTEN = 16
+#: A prefix of a text's longer words is a term where it is dense: so often at least, and so often a word at least; denser, it is another term as well.
 PREFIXES = (4, 5, 6)
+LEVELS = ((3, 1 / 200), (4, 1 / 80))
 #: Added to a distance before it is inverted.
 SOFT = 0.05
 
 _WORDS = re.compile(r"\w+").findall
 
 
-def stems_of(token: str) -> list[str]:
-    """The words of a blank-separated, lower-cased token and their prefixes."""
+def dense_prefixes(words: list[str]) -> list[str]:
+    """The terms of a text's dense prefixes, with the level that each one reaches."""
+    least, rate = LEVELS[0]
+    bound, n = max(least, rate * len(words)), PREFIXES[0]
+    hot = {p for p, count in Counter([w[:n] for w in words if len(w) > n]).items() if count >= bound}
+    if not hot:
+        return []
+    some = [w for w in words if w[:n] in hot]
     out = []
-    for word in _WORDS(token):
-        out.append(word)
-        out += [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
+    for n in PREFIXES:
+        for p, count in Counter([w[:n] for w in some if len(w) > n]).items():
+            out += [f"{p}*{k}" for k, (least, rate) in enumerate(LEVELS) if count >= least and count >= rate * len(words)]
     return out
 
 
-def _counted(text: str, known: Remembered) -> tuple[Counter, int]:
-    """How often each stem that known gives for a token occurs, and the number of tokens."""
-    tokens = text.lower().split()
-    return Counter([x for token in tokens for x in known[token]]), len(tokens)
+def terms_of(text: str) -> Counter:
+    """How often each term occurs: lower-cased words, and dense prefixes once each."""
+    words = _WORDS(text.lower())
+    held = Counter(words)
+    held.update(dense_prefixes(words))
+    return held
 
 
-def _levels(count: int, size: int) -> list[int]:
-    """The levels that a count among so many tokens reaches."""
-    return [k for k, (least, rate) in enumerate(LEVELS) if count >= least and count >= rate * size]
+class _Numbers(dict):
+    """Term to number; -1 for others."""
+
+    def __missing__(self, term: str) -> int:
+        return -1
 
 
 class Vocabulary:
-    """Numbers terms, each a stem and a level."""
+    """Numbers terms."""
 
-    def __init__(self, terms: list[tuple[str, int]]):
+    def __init__(self, terms: list[str]):
         self.terms = terms
-        self.stems = {x: i for i, x in enumerate(dict.fromkeys(x for x, _ in terms))}
-        self.number = {(self.stems[x], level): i for i, (x, level) in enumerate(terms)}
 
     def __len__(self) -> int:
         return len(self.terms)
 
     def reader(self):
-        """text -> Counter of term numbers: how often the stem occurs at the first level, 1 at the others."""
-        known = Remembered(lambda token: [self.stems[x] for x in stems_of(token) if x in self.stems])
-
-        def read(text: str) -> dict[int, int]:
-            held, size = _counted(text, known)
-            if not held:
-                return {}
-            return {t: count if level == 0 else 1 for stem, count in held.items() for level in _levels(count, size) if (t := self.number.get((stem, level))) is not None}
+        """text -> the numbers of its terms, ascending, and how often each occurs."""
+        number = _Numbers(zip(self.terms, range(len(self.terms)), strict=True)).__getitem__
+
+        def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+            words = _WORDS(text.lower())
+            words += dense_prefixes(words)
+            found = np.fromiter(map(number, words), "i4", len(words))
+            found.sort()
+            found = found[np.searchsorted(found, 0) :]
+            edge = runs(found) if len(found) else np.zeros(1, "i8")
+            return found[edge[:-1]], np.diff(edge)
 
         return read
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start[k] .. start[k] + size[k] - 1, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Index:
-    """Examples with unit vectors in blocks. Frequent terms have a weight for every example and the largest in each block; the others have postings: example numbers and weights."""
+    """Examples with unit vectors, in blocks. A term has an entry for each block that it occurs in: the block, its largest weight there, and its postings, example numbers and weights. A frequent term has a row instead: weights of all examples, the largest in each block."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
+    #: By example.
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    #: Where each term's postings start in at and of, and the end.
-    start: np.ndarray
-    at: np.ndarray
-    of: np.ndarray
-    #: Row of a frequent term, -1 for others; weights by block, row and place in the block; the largest by row and block.
-    row: np.ndarray
-    often: np.ndarray
-    block_max: np.ndarray
     #: What a text without any term scores; slope and offset of the calibration.
     empty: float
     slope: float = 1.0
     offset: float = 0.0
+    #: Where each term's entries start, and the end; block, largest weight and start of the postings of each entry, and the end.
+    start: np.ndarray | None = None
+    block: np.ndarray | None = None
+    most: np.ndarray | None = None
+    begin: np.ndarray | None = None
+    at: np.ndarray | None = None
+    of: np.ndarray | None = None
+    #: Row of a frequent term, -1 for others; largest weights by row and block, weights by row, block and place in the block.
+    row: np.ndarray | None = None
+    peak: np.ndarray | None = None
+    often: np.ndarray | None = None
+    #: Blocks whose postings were read so far, and blocks that there were.
+    read: int = 0
+    there: int = 0
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(self.at[a:b], self.of[a:b]) for a, b in zip(self.start[:-1].tolist(), self.start[1:].tolist(), strict=True)]
-
-    def arrange(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings, rows and block maxima from the (terms, weights) of every example."""
-        n, sizes = len(vectors), [len(t) for t, _ in vectors]
-        terms = np.concatenate([t for t, _ in vectors] + [np.zeros(0, "i8")]).astype("i8")
-        order = np.argsort(terms, kind="stable")
-        self.at = np.repeat(np.arange(n), sizes)[order].astype("i4")
-        self.of = np.concatenate([w for _, w in vectors] + [np.zeros(0)])[order]
-        self.start = np.searchsorted(terms[order], np.arange(len(self.vocabulary) + 1))
-        much = np.flatnonzero(np.diff(self.start) * OFTEN >= max(n, OFTEN))
+        """Examples and weights of each term."""
+        out = []
+        for row, a, b in zip(self.row.tolist(), self.start[:-1].tolist(), self.start[1:].tolist(), strict=True):
+            flat = self.often[row].reshape(-1) if row >= 0 else None
+            here = slice(self.begin[a], self.begin[b])
+            out.append((self.at[here], self.of[here]) if flat is None else (np.flatnonzero(flat), flat[flat > 0]))
+        return out
+
+    def arrange(self, terms: np.ndarray, example: np.ndarray, weights: np.ndarray) -> None:
+        """Entries, postings and rows from the vectors of all examples: a term, an example and a weight each."""
+        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        much = np.flatnonzero(np.bincount(terms, minlength=len(self.vocabulary)) * OFTEN >= max(n, OFTEN))
         self.row = np.full(len(self.vocabulary), -1, "i4")
         self.row[much] = np.arange(len(much))
-        self.often = np.zeros((-(-n // BLOCK), len(much), BLOCK))
-        for k, t in enumerate(much):
-            at = self.at[self.start[t] : self.start[t + 1]]
-            self.often[at // BLOCK, k, at % BLOCK] = self.of[self.start[t] : self.start[t + 1]]
-        self.block_max = np.ascontiguousarray(self.often.max(axis=2).T) if len(much) else np.zeros((0, len(self.often)))
+        self.often = np.zeros((len(much), blocks, BLOCK))
+        dense = self.row[terms] >= 0
+        self.often[self.row[terms[dense]], example[dense] // BLOCK, example[dense] % BLOCK] = weights[dense]
+        self.peak = self.often.max(axis=2).astype("f4")
+        terms, example, weights = terms[~dense], example[~dense], weights[~dense]
+        order = np.lexsort((example, terms))
+        terms, example = terms[order], example[order]
+        self.at, self.of = example.astype("i4"), weights[order]
+        block = example // BLOCK
+        self.begin = runs(terms, block) if len(terms) else np.zeros(1, "i8")
+        first = self.begin[:-1]
+        self.block = block[first].astype("i4")
+        self.most = (np.maximum.reduceat(self.of, first) if len(first) else np.zeros(0)).astype("f4")
+        self.start = np.searchsorted(terms[first], np.arange(len(self.vocabulary) + 1))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int | None = None, first: int = FIRST_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the id of one to leave out.
+        """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the number of one to leave out.
 
-        Postings of the rarer terms are summed up for all examples. A block's largest such sum and its largest weights of the
-        frequent terms bound its cosines. The best-bounded blocks are scored first; of the rest only those whose bound
-        reaches the k-th best cosine so far, so the result is exact.
+        The largest weights of the query's terms in a block bound its cosines. Postings are read of the best-bounded blocks first,
+        then of those whose bound reaches the k-th best cosine so far; the others are never touched, and the result is exact.
         """
+        n, blocks = len(self.ids), self.often.shape[1]
         row = self.row[terms]
-        rare = row < 0
-        begin, size = self.start[terms[rare]], self.start[terms[rare] + 1] - self.start[terms[rare]]
-        places = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
-        blocks = len(self.often)
-        part = np.bincount(self.at[places], self.of[places] * np.repeat(w[rare], size), minlength=blocks * BLOCK).reshape(blocks, BLOCK)
-        row, own = row[~rare], w[~rare]
-        bound = part.max(axis=1) + own @ self.block_max[row]
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros((blocks, BLOCK))
-        left_out = np.flatnonzero(self.ids == without) if without is not None else np.zeros(0, "i8")
-
-        def scored(some: np.ndarray) -> None:
-            for b in some:
-                score[b] = part[b] + own @ self.often[b, row]
-            score.reshape(-1)[left_out] = 0
-
-        scored(order[:first])
-        flat = score.reshape(-1)[: len(self.ids)]
-        if len(order) > first:
-            best = np.partition(flat, len(flat) - k)[len(flat) - k] if len(flat) >= k else 0.0
-            later = order[first:]
-            scored(later[bound[later] >= max(best, 1e-12) * (1 - 1e-9)])
-        found = np.lexsort((np.arange(len(flat)), -flat))[:k] if len(flat) <= k else self._top(flat, k)
-        found = found[flat[found] > 0]
+        heavy = w[row >= 0]
+        row, terms, w = row[row >= 0], terms[row < 0], w[row < 0]
+        size = self.start[terms + 1] - self.start[terms]
+        entry, own = _ranges(self.start[terms], size), np.repeat(w, size)
+        block = self.block[entry]
+        bound = np.bincount(block, self.most[entry] * own, minlength=blocks) + heavy.astype("f4") @ self.peak[row]
+        score, best = np.zeros((blocks, BLOCK)), 1e-12
+        flat = score.reshape(-1)
+        first = min(first, blocks)
+        front = np.zeros(blocks, bool)
+        front[np.argpartition(-bound, first - 1)[:first] if first else []] = True
+        for some in (front, None):
+            if some is None:
+                some = ~front & (bound >= best * (1 - 1e-5))
+            some &= bound > 0
+            if not some.any():
+                continue
+            here = np.flatnonzero(some)
+            self.read += len(here)
+            score[here] = (heavy @ self.often[row[:, None], here].reshape(len(row), len(here) * BLOCK)).reshape(-1, BLOCK)
+            kept = some[block]
+            chosen = entry[kept]
+            begin = self.begin[chosen]
+            many = self.begin[chosen + 1] - begin
+            places = _ranges(begin, many)
+            flat += np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat))
+            if without is not None:
+                flat[without] = 0
+            if n > k:
+                best = max(best, np.partition(flat[:n], n - k)[n - k])
+        self.there += blocks
+        found = np.flatnonzero(flat >= best)
+        found = found[np.lexsort((found, -flat[found]))][:k]
         return found, flat[found]
 
-    @staticmethod
-    def _top(score: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        some = np.flatnonzero(score >= least)
-        return some[np.lexsort((some, -score[some]))][:k]
-
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Votes weighted by inverse distance and by how many rows an example stands for: 0 to 1."""
         if not len(found):
@@ -172,6 +207,35 @@ class Index:
         v = min(max(vote, 0.005), 0.995)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.offset))))
 
+    def scorer(self, k: int = NEIGHBOURS):
+        """text -> (score, numbers of its nearest examples, their cosines)."""
+        read = self.vocabulary.reader()
+
+        def scored(text: str) -> tuple[float, np.ndarray, np.ndarray]:
+            terms, counts = read(text)
+            if not len(terms):
+                return self.empty, np.zeros(0, int), np.zeros(0)
+            found, cosine = self.nearest(terms, self.vector(terms, counts), k)
+            return self.calibrated(self.vote(found, cosine)) if len(found) else self.empty, found, cosine
+
+        return scored
+
+
+def _clustered(terms: np.ndarray, size: np.ndarray, weights: np.ndarray, n_terms: int) -> np.ndarray:
+    """A cluster for each example, by spherical k-means from evenly spaced examples: neighbours in a block are alike, so bounds are tight."""
+    n, start = len(size), np.cumsum(size) - size
+    centre = np.zeros((n_terms, min(CLUSTERS, n)), "f4")
+    of = np.full(n, -1)
+    of[np.linspace(0, n - 1, centre.shape[1]).astype(int)] = np.arange(centre.shape[1])
+    for _ in range(ROUNDS):
+        centre[:] = 0
+        for i in np.flatnonzero(of >= 0):
+            here = slice(start[i], start[i] + size[i])
+            centre[terms[here], of[i]] += weights[here]
+        centre /= np.sqrt((centre * centre).sum(axis=0)) + 1e-12
+        of = np.array([(weights[a : a + m] @ centre[terms[a : a + m]]).argmax() for a, m in zip(start, size, strict=True)])
+    return of
+
 
 def _platt(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve from vote to label by Newton steps, drawn towards (1, 0)."""
@@ -194,53 +258,48 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, each: int) -> tuple[DataFrame, dict[int, int]]:
-    """Durable (id, toxic, text) of at most ``each`` rows of each class, those of the least hash of their id; and how many labelled ids each class has."""
+    """Durable (id, toxic, text) of at most ``each`` documents of each class, those of the least hash of their id; and how many labelled ids each class has. Of several texts of an id the least counts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out("id"))
     known = durable(known.groupBy("id").agg(F.max("toxic").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(each) for t in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return durable(texts.join(F.broadcast(picked[0].union(picked[1])), "id").select("id", "toxic", "text")), sizes
+    return durable(texts.join(F.broadcast(picked[0].union(picked[1])), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))), sizes
 
 
-def _terms(examples: DataFrame, least: float, odds: float) -> tuple[list[tuple[str, int]], np.ndarray]:
+def _terms(examples: DataFrame, least: float, odds: float) -> tuple[list[str], np.ndarray]:
     """All terms of the examples, and the factor of each: 1 where chi-square over documents and an odds ratio either way tell the classes apart, else PLAIN."""
 
     def work(batches):
         for batch in batches:
-            held: dict[tuple[str, int], list[int]] = {}
-            known = Remembered(stems_of)
+            held: dict[str, list[int]] = {}
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts, size = _counted(text, known)
-                for stem, count in counts.items():
-                    for level in _levels(count, size):
-                        held.setdefault((stem, level), [0, 0])[toxic] += 1
-            stems, levels = zip(*held, strict=True) if held else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(levels, pa.int32()), *[pa.array([x[k] for x in held.values()], pa.int64()) for k in (0, 1)]], ["stem", "level", "clean", "toxic"])
+                for term in terms_of(text):
+                    held.setdefault(term, [0, 0])[toxic] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *[pa.array([x[k] for x in held.values()], pa.int64()) for k in (0, 1)]], ["term", "clean", "toxic"])
 
     n = {r.toxic: r["count"] for r in examples.groupBy("toxic").count().collect()}
     n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
     if not n0 or not n1:
         return [], np.zeros(0)
-    seen = examples.select("toxic", "text").mapInArrow(work, "stem string, level int, clean long, toxic long").groupBy("stem", "level").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    seen = examples.select("toxic", "text").mapInArrow(work, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n0) - F.col("a"), F.lit(n1) - F.col("b")
     chi = (n0 + n1) * F.pow(a * d - b * c, 2) / (n0 * n1 * (a + b) * F.greatest(c + d, F.lit(0.5)))
     ratio = F.abs(F.log((b + 0.5) * (c + 0.5) / ((a + 0.5) * (d + 0.5))))
-    tells = (chi >= least) & (ratio >= float(np.log(odds)))
-    rows = seen.select("stem", "level", tells.alias("tells")).orderBy("stem", "level").toArrow()
-    return list(zip(rows["stem"].to_pylist(), rows["level"].to_pylist(), strict=True)), np.where(np.array(rows["tells"].to_pylist(), bool), 1.0, PLAIN)
+    rows = seen.select("term", ((chi >= least) & (ratio >= float(np.log(odds)))).alias("tells")).orderBy("term").toArrow()
+    return rows["term"].to_pylist(), np.where(rows["tells"].to_numpy(), 1.0, PLAIN)
 
 
 def _document_frequency(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches):
-        read, held, n = vocabulary.reader(), np.zeros(len(vocabulary) + 1, "i8"), 0
+        read, held, n = sent.value.reader(), np.zeros(len(sent.value) + 1, "i8"), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                if hit := read(text):
-                    held[list(hit)] += 1
+                held[read(text)[0]] += 1
         held[-1] = n
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(held[at])], ["term", "n"])
@@ -255,55 +314,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The index of the labelled examples that aren't held out.
 
     Every term of every example is indexed; ``each`` examples a class bound the index that goes to the executors. Document
-    frequencies are taken over all of docs.
+    frequencies are taken over all of docs. Votes for the calibration are cast without the example itself.
     """
     examples, sizes = _examples(docs, labels, id_col, text_col, label_col, each)
     words, factor = _terms(examples, CHI_SQUARE, ODDS)
     vocabulary = Vocabulary(words)
     df, n = _document_frequency(docs, text_col, vocabulary) if words else (np.zeros(0), 0)
     idf = (np.log((1 + n) / (1 + df)) + 1) * factor
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches):
-        read = vocabulary.reader()
+        read = sent.value.reader()
         for batch in batches:
-            held = [read(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(h) for h in held], pa.list_(pa.int32())), pa.array([list(h.values()) for h in held], pa.list_(pa.int32()))], ["id", "toxic", "terms", "counts"])
-
-    rows = sorted({r.id: r for r in examples.mapInArrow(work, "id long, toxic int, terms array<int>, counts array<int>").collect()}.values(), key=lambda r: r.id)
-    stands = {t: sizes.get(t, 0) / max(1, sum(r.toxic == t for r in rows)) for t in (0, 1)}
-    without = [sum(r.toxic == t and not r.terms for r in rows) * stands[t] for t in (0, 1)]
+            terms, counts = zip(*[read(x) for x in batch.column(2).to_pylist()], strict=True) if batch.num_rows else ((), ())
+            ends = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, "i4"), *x]).astype("i4"))) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "toxic", "terms", "counts"])
+
+    rows = examples.mapInArrow(work, "id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    ids, toxic = rows["id"].to_numpy(), rows["toxic"].to_numpy().astype("f8")
+    size = pa.compute.list_value_length(rows["terms"]).to_numpy()
+    terms, counts = (pa.compute.list_flatten(rows[x]).to_numpy() for x in ("terms", "counts"))
+    stands = np.array([sizes.get(t, 0) / max(1, int((toxic == t).sum())) for t in (0, 1)])
+    without = [float(((toxic == t) & (size == 0)).sum() * stands[t]) for t in (0, 1)]
     empty = without[1] / sum(without) if sum(without) else sizes.get(1, 0) / max(1, sum(sizes.values()))
-    none = np.zeros(0)
-    index = Index(vocabulary, idf, np.zeros(0, "i8"), none, none, none, none, none, none, none, none, empty)
-    rows = [(r, np.array(r.terms), index.vector(np.array(r.terms), np.array(r.counts))) for r in rows if r.terms]
-    rows.sort(key=lambda x: (int(x[1][x[2].argmax()]), x[0].id))  # neighbours share their heaviest term, so bounds are tight
-    index.ids, index.toxic = np.array([r.id for r, _, _ in rows], "i8"), np.array([r.toxic for r, _, _ in rows], "f8")
-    index.weight = np.array([stands[r.toxic] for r, _, _ in rows])
-    index.arrange([(own, w) for _, own, w in rows])
-    if rows:
-        votes = np.array([index.vote(*index.nearest(own, w, NEIGHBOURS, r.id)) for r, own, w in rows])
+    ids, toxic, size = ids[size > 0], toxic[size > 0], size[size > 0]
+    index = Index(vocabulary, idf, ids, toxic, stands[toxic.astype(int)], empty)
+    example = np.repeat(np.arange(len(ids)), size)
+    weights = (1 + np.log(counts)) * idf[terms]
+    weights /= np.sqrt(np.bincount(example, weights * weights, minlength=len(ids)))[example]
+    if len(ids):
+        start = np.cumsum(size) - size
+        heaviest = np.array([terms[a + weights[a : a + m].argmax()] for a, m in zip(start, size, strict=True)])
+        order = np.lexsort((ids, heaviest, _clustered(terms, size, weights, len(vocabulary))))
+        place = np.argsort(order)
+        index.ids, index.toxic, index.weight, example = ids[order], toxic[order], index.weight[order], place[example]
+    index.arrange(terms, example, weights)
+    if len(ids):
+        votes = np.zeros(len(ids))
+        for i, a, m in zip(place, start, size, strict=True):
+            votes[i] = index.vote(*index.nearest(terms[a : a + m], weights[a : a + m], NEIGHBOURS, i))
         index.slope, index.offset = _platt(votes, index.toxic, index.weight)
     return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
-    """(id, held_out, score, predicted, evidence, cosine) for every row of docs; evidence: ids of the nearest examples, nearest first, itself left out."""
+    """(id, held_out, score, predicted, evidence, cosine) for every row of docs; evidence: ids of the nearest examples, nearest first. Equal texts score equal: the id is not looked at, so an example is its own nearest."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches):
         index = sent.value
-        read = index.vocabulary.reader()
+        scored = index.scorer(k)
         for batch in batches:
-            scores, evidence, cosines = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.zeros(0, int)
-                if hit := read(text):
-                    terms, counts = np.array(list(hit)), np.array(list(hit.values()))
-                    found, cosine = index.nearest(terms, index.vector(terms, counts), k, doc_id)
-                scores.append(index.calibrated(index.vote(found, cosine)) if len(found) else index.empty)
-                evidence.append(index.ids[found].tolist())
-                cosines.append(float(cosine[0]) if len(found) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.float64())], ["id", "score", "evidence", "cosine"])
+            scores, found, cosines = zip(*[scored(x) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
+            evidence = pa.array([index.ids[x].tolist() for x in found], pa.list_(pa.int64()))
+            nearest = pa.array([float(x[0]) if len(x) else 0.0 for x in cosines], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, nearest], ["id", "score", "evidence", "cosine"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosine")
@@ -312,12 +378,14 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fit on docs and labels, then score all of docs.
 
-    Terms are words and word prefixes, and once more where one is dense in a text; a text's weights are (1 + log count) * idf, less for
+    Terms are words, and word prefixes that are dense in a text; a text's weights are (1 + log count) * idf, less for
     terms that don't tell the classes apart. Its nearest examples vote, weighted by
     inverse distance and class size, and a logistic curve fitted on the examples' own leave-one-out votes makes a probability of
     the vote. A text that shares no term with any example (an empty or null one too) scores the share of toxic rows among examples
     without terms. Rows of labels with a null, or with a label other than 0 and 1, teach nothing; of several labels of an id the
-    largest counts. With no labels of one of the classes every score is the share of the other. Repeated rows get a row each.
+    largest counts, of several texts the least. With no labels of one of the classes every score is the share of the other. Repeated rows
+    get a row each, equal texts (ties) the same score; an empty table gives an empty result, and other columns aren't read.
+    Texts of any length are read whole, a text at a time.
     """
     return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
 
@@ -326,22 +394,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def clean_rows(docs: DataFrame, index: Index, text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns as they are, that score below ``most``; an example is scored without itself, as in score."""
-    sent, at, own_id = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col), docs.columns.index(id_col)
+def clean_rows(docs: DataFrame, index: Index, text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
+    """The rows of docs, all columns as they are, that score below ``most``."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
 
     def work(batches):
-        index = sent.value
-        read = index.vocabulary.reader()
-
-        def scored(text: str, doc_id: int | None) -> float:
-            if not (hit := read(text)):
-                return index.empty
-            terms, counts = np.array(list(hit)), np.array(list(hit.values()))
-            found, cosine = index.nearest(terms, index.vector(terms, counts), k, doc_id)
-            return index.calibrated(index.vote(found, cosine)) if len(found) else index.empty
-
+        scored = sent.value.scorer(k)
         for batch in batches:
-            yield batch.filter(pa.array([scored(x or "", i) < most for x, i in zip(batch.column(at).to_pylist(), batch.column(own_id).to_pylist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([scored(x or "")[0] < most for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -56,3 +56,63 @@ def test_a_copy_of_an_example_finds_it(spark):
     got = {r.doc_id: r for r in tox.score(docs, index).collect()}
     for i, _ in labelled:
         assert got[1000 + i].evidence[0] == i and abs(got[1000 + i].cosine - 1) < 1e-9
+
+
+def test_score_against_brute_force(spark):
+    """Examples, terms, weights, cosines, votes and calibration worked out anew in plain Python over dictionaries."""
+    import math
+    from collections import Counter
+
+    docs, labels = load(spark, "sf0.01")
+    index = tox.fit(docs, labels)
+    got = {r.doc_id: r for r in tox.score(docs, index).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    counts = {i: tox.terms_of(t) for i, t in texts.items()}
+    n = [sum(t == y for t in truth.values()) for y in (0, 1)]
+    seen = [Counter(x for i, t in truth.items() if t == y for x in counts[i]) for y in (0, 1)]
+    factor = {}
+    for x in seen[0] | seen[1]:
+        a, b = seen[0][x], seen[1][x]
+        c, d = n[0] - a, n[1] - b
+        chi = sum(n) * (a * d - b * c) ** 2 / (n[0] * n[1] * (a + b) * max(c + d, 0.5))
+        factor[x] = 1.0 if chi >= 24 and abs(math.log((b + 0.5) * (c + 0.5) / ((a + 0.5) * (d + 0.5)))) >= math.log(4) else 0.02
+    frequency = Counter(x for c in counts.values() for x in c)
+    idf = {x: (math.log((1 + len(texts)) / (1 + frequency[x])) + 1) * f for x, f in factor.items()}
+
+    def vector(i):
+        w = {x: (1 + math.log(c)) * idf[x] for x, c in counts[i].items() if x in idf}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / norm for x, v in w.items()}
+
+    examples = {i: v for i in truth if (v := vector(i))}
+    for i in list(texts)[::9]:
+        own = vector(i)
+        cosine = sorted(((sum(v * e.get(x, 0.0) for x, v in own.items()), j) for j, e in examples.items()), reverse=True)
+        best = [c for c, _ in cosine[:15] if c > 1e-12]
+        assert np.allclose([sum(v * examples[j].get(x, 0.0) for x, v in own.items()) for j in got[i].evidence], best, atol=1e-5)
+        if not best:
+            assert got[i].score == index.empty
+            continue
+        if len(cosine) > 15 and cosine[14][0] - cosine[15][0] < 1e-5:
+            continue  # a tie for the last place
+        w = [1 / (1 - min(c, 1) + 0.05) for c, _ in cosine[: len(best)]]
+        v = min(max(sum(a * truth[j] for a, (_, j) in zip(w, cosine, strict=False)) / sum(w), 0.005), 0.995)
+        assert abs(got[i].score - 1 / (1 + math.exp(-(index.slope * math.log(v / (1 - v)) + index.offset)))) < 1e-3
+
+
+def test_equal_texts_score_equal_and_blocks_are_skipped(spark):
+    docs, labels = load(spark, "sf0.1")
+    index = tox.fit(docs, labels)
+    scores, by_text, alone = {r.doc_id: r for r in tox.score(docs, index).collect()}, {}, 0
+    rows = docs.collect()
+    for r in rows:
+        by_text.setdefault(r.text, set()).add(scores[r.doc_id].score)
+        alone += not scores[r.doc_id].evidence
+    assert all(len(x) == 1 for x in by_text.values())
+    assert alone < 0.1 * len(rows)  # documents without any neighbour
+    index.read = index.there = 0
+    scored = index.scorer()
+    for r in rows[:400]:
+        scored(r.text or "")
+    assert index.read < 0.6 * index.there
