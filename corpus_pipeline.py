@@ -8,12 +8,13 @@ Extra columns pass through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm import op3_toxicity, op9_quality
 from pagewright.llm.common import durable, table, without
-from pagewright.llm.near_copies import near_copies
 from pagewright.llm.op6_packing import pack
 from pagewright.llm.op8_exact_dedup import copies
+from pagewright.llm.similar import similar_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +28,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return without(docs, durable(copies(docs).filter("doc_id <> keep_id").select("doc_id").distinct()), "doc_id")
+    """Of equal texts the document with the largest id. Rows go by id and text, so another text of an id stays."""
+    lesser = copies(docs).filter("doc_id <> keep_id").select(F.col("doc_id").alias("id"), "h").distinct()
+    return without(docs, durable(lesser))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, pairs with a five-word similarity of 0.8 or more, the one with the smallest id."""
-    return without(docs, durable(near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id")
+    """Of documents that links connect, pairs with a five-word similarity of 0.8 or more, the one with the smallest id. Rows go by id and text."""
+    lesser = similar_texts(docs).filter("not kept").select(F.col("doc_id").alias("id"), "h").distinct()
+    return without(docs, durable(lesser))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,11 +23,15 @@ def whole_text(column: str = "text") -> Column:
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests).
+    The folder is the session's ``spark.checkpoint.dir``. A temporary one is set only where the session names none and its executors are
+    this process (tests); on a cluster they would each write to a disk of their own, so that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -36,6 +40,8 @@ def narrow(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= bound else small
 
 
-def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is not in dropped (one column, durable). Nulls in df's key stay."""
-    return df.join(narrow(dropped.select(F.col(key).alias("__dropped"))), F.col(key) == F.col("__dropped"), "left_anti")
+def without(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df whose id and text, by its xxhash64, aren't in dropped (id, h; durable). So rows that share an id alone stay."""
+    own = narrow(dropped.select(F.col("id").alias("__dropped_id"), F.col("h").alias("__dropped_h")))
+    same = F.col(id_col).eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(whole_text(text_col)) == F.col("__dropped_h"))
+    return df.join(own, same, "left_anti")

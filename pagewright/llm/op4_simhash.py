@@ -60,12 +60,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).mapInArrow(work, "id long, fp long")
 
 
-def _traverse(v: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, max_bits: int, label: np.ndarray) -> np.ndarray:
-    """label with all fingerprints united that lie below the given pairs of trie nodes and differ in max_bits or fewer.
+def near_pairs(v: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, stop: int, max_bits: int, label: np.ndarray):
+    """Pairs (i, j) of places in v that lie below the given pairs of trie nodes and differ in max_bits or fewer of the first stop bits.
 
     v is sorted where it matters: a node at a depth is a range of v with equal leading bits. pairs: the ranges a0, a1 and
     b0, b1 of both nodes and the bits in which they differ so far. Pairs are taken depth first in batches; a pair
-    goes when its bits exceed the budget, or when both ranges already belong to one set.
+    goes when its bits exceed the budget, or when both ranges belong to one set by label, which may change between batches.
     """
     stack = [(depth, pairs)]
     while stack:
@@ -81,12 +81,12 @@ def _traverse(v: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, max_bits
             ia, ib = np.minimum(a0, len(v) - 1), np.minimum(b0, len(v) - 1)
             live &= ~((turns[ia] == turns[a1 - 1]) & (turns[ib] == turns[b1 - 1]) & (label[ia] == label[ib]))
         a0, a1, b0, b1, bits, same = (x[live] for x in (a0, a1, b0, b1, bits, same))
-        small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth >= 64)
+        small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (depth >= stop)
         if small.any():
             k, x, y = pairs_within((a1 - a0)[small], (b1 - b0)[small])
             i, j = a0[small][k] + x, b0[small][k] + y
             near = (np.bitwise_count(v[i] ^ v[j]) <= max_bits) & (i != j)
-            label = united(label, i[near], j[near])
+            yield i[near], j[near]
         a0, a1, b0, b1, bits, same = (x[~small] for x in (a0, a1, b0, b1, bits, same))
         if not len(a0):
             continue
@@ -98,6 +98,12 @@ def _traverse(v: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, max_bits
             np.concatenate([b0, bm, bm, b0[cross]]), np.concatenate([bm, b1, b1, bm[cross]]),
             np.concatenate([bits, bits, bits + 1, bits[cross] + 1]),
         )))
+
+
+def _traverse(v: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, max_bits: int, label: np.ndarray) -> np.ndarray:
+    """label with all fingerprints united that lie below the given pairs of trie nodes and differ in max_bits or fewer."""
+    for i, j in near_pairs(v, pairs, depth, 64, max_bits, label):
+        label[:] = united(label, i, j)
     return label
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import BROADCAST_ROWS, durable, narrow, table, whole_text
 
 PREFIX_CHARS = 256
+#: Bits of the bitmap that stands for groups beyond a broadcast: 32 MB.
+BITMAP_BITS = 28
 #: Groups with their digests are wider than ids; fewer of them are broadcast.
 BROADCAST_GROUPS = 100_000
 
@@ -20,13 +22,18 @@ def normalised(text: Column) -> Column:
 
 
 def _survivors(rows: DataFrame, groups: DataFrame, bound: int) -> DataFrame:
-    """rows whose keys are in groups (all columns of groups), where groups is small enough to send along.
+    """rows whose keys are in groups (its columns); where groups has over ``bound`` rows, rows that hit the bitmap of its keys, which is as large however many they are.
 
-    Beyond the bound every row counts as a survivor: that reads more content but moves no texts and changes no result.
+    A row that hits the bitmap by chance is hashed in vain and forms no group; no text is moved, and the result is the same.
     """
-    if groups.count() > bound:
-        return rows
-    return rows.join(F.broadcast(groups), groups.columns, "left_semi")
+    if groups.count() <= bound:
+        return rows.join(F.broadcast(groups), groups.columns, "left_semi")
+    bit = F.xxhash64(*groups.columns).bitwiseAND((1 << BITMAP_BITS) - 1)
+    set_ = groups.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("__page")).agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3).bitwiseAND(4095).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, cast(__at & 7 as int)) & 1") == 1
+    found = rows.withColumn("__at", bit).join(F.broadcast(durable(set_)), F.shiftright("__at", 15) == F.col("__page")).withColumn("__byte", byte)
+    return found.filter(hit).drop("__at", "__page", "__bits", "__byte")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,9 +54,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, keep_id, group_size) for the rows of groups of two or more alone; the full text of other rows is never hashed. What counts as equal, and for odd rows: as in exact_duplicates."""
+    """(id, h, keep_id, group_size) for the rows of groups of two or more alone, h: xxhash64 of the text as it is; the full text of other rows is never hashed. What counts as equal, and for odd rows: as in exact_duplicates."""
     _, left, groups = duplicate_groups(docs, id_col, text_col, prefix_chars, bound)
-    return left.drop("text").join(narrow(groups, BROADCAST_GROUPS), ["size", "prefix", "digest"]).select(F.col("id").alias(id_col), "keep_id", "group_size")
+    own = left.withColumn("h", F.xxhash64("text")).drop("text")
+    return own.join(narrow(groups, BROADCAST_GROUPS), ["size", "prefix", "digest"]).select(F.col("id").alias(id_col), "h", "keep_id", "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bound: int = BROADCAST_ROWS) -> DataFrame:
