@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled examples don't make them toxic; the examples are the labelled documents among docs that aren't held out."""
-    return op3_toxicity.clean_rows(docs, op3_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return op3_toxicity.clean_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

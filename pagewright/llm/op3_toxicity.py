@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from pagewright.llm.bpe import slices
 from pagewright.llm.common import durable, table, whole_text
 from pagewright.llm.unions import runs
 
@@ -25,6 +29,8 @@ PREFIXES = (4, 5, 6)
 LEVELS = ((3, 1 / 200), (4, 1 / 80))
 #: Added to a distance before it is inverted.
 SOFT = 0.05
+#: The column of packed terms.
+TERMS = "__terms"
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -52,13 +58,6 @@ def terms_of(text: str) -> Counter:
     return held
 
 
-class _Numbers(dict):
-    """Term to number; -1 for others."""
-
-    def __missing__(self, term: str) -> int:
-        return -1
-
-
 class Vocabulary:
     """Numbers terms."""
 
@@ -70,16 +69,15 @@ class Vocabulary:
 
     def reader(self):
         """text -> the numbers of its terms, ascending, and how often each occurs."""
-        number = _Numbers(zip(self.terms, range(len(self.terms)), strict=True)).__getitem__
+        number = dict(zip(self.terms, range(len(self.terms)), strict=True)).get
 
         def read(text: str) -> tuple[np.ndarray, np.ndarray]:
-            words = _WORDS(text.lower())
-            words += dense_prefixes(words)
-            found = np.fromiter(map(number, words), "i4", len(words))
-            found.sort()
-            found = found[np.searchsorted(found, 0) :]
-            edge = runs(found) if len(found) else np.zeros(1, "i8")
-            return found[edge[:-1]], np.diff(edge)
+            held = terms_of(text)
+            found = np.fromiter(map(number, held, repeat(-1)), "i8", len(held))
+            counts = np.fromiter(held.values(), "i4", len(held))
+            order = np.argsort(found)
+            order = order[np.searchsorted(found[order], 0) :]
+            return found[order], counts[order]
 
         return read
 
@@ -159,7 +157,7 @@ class Index:
         The largest weights of the query's terms in a block bound its cosines. Postings are read of the best-bounded blocks first,
         then of those whose bound reaches the k-th best cosine so far; the others are never touched, and the result is exact.
         """
-        n, blocks = len(self.ids), self.often.shape[1]
+        blocks = self.often.shape[1]
         row = self.row[terms]
         heavy = w[row >= 0]
         row, terms, w = row[row >= 0], terms[row < 0], w[row < 0]
@@ -189,10 +187,11 @@ class Index:
             flat += np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat))
             if without is not None:
                 flat[without] = 0
-            if n > k:
-                best = max(best, np.partition(flat[:n], n - k)[n - k])
+            top = score[here].reshape(-1)
+            if len(top) > k:
+                best = max(best, np.partition(top, len(top) - k)[len(top) - k])
         self.there += blocks
-        found = np.flatnonzero(flat >= best)
+        found = np.flatnonzero(flat >= best)  # places beyond the last example hold 0
         found = found[np.lexsort((found, -flat[found]))][:k]
         return found, flat[found]
 
@@ -207,18 +206,12 @@ class Index:
         v = min(max(vote, 0.005), 0.995)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.offset))))
 
-    def scorer(self, k: int = NEIGHBOURS):
-        """text -> (score, numbers of its nearest examples, their cosines)."""
-        read = self.vocabulary.reader()
-
-        def scored(text: str) -> tuple[float, np.ndarray, np.ndarray]:
-            terms, counts = read(text)
-            if not len(terms):
-                return self.empty, np.zeros(0, int), np.zeros(0)
-            found, cosine = self.nearest(terms, self.vector(terms, counts), k)
-            return self.calibrated(self.vote(found, cosine)) if len(found) else self.empty, found, cosine
-
-        return scored
+    def scored(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score of a text with these terms, the numbers of its nearest examples and their cosines."""
+        if not len(terms):
+            return self.empty, np.zeros(0, int), np.zeros(0)
+        found, cosine = self.nearest(terms, self.vector(terms, counts), k)
+        return self.calibrated(self.vote(found, cosine)) if len(found) else self.empty, found, cosine
 
 
 def _clustered(terms: np.ndarray, size: np.ndarray, weights: np.ndarray, n_terms: int) -> np.ndarray:
@@ -290,28 +283,59 @@ def _terms(examples: DataFrame, least: float, odds: float) -> tuple[list[str], n
     return rows["term"].to_pylist(), np.where(rows["tells"].to_numpy(), 1.0, PLAIN)
 
 
-def _document_frequency(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending term numbers as differences, then counts, their bytes in four planes, compressed."""
+    both = np.concatenate([np.diff(terms, prepend=0), counts]).astype("<i4")
+    return zstandard.compress(both.view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zstandard.decompress(held), "u1").reshape(4, -1).T).view("<i4").ravel()
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype="i8"), both[half:]
+
+
+def numbered(docs: DataFrame, vocabulary: Vocabulary, text_col: str, keep_text: bool) -> DataFrame:
+    """docs, durable, with the terms of each text and their counts in a column more, TERMS; so that a text is read once for frequencies and scores."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(vocabulary), docs.columns.index(text_col)
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
     def work(batches):
-        read, held, n = sent.value.reader(), np.zeros(len(sent.value) + 1, "i8"), 0
+        read = sent.value.reader()
+        for batch in (some for batch in batches for some in slices(batch, at)):
+            held = pa.array([_packed(*read(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
+            kept = [batch.column(i) for i in range(batch.num_columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*kept, held], [*[f.name for f in fields], TERMS])
+
+    return durable(docs.mapInArrow(work, StructType([*fields, StructField(TERMS, BinaryType())])))
+
+
+def _document_frequency(known: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of so many terms occurs, and how many documents there are."""
+
+    def work(batches):
+        held, n = np.zeros(size + 1, "i8"), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for packed in batch.column(0).to_pylist():
                 n += 1
-                held[read(text)[0]] += 1
+                held[_unpacked(packed)[0]] += 1
         held[-1] = n
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(held[at])], ["term", "n"])
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary) + 1)
+    rows = known.select(TERMS).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1)
     df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return df[:-1], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES) -> Index:
-    """The index of the labelled examples that aren't held out.
+    """The index alone, see fitted."""
+    return fitted(docs, labels, id_col, text_col, label_col, each)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = EXAMPLES, keep_text: bool = False) -> tuple[Index, DataFrame]:
+    """The index of the labelled examples that aren't held out, and docs with their terms in its vocabulary.
 
     Every term of every example is indexed; ``each`` examples a class bound the index that goes to the executors. Document
     frequencies are taken over all of docs. Votes for the calibration are cast without the example itself.
@@ -319,7 +343,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples, sizes = _examples(docs, labels, id_col, text_col, label_col, each)
     words, factor = _terms(examples, CHI_SQUARE, ODDS)
     vocabulary = Vocabulary(words)
-    df, n = _document_frequency(docs, text_col, vocabulary) if words else (np.zeros(0), 0)
+    known = numbered(docs, vocabulary, text_col, keep_text)
+    df, n = _document_frequency(known, len(vocabulary))
     idf = (np.log((1 + n) / (1 + df)) + 1) * factor
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -355,23 +380,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for i, a, m in zip(place, start, size, strict=True):
             votes[i] = index.vote(*index.nearest(terms[a : a + m], weights[a : a + m], NEIGHBOURS, i))
         index.slope, index.offset = _platt(votes, index.toxic, index.weight)
-    return index
+    return index, known
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     """(id, held_out, score, predicted, evidence, cosine) for every row of docs; evidence: ids of the nearest examples, nearest first. Equal texts score equal: the id is not looked at, so an example is its own nearest."""
+    if TERMS not in docs.columns:
+        docs = numbered(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), index.vocabulary, text_col, False)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches):
         index = sent.value
-        scored = index.scorer(k)
         for batch in batches:
-            scores, found, cosines = zip(*[scored(x) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
+            scores, found, cosines = zip(*[index.scored(*_unpacked(x), k) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
             evidence = pa.array([index.ids[x].tolist() for x in found], pa.list_(pa.int64()))
             nearest = pa.array([float(x[0]) if len(x) else 0.0 for x in cosines], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, nearest], ["id", "score", "evidence", "cosine"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), TERMS).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosine")
 
 
@@ -387,20 +413,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     get a row each, equal texts (ties) the same score; an empty table gives an empty result, and other columns aren't read.
     Texts of any length are read whole, a text at a time.
     """
-    return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+    index, known = fitted(docs.select(id_col, text_col), labels, id_col, text_col)
+    return score(known, index, id_col)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def clean_rows(docs: DataFrame, index: Index, text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
-    """The rows of docs, all columns as they are, that score below ``most``."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
+    """The rows of docs, all columns as they are, that score below ``most`` by examples among docs."""
+    index, known = fitted(docs, labels, id_col, text_col, keep_text=True)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches):
-        scored = sent.value.scorer(k)
         for batch in batches:
-            yield batch.filter(pa.array([scored(x or "")[0] < most for x in batch.column(at).to_pylist()], pa.bool_()))
+            stay = pa.array([sent.value.scored(*_unpacked(x), k)[0] < most for x in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
+            yield batch.filter(stay).drop_columns(TERMS)
 
-    return docs.mapInArrow(work, docs.schema)
+    return known.mapInArrow(work, docs.schema)

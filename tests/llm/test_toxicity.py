@@ -112,7 +112,7 @@ def test_equal_texts_score_equal_and_blocks_are_skipped(spark):
     assert all(len(x) == 1 for x in by_text.values())
     assert alone < 0.1 * len(rows)  # documents without any neighbour
     index.read = index.there = 0
-    scored = index.scorer()
+    read = index.vocabulary.reader()
     for r in rows[:400]:
-        scored(r.text or "")
+        index.scored(*read(r.text or ""))
     assert index.read < 0.6 * index.there
