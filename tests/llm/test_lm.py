@@ -93,3 +93,23 @@ def test_words_share_their_bucket(spark):
         assert abs(whole[r.doc_id].log_likelihood - plain[r.doc_id].log_likelihood - inside) < 1e-6 * max(1, abs(inside))
     trained = {r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(docs).collect()}
     assert all(abs(trained[i] - whole[i].log_likelihood) < 1e-2 * abs(trained[i]) for i in whole if i is not None and i >= 0)
+
+
+def test_scores_dont_follow_the_layout(spark, monkeypatch):
+    """The same documents in one partition and in eight get the same scores; several groups are trained."""
+    monkeypatch.setattr(lm, "GROUP_POSITIONS", 60_000)
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, eight = ({r.doc_id: r.log_likelihood for r in lm.pseudo_likelihood(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys() and all(abs(one[i] - eight[i]) <= 1e-6 * max(1, abs(one[i])) for i in one)
+
+
+def test_head_and_tail_agree(spark):
+    """A word's share is the same whether its count was sent along or joined in."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = docs.selectExpr("doc_id as id", "text")
+    counts = lm.word_counts(texts)
+    common = lm.commonest(counts)
+    network = lm.Network.fresh()
+    all_, none = ({r.id: r.log_likelihood for r in lm.scored(lm.tokenised(texts, common, counts, head), network, common, counts).collect()} for head in (10**6, 0))
+    assert all(abs(all_[i] - none[i]) < 1e-6 * max(1, abs(all_[i])) for i in all_)
