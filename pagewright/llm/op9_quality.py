@@ -219,7 +219,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teacher
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], ["id", "pattern", "x"])
 
     sample = texts.join(F.broadcast(picked[0].union(picked[1]).dropDuplicates(["id"])), "id").select("id", "text", "pattern")
-    rows = sorted({r.id: r for r in sample.mapInArrow(features, "id long, pattern int, x binary").collect()}.values(), key=lambda r: r.id)
+    found = sample.mapInArrow(features, "id long, pattern int, x binary").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("x").alias("x"))
+    rows = sorted(found.collect(), key=lambda r: r.id)  # a row an id, however often it occurs
     if rows:
         x = np.stack([np.frombuffer(r.x, "f4") for r in rows])
         soft = np.array([of[r.pattern] for r in rows])
@@ -256,8 +257,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     No truth is used. Each document gets the votes of ten heuristics, patterns of votes are counted over the whole
     table, and expectation-maximisation finds the labellers' accuracies from them. Null counts as empty. Empty and very short texts
     get few votes or none and score near the prior, so they stay unless most of the table is bad. Repeated rows get a row
-    each; a null id stays, but doesn't teach. If all patterns fall on one side, every score is the prior. An
-    empty table gives an empty result.
+    each, and equal texts (ties) the same score; a null id stays, but doesn't teach. If all patterns fall on one side, every score
+    is the prior. An empty table gives an empty result. Columns but id and text aren't read, whatever their names. Texts of any length are
+    measured whole, one at a time; their words are in memory at once.
     """
     return score(docs, fit(docs, id_col, text_col), id_col, text_col, keep)
 
