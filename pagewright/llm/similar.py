@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,15 +19,18 @@ SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Tables of fingerprints, two to a 64-bit number; bits of one, and of those in which two may differ. Two sets of similarity 0.8 differ in
 #: arccos(0.889) / pi = 0.151 of all bits, so they meet in one of 16 tables with probability 0.993.
 TABLES, BITS, MAX_BITS = 16, 32, 3
-#: Bits that a pair may differ in on 64 bits of other tables, and on all bits; 0.151 of them and over four standard deviations.
-CHECK_BITS, ALL_BITS = 21, 114
+#: Bits that a pair may differ in on 64 bits of other tables, on the bits of all tables, and on a wide fingerprint of so many 64-bit
+#: numbers that begins with those: 0.151 of them and four, over four and three and a half standard deviations.
+CHECK_BITS, ALL_BITS, WIDE, WIDE_BITS = 21, 114, 16, 195
+#: Sets of so many numbers in all are broadcast: 32 MB.
+BROADCAST_NUMBERS = 1 << 22
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
-HASHES, PAIRS = 255, 1 << 20
+HASHES, PAIRS = 255, 1 << 17
 
 _WORDS64 = TABLES * BITS // 64
-_DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _WORDS64), dtype="u8") * np.uint64(2) + np.uint64(1)
+_DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WIDE), dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -49,13 +54,13 @@ def identity(own: np.ndarray) -> int:
     return xxh64_intdigest(own.tobytes(), SEED)
 
 
-def fingerprints(own: np.ndarray) -> np.ndarray:
-    """The SimHash fingerprints of a set of shingles under each table's hash function: a bit is 1 if over half of the hashes have it."""
-    count = np.zeros(_WORDS64 * 64, "i8")
+def fingerprints(own: np.ndarray, numbers: int = _WORDS64) -> np.ndarray:
+    """The SimHash fingerprints of a set of shingles under so many hash functions of 64 bits: a bit is 1 if over half of the hashes have it."""
+    count = np.zeros(numbers * 64, "i8")
     for start in range(0, len(own), HASHES):
-        mixed = (own[start : start + HASHES, None] ^ _DRAW[0]) * _DRAW[1]
+        mixed = (own[start : start + HASHES, None] ^ _DRAW[0, :numbers]) * _DRAW[1, :numbers]
         mixed ^= mixed >> np.uint64(32)
-        mixed *= _DRAW[1]
+        mixed *= _DRAW[1, :numbers]
         mixed ^= mixed >> np.uint64(29)
         count += np.unpackbits(mixed.view("u1"), axis=1, bitorder="little").sum(axis=0, dtype="u1")
     return np.packbits(count * 2 > len(own), bitorder="little").view("u8")
@@ -77,7 +82,8 @@ def _sets(batches):
         held = [shingles(text) for text in batch.column(0).to_pylist()]
         ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
         listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*held, np.zeros(0, "u8")]).view("i8")))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([identity(x) for x in held], "u8").view("i8")), listed], ["node", "shingles"])
+        wide = pa.array([fingerprints(x, WIDE).tobytes() for x in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([identity(x) for x in held], "u8").view("i8")), listed, wide], ["node", "shingles", "wide"])
 
 
 def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
@@ -148,27 +154,39 @@ def _spanning(batches):
                 yield _edges(node[a], node[b])
 
 
+def _first_part(apart: np.ndarray) -> np.ndarray:
+    """The table and turn, as one number, in which pairs meet first; apart: the bits by table in which each pair differs."""
+    table = (np.bitwise_count(apart) <= MAX_BITS).argmax(axis=1)
+    own = apart[np.arange(len(apart)), table]
+    leading = own[:, None] >> (BITS - TOP - TOP * np.arange(MAX_BITS + 1, dtype="u4")) & np.uint32((1 << TOP) - 1)
+    return table * (MAX_BITS + 1) + (leading == 0).argmax(axis=1)
+
+
 def _across(batches):
-    """Sorted rows (part, v, other, node, root) to all candidate pairs of different roots."""
-    for part, v, other, node, root in whole_groups(batches, 1):
+    """Sorted rows (part, v, other, node, root, wide) to all candidate pairs of different roots, each where it is met first."""
+    for part, v, other, node, root, wide in whole_groups(batches, 1):
         edge = runs(part, v)
         first, size = edge[:-1], np.diff(edge)
         pure = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
         _, label = np.unique(root[first], return_inverse=True)
         label = np.where(pure, label, len(label) + np.arange(len(first)))
         top = v[first].astype("u8") << np.uint64(64 - BITS)
+        bits = np.frombuffer(b"".join(wide), "u8").reshape(-1, WIDE)
         bound = runs(part[first])
         pairs = (bound[:-1], bound[1:], bound[:-1], bound[1:], np.zeros(len(bound) - 1, "i8"))
         mixed = np.flatnonzero(~pure)
-        for i, j in [(mixed, mixed), *near_pairs(top, pairs, TOP, BITS, MAX_BITS, label)]:
-            apart = label[i] != label[j]
-            apart |= i == j
+        for i, j in chain([(mixed, mixed)], near_pairs(top, pairs, TOP, BITS, MAX_BITS, label)):
+            apart = (label[i] != label[j]) | (i == j)
             i, j = i[apart], j[apart]
             step = np.cumsum(size[i] * size[j]) // PAIRS
             for s in np.unique(step):
                 k, x, y = pairs_within(size[i][step == s], size[j][step == s])
                 a, b = first[i][step == s][k] + x, first[j][step == s][k] + y
-                fit = (root[a] != root[b]) & (np.bitwise_count(other[a] ^ other[b]) <= CHECK_BITS)
+                fit = (root[a] != root[b]) & ((i != j)[step == s][k] | (x < y))
+                a, b = a[fit], b[fit]
+                apart = bits[a] ^ bits[b]
+                fit = np.bitwise_count(apart).sum(axis=1) <= WIDE_BITS
+                fit &= _first_part(apart[:, :_WORDS64].copy().view("<u4")) == part[a] >> TOP
                 yield _edges(node[a[fit]], node[b[fit]])
 
 
@@ -179,7 +197,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the other bits than similar sets do) and whose sets of five-word shingles have a Jaccard similarity of
     ``similarity`` or more, worked out exactly. Equal sets are one node from the start. The tries are traversed twice:
     at first for a forest of candidates, whose verified pairs already connect large groups of copies; then for all
-    candidates between groups that are still apart. So a large group of copies costs a few rows a copy.
+    candidates between groups that are still apart, sifted by wide fingerprints. So a large group of copies costs a few rows a
+    copy; texts that are just short of similar cost a row a pair.
 
     Null counts as empty, and texts without words are alike. component_id is the least id that links reach; a null id
     comes after all others, and component_id is null only if no row of the component has an id. kept: rows without an id, and of the
@@ -191,24 +210,27 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = durable(texts.mapInArrow(_prints, "id long, h long, node long, keys array<long>"))
     nodes = durable(prints.groupBy("node").agg(_least().alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
     near = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, _WORDS64)), F.bit_count(x[0].bitwiseXOR(y[0]))) <= ALL_BITS
+    ends = lambda table, column, *names: (table.select(F.col("node").alias(n), F.col(column).alias(k)) for n, k in zip("ab", names, strict=True))
+
+    candidates = durable(_dealt(nodes.select("node", "keys")).mapInArrow(_spanning, "a long, b long").distinct())
+    met = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "keys", "h"))
+    asked = durable(met.select("h").distinct())
+    sets = texts.join(narrow(asked), "h", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>, wide binary")
+    sets = durable(sets.dropDuplicates(["node"]))
+    held = sets.agg(F.coalesce(F.sum(F.size("shingles") + WIDE), F.lit(0))).first()[0]
+    sent = F.broadcast(sets) if held <= BROADCAST_NUMBERS else sets
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of the similarity; all bits are looked at first, then the sets of what is left."""
-        side = lambda n, k: nodes.select(F.col("node").alias(n), F.col("keys").alias(k))
-        left = durable(pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").filter(near(F.col("x"), F.col("y"))).select("a", "b"))
-        asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h"), "node")
-        asked = durable(asked.select("h").distinct())
-        sets = durable(texts.join(narrow(asked), "h", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
-        side = lambda n, k: sets.select(F.col("node").alias(n), F.col("shingles").alias(k))
+        x, y = ends(sent, "shingles", "x", "y")
         both = F.size(F.array_intersect("x", "y"))
-        rows = left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
+        rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
         return durable(rows.filter(F.col("both") >= F.col("either") * similarity - 1e-9).select("a", "b"))
 
-    candidates = durable(_dealt(nodes.select("node", "keys")).mapInArrow(_spanning, "a long, b long").distinct())
-    links = verified(candidates)
+    x, y = ends(met, "keys", "x", "y")
+    links = verified(candidates.join(x, "a").join(y, "b").filter(near(F.col("x"), F.col("y"))).select("a", "b"))
     roots = durable(connected(links, "a", "b"))
-    met = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "keys"), "node").join(roots, "node", "left")
-    later = verified(_dealt(met.select("node", "keys", F.coalesce("root", "node").alias("root")), "root").mapInArrow(_across, "a long, b long"))
+    own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
+    later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
     roots = durable(connected(links.union(later), "a", "b"))
     rooted = durable(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
