@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -91,7 +91,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Examples with unit vectors, in blocks. A term has an entry for each block that it occurs in: the block, its largest weight there, and its postings, example numbers and weights. A frequent term has a row instead: weights of all examples, the largest in each block."""
 
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary | None
     idf: np.ndarray
     #: By example.
     ids: np.ndarray
@@ -307,7 +307,9 @@ def numbered(docs: DataFrame, vocabulary: Vocabulary, text_col: str, keep_text:
             kept = [batch.column(i) for i in range(batch.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*kept, held], [*[f.name for f in fields], TERMS])
 
-    return durable(docs.mapInArrow(work, StructType([*fields, StructField(TERMS, BinaryType())])))
+    out = durable(docs.mapInArrow(work, StructType([*fields, StructField(TERMS, BinaryType())])))
+    sent.destroy()
+    return out
 
 
 def _document_frequency(known: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -357,6 +359,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "toxic", "terms", "counts"])
 
     rows = examples.mapInArrow(work, "id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    sent.destroy()
     ids, toxic = rows["id"].to_numpy(), rows["toxic"].to_numpy().astype("f8")
     size = pa.compute.list_value_length(rows["terms"]).to_numpy()
     terms, counts = (pa.compute.list_flatten(rows[x]).to_numpy() for x in ("terms", "counts"))
@@ -387,7 +390,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """(id, held_out, score, predicted, evidence, cosine) for every row of docs; evidence: ids of the nearest examples, nearest first. Equal texts score equal: the id is not looked at, so an example is its own nearest."""
     if TERMS not in docs.columns:
         docs = numbered(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), index.vocabulary, text_col, False)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(index, vocabulary=None))  # terms are numbers by now
 
     def work(batches):
         index = sent.value
@@ -424,7 +427,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
     """The rows of docs, all columns as they are, that score below ``most`` by examples among docs."""
     index, known = fitted(docs, labels, id_col, text_col, keep_text=True)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(index, vocabulary=None))  # terms are numbers by now
 
     def work(batches):
         for batch in batches:

@@ -163,7 +163,8 @@ class Scorer:
     scale: np.ndarray | None = None
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        z = (x[..., :-2] - self.mean) / self.scale
+        z = x[..., :-2] - self.mean
+        z /= self.scale
         z[..., :FEATURES] *= x[..., -2:-1] / np.sqrt(FEATURES)
         z[..., FEATURES:] *= x[..., -1:]
         return z
@@ -174,10 +175,13 @@ class Scorer:
 
     def train(self, x: np.ndarray, good: np.ndarray, weight: np.ndarray) -> None:
         """Logistic regression on soft labels by gradient steps with momentum over the whole sample."""
-        weight = weight / weight.sum()
+        weight = (weight / weight.sum()).astype("f4")  # in single precision throughout: the sample is the largest thing that the driver holds
         self.mean = weight @ x[:, :-2]
-        self.scale = np.sqrt(weight @ (x[:, :-2] - self.mean) ** 2) + np.where(np.arange(x.shape[1] - 2) < FEATURES, 1e-4, 1e-2)
-        z = self.standard(x).astype("f4")
+        off = x[:, :-2] - self.mean
+        spread = np.sqrt(np.einsum("i,ij,ij->j", weight, off, off))
+        del off
+        self.scale = (spread + np.where(np.arange(x.shape[1] - 2) < FEATURES, 1e-4, 1e-2)).astype("f4")
+        z = self.standard(x)
         w, b = np.zeros(z.shape[1], "f4"), self.bias
         pace_w, pace_b = np.zeros_like(w), 0.0
         for _ in range(STEPS):
@@ -224,6 +228,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teacher
     if rows:
         x = np.stack([np.frombuffer(r.x, "f4") for r in rows])
         soft = np.array([of[r.pattern] for r in rows])
+        del rows
         n = {side: max(1, int(((soft >= 0.5) == side).sum())) for side in sides}
         scorer.train(x, soft, np.array([total[g >= 0.5] / n[g >= 0.5] for g in soft]))
     return scorer

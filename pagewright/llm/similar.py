@@ -19,11 +19,11 @@ SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Tables of fingerprints, two to a 64-bit number; bits of one, and of those in which two may differ. Two sets of similarity 0.8 differ in
 #: arccos(0.889) / pi = 0.151 of all bits, so they meet in one of 16 tables with probability 0.993.
 TABLES, BITS, MAX_BITS = 16, 32, 3
-#: Bits that a pair may differ in on 64 bits of other tables, on the bits of all tables, and on a wide fingerprint of so many 64-bit
-#: numbers that begins with those: 0.151 of them and four, over four and three and a half standard deviations.
-CHECK_BITS, ALL_BITS, WIDE, WIDE_BITS = 21, 114, 16, 195
-#: Sets of so many numbers in all are broadcast: 32 MB.
-BROADCAST_NUMBERS = 1 << 22
+#: Bits that a pair may differ in on 64 bits of other tables, and on a wide fingerprint of so many 64-bit numbers that begins with those of
+#: all tables: 0.151 of them and about four standard deviations.
+CHECK_BITS, WIDE, WIDE_BITS = 21, 24, 285
+#: Rounds in which each node's nearest candidate that leads out of its group is tried, before all that are still apart.
+ROUNDS = 6
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
@@ -104,12 +104,13 @@ def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
     return out.repartition("part").sortWithinPartitions("part", "v", "node")
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def _edges(a: np.ndarray, b: np.ndarray, bits: np.ndarray | None = None) -> pa.RecordBatch:
+    ends = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+    return pa.RecordBatch.from_arrays(ends, ["a", "b"]) if bits is None else pa.RecordBatch.from_arrays([*ends, pa.array(bits.astype("i4"))], ["a", "b", "bits"])
 
 
 def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Of the pairs some that unite as much as all of them, and the labels then: each set picks a pair that leads out of it, again and again."""
+    """Of the pairs some that unite as much as all of them, which label then shows: each set picks the first pair that leads out of it, again and again."""
     picked = []
     while len(i):
         a, b = label[i], label[j]
@@ -124,7 +125,9 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray):
 
 
 def _spanning(batches):
-    """Sorted rows (part, v, other, node) to candidate pairs that connect all nodes which a part's candidate pairs connect.
+    """Sorted rows (part, v, other, node) to candidate pairs, and the bits they differ in, that connect all nodes which a part's candidate pairs connect.
+
+    Pairs that differ in few bits come first.
 
     Equal fingerprints are a run and stand together behind its first node, batch by batch, so a hot part is as large as its distinct fingerprints.
     """
@@ -134,8 +137,9 @@ def _spanning(batches):
         edge = runs(part, v)
         if len(edge) <= len(part):
             of = np.repeat(edge[:-1], np.diff(edge))
-            later = np.flatnonzero((of != np.arange(len(of))) & (np.bitwise_count(other[of] ^ other) <= CHECK_BITS))
-            stars.append(_edges(node[of[later]], node[later]))
+            bits = np.bitwise_count(other[of] ^ other)
+            later = np.flatnonzero((of != np.arange(len(of))) & (bits <= CHECK_BITS))
+            stars.append(_edges(node[of[later]], node[later], bits[later]))
             part, v, other, node = (x[edge[:-1]] for x in (part, v, other, node))
         return part, v, other, node
 
@@ -149,9 +153,12 @@ def _spanning(batches):
         label = np.arange(len(top))
         pairs = (bound[:-1], bound[1:], bound[:-1], bound[1:], np.zeros(len(bound) - 1, "i8"))
         for i, j in near_pairs(top, pairs, TOP, BITS, MAX_BITS, label):
-            alike = np.bitwise_count(other[i] ^ other[j]) <= CHECK_BITS
+            bits = np.bitwise_count(other[i] ^ other[j])
+            alike = np.flatnonzero(bits <= CHECK_BITS)
+            bits += np.bitwise_count(top[i] ^ top[j])
+            alike = alike[np.argsort(bits[alike], kind="stable")]
             for a, b in _forest(label, i[alike], j[alike]):
-                yield _edges(node[a], node[b])
+                yield _edges(node[a], node[b], np.bitwise_count(other[a] ^ other[b]) + np.bitwise_count(top[a] ^ top[b]))
 
 
 def _first_part(apart: np.ndarray) -> np.ndarray:
@@ -196,7 +203,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Links are the pairs of texts whose fingerprints differ in at most three of 32 bits in one of 16 tables (and in no more of
     the other bits than similar sets do) and whose sets of five-word shingles have a Jaccard similarity of
     ``similarity`` or more, worked out exactly. Equal sets are one node from the start. The tries are traversed twice:
-    at first for a forest of candidates, whose verified pairs already connect large groups of copies; then for all
+    at first for a forest of candidates, a few of which for each node already connect large groups of copies; then for all
     candidates between groups that are still apart, sifted by wide fingerprints. So a large group of copies costs a few rows a
     copy; texts that are just short of similar cost a row a pair.
 
@@ -209,26 +216,32 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
     prints = durable(texts.mapInArrow(_prints, "id long, h long, node long, keys array<long>"))
     nodes = durable(prints.groupBy("node").agg(_least().alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
-    near = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, _WORDS64)), F.bit_count(x[0].bitwiseXOR(y[0]))) <= ALL_BITS
     ends = lambda table, column, *names: (table.select(F.col("node").alias(n), F.col(column).alias(k)) for n, k in zip("ab", names, strict=True))
 
-    candidates = durable(_dealt(nodes.select("node", "keys")).mapInArrow(_spanning, "a long, b long").distinct())
+    candidates = _dealt(nodes.select("node", "keys")).mapInArrow(_spanning, "a long, b long, bits int")
+    candidates = durable(candidates.groupBy("a", "b").agg(F.min("bits").alias("bits")))
     met = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "keys", "h"))
     asked = durable(met.select("h").distinct())
     sets = texts.join(narrow(asked), "h", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>, wide binary")
     sets = durable(sets.dropDuplicates(["node"]))
-    held = sets.agg(F.coalesce(F.sum(F.size("shingles") + WIDE), F.lit(0))).first()[0]
-    sent = F.broadcast(sets) if held <= BROADCAST_NUMBERS else sets
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = ends(sent, "shingles", "x", "y")
+        x, y = ends(sets, "shingles", "x", "y")
         both = F.size(F.array_intersect("x", "y"))
         rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
         return durable(rows.filter(F.col("both") >= F.col("either") * similarity - 1e-9).select("a", "b"))
 
-    x, y = ends(met, "keys", "x", "y")
-    links = verified(candidates.join(x, "a").join(y, "b").filter(near(F.col("x"), F.col("y"))).select("a", "b"))
-    roots = durable(connected(links, "a", "b"))
+    links, roots, tried = None, None, None
+    for _ in range(ROUNDS):
+        some = candidates
+        if roots is not None:
+            x, y = ends(roots, "root", "x", "y")
+            some = candidates.join(tried, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        nearest = F.min_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("x")
+        picked = durable(some.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "bits").groupBy("end").agg(nearest).select("x.a", "x.b").distinct())
+        found = verified(picked)
+        links, tried = (found, picked) if links is None else (links.union(found), tried.union(picked))
+        roots = durable(connected(links, "a", "b"))
     own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
     later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
     roots = durable(connected(links.union(later), "a", "b"))

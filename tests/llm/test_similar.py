@@ -59,9 +59,9 @@ def test_sets_meet_as_often_as_they_should():
     met = 0
     for _ in range(400):
         own = np.unique(rng.integers(0, 1 << 63, 270, dtype="u8"))[:260]
-        apart = similar.fingerprints(own[:234]) ^ similar.fingerprints(own[26:])  # 208 of 260 in common
-        assert np.bitwise_count(apart).sum() <= similar.ALL_BITS
-        met += (np.bitwise_count(apart.view("u4")) <= similar.MAX_BITS).any()
+        apart = similar.fingerprints(own[:234], similar.WIDE) ^ similar.fingerprints(own[26:], similar.WIDE)  # 208 of 260 in common
+        assert np.bitwise_count(apart).sum() <= similar.WIDE_BITS
+        met += (np.bitwise_count(apart[: similar._WORDS64].view("u4")) <= similar.MAX_BITS).any()
     assert met >= 390
 
 
@@ -80,7 +80,7 @@ def test_a_large_group_of_near_copies(spark):
     assert all(got[5000 + i].component_id == 5000 + i and got[5000 + i].kept for i in range(300))
     # a candidate forest in each table and turn, in which a set picks one pair at a time: at most two rows a set
     nodes = spark.createDataFrame([(i, similar.fingerprints(similar.shingles(t)).view("i8").tolist()) for i, t in rows], "node long, keys array<long>")
-    pairs = similar._dealt(nodes).mapInArrow(similar._spanning, "a long, b long")
+    pairs = similar._dealt(nodes).mapInArrow(similar._spanning, "a long, b long, bits int")
     assert 1499 <= pairs.count() <= 2 * len(rows) * similar.TABLES * (similar.MAX_BITS + 1)
 
 
