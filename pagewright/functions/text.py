@@ -39,12 +39,12 @@ def cer(base: str, pred: str) -> Column:
 
 
 def wer(base: str, pred: str) -> Column:
-    """Word edit distance over the number of baseline words, both stripped; null where either is empty.
+    """Word edit distance over the number of baseline words, both stripped; null where either is empty. Words end at a blank, or where two white spaces or more meet; a lone line break doesn't end one.
 
     Each distinct word becomes one code point, so that the character distance of the rewritten texts is the word distance.
     Pairs with more distinct words than there are code points go to ``wer_python``.
     """
-    words = lambda c: F.filter(F.split(stripped(c), r"(?U)\s+"), lambda w: w != "")
+    words = lambda c: F.filter(F.split(F.regexp_replace(stripped(c), r"(?U)\s\s+", " "), " "), lambda w: w != "")
     low, high = _FIRST_WORD - 1, 0x10000 - 1 - _LOW_POINTS
     code = lambda at: at + F.when(at <= _LOW_POINTS, low).otherwise(high)
     point = lambda w, known: F.lpad(F.hex(F.transform(F.array(F.array_position(known, w)), code)[0]), 8, "0")
@@ -68,8 +68,13 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
+def py_words(text: str | None) -> list[str]:
+    """The words that wer counts."""
+    return [w for w in re.sub(r"\s\s+", " ", (text or "").strip()).split(" ") if w]
+
+
 def _py_wer(b: str | None, p: str | None) -> float | None:
-    b, p = (b or "").split(), (p or "").split()
+    b, p = py_words(b), py_words(p)
     return edit_distance(b, p) / len(b) if b and p else None
 
 
@@ -119,44 +124,30 @@ def opcodes(base: list[str], pred: list[str]) -> tuple[list[tuple], float]:
     return [tuple(x) for x in matcher.get_opcodes()], matcher.ratio() * 100
 
 
-def _tally(codes: list[tuple]) -> tuple[int, int, int]:
-    """Equal, removed and added elements."""
-    same = sum(c[2] - c[1] for c in codes if c[0] == "equal")
-    gone = sum(c[2] - c[1] for c in codes if c[0] in ("delete", "replace"))
-    new = sum(c[4] - c[3] for c in codes if c[0] in ("insert", "replace"))
-    return same, gone, new
-
-
 _FIELDS = ("tag", "i1", "i2", "j1", "j2")
 
 
-def _named(codes: list[tuple]) -> list[dict]:
-    return [dict(zip(_FIELDS, c, strict=True)) for c in codes]
+def _diffed(base: list[str], pred: list[str]) -> tuple[list[dict], list[tuple[str, int | None, int | None]], float]:
+    """Opcodes by name, rows of the side-by-side view, and the matching share."""
+    codes, ratio = opcodes(base, pred)
+    return [dict(zip(_FIELDS, c, strict=True)) for c in codes], row_classes(codes), ratio
 
 
 def compared(base: str | None, pred: str | None) -> dict | None:
-    """Word and line diffs of two texts; None where either is empty once stripped. Within replaced lines the k-th old and new ones are diffed by words."""
-    base, pred = (base or "").strip(), (pred or "").strip()
-    if not base or not pred:
+    """Word and line diffs of two texts; None where either is empty once stripped. Lines that stand side by side and differ are diffed by words."""
+    sides = {"base": (base or "").strip(), "pred": (pred or "").strip()}
+    if not all(sides.values()):
         return None
-    a, b = py_tokens(base), py_tokens(pred)
-    words, similarity = opcodes(a, b)
-    common, removed, added = _tally(words)
-    old, new = base.split("\n"), pred.split("\n")
-    lines, _ = opcodes(old, new)
-    unchanged, gone, come = _tally(lines)
-    inline = {}
-    for tag, i1, i2, j1, j2 in lines:
-        if tag == "replace":
-            for i, j in zip(range(i1, i2), range(j1, j2), strict=False):
-                own = py_tokens(old[i]), py_tokens(new[j])
-                if any(own):
-                    inline[str(i)] = _named(opcodes(*own)[0])
-    return {
-        "similarity": similarity, "opcodes": _named(words), "pred_tokens": b, "base_tokens": a, "common": common, "removed": removed, "added": added,
-        "pred_lines": new, "base_lines": old, "line_opcodes": _named(lines), "inline_word_opcodes": inline,
-        "lines_added": come, "lines_removed": gone, "lines_unchanged": unchanged,
-    }
+    words, lines = ({k: cut(x) for k, x in sides.items()} for cut in (py_tokens, lambda x: x.split("\n")))
+    codes, rows, share = _diffed(**words)
+    line_codes, line_rows, _ = _diffed(**lines)
+    beside = ((i, py_tokens(lines["base"][i]), py_tokens(lines["pred"][j])) for kind, i, j in line_rows if kind == "changed")
+    count = lambda rows, side, at: sum(r[0] == side or r[0] == "changed" and r[at] is not None for r in rows)
+    same = lambda rows: sum(r[0] == "unchanged" for r in rows)
+    out = {"similarity": share, "opcodes": codes, "common": same(rows), "removed": count(rows, "removed", 1), "added": count(rows, "added", 2)}
+    out |= {"line_opcodes": line_codes, "lines_unchanged": same(line_rows), "lines_removed": count(line_rows, "removed", 1), "lines_added": count(line_rows, "added", 2)}
+    out |= {f"{k}_tokens": x for k, x in words.items()} | {f"{k}_lines": x for k, x in lines.items()}
+    return out | {"inline_word_opcodes": {str(i): _diffed(a, b)[0] for i, a, b in beside if a or b}}
 
 
 def text_comparison(base: str | Column, pred: str | Column) -> Column:

@@ -45,26 +45,32 @@ def _box(raw, scale: tuple[float, float] | None) -> dict | None:
     return {"l": left * sx, "t": top * sy, "r": right * sx, "b": bottom * sy}
 
 
+def _level(block: dict) -> int:
+    return min(6, max(1, int(block.get("level", 1))))
+
+
+#: What becomes of a block by its kind, given the block and its text: kind of item, label, what else it has. Other kinds are text.
+_BECOMES = {
+    "title": lambda block, text: ("text", "title", {"text": text, "level": 1}),
+    **dict.fromkeys(HEADING_KINDS, lambda block, text: ("text", "section_header", {"text": text, "level": _level(block)})),
+    "picture": lambda block, text: ("picture", "picture", {}),
+    "table": lambda block, text: ("table", "table", {"table": markup.table(text)}),
+}
+
+
 def _block(order: int, block: dict, categories: dict[str, str], scale) -> dict:
-    category = block.get("category", "Text")
-    kind = categories.get(category, str(category).lower())
-    text, box = (block.get("text") or "").strip(), _box(block.get("bbox"), scale)
-    if kind == "title":
-        return _item(order, "text", "title", text, 1, box)
-    if kind in HEADING_KINDS:
-        return _item(order, "text", "section_header", text, min(6, max(1, int(block.get("level", 1)))), box)
-    if kind == "picture":
-        return _item(order, "picture", "picture", box=box)
-    if kind == "table":
-        return _item(order, "table", "table", box=box, table=markup.table(text))
-    return _item(order, "text", TEXT_LABELS.get(kind, "text"), text, 0, box)
+    said = block.get("category", "Text")
+    kind = categories.get(said, str(said).lower())
+    plain = lambda block, text: ("text", TEXT_LABELS.get(kind, "text"), {"text": text})
+    what, label, more = _BECOMES.get(kind, plain)(block, (block.get("text") or "").strip())
+    return _item(order, what, label, box=_box(block.get("bbox"), scale), **more)
 
 
 def from_layout(name: str, payload: str | None, categories: dict[str, str] | None = None, width: float | None = None, height: float | None = None, scale: tuple[float, float] | None = None) -> dict | None:
-    """Blocks of a JSON list; None if it isn't one. A malformed block is passed over, the others count."""
+    """Blocks of a JSON list; None if it isn't one, or is nested too deeply to read. A malformed block is passed over, the others count."""
     try:
         blocks = json.loads(payload or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     if not isinstance(blocks, list):
         return None
@@ -72,7 +78,7 @@ def from_layout(name: str, payload: str | None, categories: dict[str, str] | Non
     for block in blocks:
         try:
             items.append(_block(len(items), block, categories or {}, scale))
-        except (AttributeError, TypeError, ValueError):
+        except Exception:  # whatever is wrong with one block: the page's others count
             continue
     return {"name": name, "page": {"width": width, "height": height}, "items": items}
 

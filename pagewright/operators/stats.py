@@ -128,12 +128,40 @@ def page_index(rows: DataFrame) -> DataFrame:
     )
 
 
+def page_view(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_index with each file's disagreement (0.0 without one), number of compared models and map of best agreements. pages: page, disagreement, n_models."""
+    best = best_agreement(rows).groupBy("page").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("best"))
+    of = lambda other: F.col("file_id") == other["page"]
+    out = page_index(rows).join(pages, of(pages), "left").drop("page").join(best, of(best), "left").drop("page")
+    return out.withColumn("disagreement", F.coalesce("disagreement", F.lit(0.0)))
+
+
 def ordered_pages(index: DataFrame, by: str = "disagreement") -> DataFrame:
-    """Pages by file, characters, errors or disagreement, the largest first and ties by file."""
-    keys = {"file_id": [], "chars": [F.desc("char_count")], "errors": [F.desc(F.size("error_models"))], "disagreement": [F.desc("disagreement")]}
+    """Pages by file, characters, errors or disagreement, the largest first and ties by file; 'parquet': as they came, by a column ``ord`` that says how."""
+    keys = {"file_id": [], "chars": [F.desc("char_count")], "errors": [F.desc(F.size("error_models"))], "disagreement": [F.desc("disagreement")], "parquet": ["ord"]}
     return index.orderBy(*keys[by], "file_id")
 
 
+def page_table(rows: DataFrame) -> DataFrame:
+    """Result rows by file and model, the file named in its first row alone."""
+    return blank_repeats(rows, "file_id", ("file_id", "model")).orderBy("file_id", "model")
+
+
+def legend(regions: DataFrame, label: str, ord_: str) -> DataFrame:
+    """How often each label occurs, in the order in which labels are first seen."""
+    seen = regions.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.min(ord_).alias("first_seen"))
+    return seen.orderBy("first_seen", "label")
+
+
+#: Columns of result rows that statistics read.
+STAT_COLUMNS = ("model", "output_format", "error", "tokens", "metrics")
+
+
+def stat_columns(rows: DataFrame, names: tuple[str, ...] = STAT_COLUMNS) -> DataFrame:
+    """The columns that statistics need, those of them that there are, so that no others are read."""
+    return rows.select(*[c for c in names if c in rows.columns])
+
+
 def find_page(rows: DataFrame, wanted: str) -> DataFrame:
     """The rows of the file that ``wanted`` names, by file_id if any has it, else by page_id, of which the first file counts."""
     hit = rows.withColumn("__by", F.when(F.col("file_id") == wanted, 0).when(F.col("page_id") == wanted, 1)).filter("__by is not null")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import markup, scalars, text
 from pagewright.operators import documents
-from pagewright.plans.named import query, table
+from pagewright.plans.named import query, shared_folder, table
 from pagewright.sources import catalog
 
 _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
@@ -148,15 +147,14 @@ def doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '\"' || c_name END AS c_name, c_mktsegment FROM customer")
 def catalog_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers as a tab-separated dump with \\N and stray quotes, taken in again. The dump lies where checkpoints do, or in a temporary folder where none are set up."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='dump-')}"
+    """The customers as a tab-separated dump with \\N and stray quotes, taken in again. The dump lies where checkpoints do."""
+    root = shared_folder(spark)
     target = f"{root}/dump-{os.urandom(6).hex()}"
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit('"'), "c_name")).alias("c_name"), "c_mktsegment")
     rows.write.csv(f"{target}/text", sep="\t", header=True, nullValue="\\N", quote="", escapeQuotes=False)
     return catalog.ingest(spark, f"{target}/text", f"{target}/parquet")
 
 
-@query("SELECT doc_id, length(trim(text)) AS size, lang IN ('en', 'de') AS chosen FROM documents WHERE lang IN ('en', 'de', 'fr')")
+@query("SELECT doc_id, length(trim(text)) AS size, lang IN ('en', 'de') AS chosen FROM documents")
 def stripped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de", "fr"))
-    return rows.select("doc_id", F.length(text.stripped("text")).cast("bigint").alias("size"), F.col("lang").isin("en", "de").alias("chosen"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.stripped("text")).cast("bigint").alias("size"), F.col("lang").isin("en", "de").alias("chosen"))

@@ -11,11 +11,11 @@ from pagewright.plans.named import query, table
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.concat(F.lit("m"), "turn").alias("model"), F.when(F.col("turn") == 4, "").otherwise(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("page"), F.concat(F.lit("m"), "turn").alias("model"), "text")
 
 
 _TOKENS = """
-WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS page, 'm' || turn AS model, CASE WHEN turn = 4 THEN '' ELSE text END AS text FROM conversations),
+WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS page, 'm' || turn AS model, text FROM conversations),
 k AS (SELECT page, model, regexp_extract_all(text, '\\S+|\\n+') AS tokens FROM r WHERE text <> ''),
 c AS (SELECT page, model, token, count(*) AS n FROM (SELECT page, model, unnest(tokens) AS token FROM k) GROUP BY ALL),
 s AS (SELECT a.page, a.model AS ma, b.model AS mb, len(a.tokens) + len(b.tokens) AS total FROM k a JOIN k b ON a.page = b.page AND a.model < b.model),
@@ -59,26 +59,31 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"])
 
 
-_ASCII = """
-WITH a AS (SELECT conv_id, turn, trim(regexp_replace(text, '[^ -~]', '', 'g')) AS base FROM conversations), p AS (SELECT a.conv_id, a.turn, a.base, b.base AS pred FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-"""
+def _edits(cut: str, name: str) -> str:
+    """SQL for (conv_id, turn, name): edits over what ``cut`` makes of t, a stripped text, of the next turn against a turn.
+
+    DuckDB measures edits in bytes. What both sides have gets a byte of its own; what one side alone has never matches, so a byte a side does.
+    """
+    byte = lambda side, other: f"array_to_string(list_transform({side}, lambda w: chr(CASE WHEN list_contains(k, w) THEN CAST(2 + list_position(k, w) AS INTEGER) ELSE {other} END)), '')"
+    return f"""SELECT conv_id, turn, CASE WHEN len(b) > 0 AND len(p) > 0 THEN round(levenshtein({byte("b", 1)}, {byte("p", 2)}) / len(b), 9) END AS {name}
+FROM (SELECT x.conv_id, x.turn, x.own AS b, y.own AS p, list_intersect(x.own, y.own) AS k
+  FROM (SELECT conv_id, turn, {cut} AS own FROM turns) x JOIN (SELECT conv_id, turn, {cut} AS own FROM turns) y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
 
 
-def _ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB measures edits in bytes, so the texts that are held against it keep only what takes one."""
-    plain = lambda c: F.trim(F.regexp_replace(c, "[^ -~]", "")).alias(c)
-    return _pairs(spark, sf_dir).select("conv_id", "turn", plain("base"), plain("pred"))
+_TURNS = "WITH turns AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations) "
+_CER = _edits("regexp_extract_all(t, '(?s).')", "cer")
+_WER = _edits(r"list_filter(string_split(regexp_replace(t, '\s\s+', ' ', 'g'), ' '), lambda w: w <> '')", "wer")
 
 
-@query(_ASCII + "SELECT conv_id, turn, CASE WHEN base <> '' AND pred <> '' THEN round(levenshtein(base, pred) / length(base), 9) END AS cer FROM p")
+@query(_TURNS + _CER)
 def text_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ascii_pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.cer("base", "pred"), 9).alias("cer"))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.cer("base", "pred"), 9).alias("cer"))
 
 
-@query()
+@query(_TURNS + f"SELECT conv_id, turn, cer, wer FROM ({_CER}) JOIN ({_WER}) USING (conv_id, turn)")
 def text_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both error rates of whole turns as they are. SQL has no edit distance over words; tests/test_text.py has one."""
-    return _pairs(spark, sf_dir).select("conv_id", "turn", text.cer("base", "pred").alias("cer"), text.wer("base", "pred").alias("wer"))
+    """Both error rates of whole turns as they are."""
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.cer("base", "pred"), 9).alias("cer"), F.round(text.wer("base", "pred"), 9).alias("wer"))
 
 
 @query()

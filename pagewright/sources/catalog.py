@@ -44,6 +44,38 @@ def rights_combinations(items: DataFrame, columns: tuple[str, ...] = RIGHTS) ->
     return items.groupBy(*columns).agg(F.count("*").alias("Count")).withColumn("rights_json", body)
 
 
+def by_count(combinations: DataFrame) -> DataFrame:
+    """Combinations, the commonest first, ties by their JSON and then by columns."""
+    return combinations.orderBy(F.desc("Count"), "rights_json", *[F.col(c).asc_nulls_first() for c in combinations.columns if c not in ("Count", "rights_json")])
+
+
+def read_shards(spark: SparkSession, root: str) -> DataFrame:
+    """All parquet files below root, however deep, as one table; a column that only some have is null in the others."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(root)
+
+
+def json_list(column: str | Column) -> Column:
+    """A JSON list of texts; an empty one where the JSON is broken, something else, or missing."""
+    return F.coalesce(F.filter(F.from_json(column, "array<string>"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def json_object(column: str | Column) -> Column:
+    """A JSON object as a map of texts; an empty one where the JSON is broken, something else, or missing."""
+    return F.coalesce(F.from_json(column, "map<string, string>"), F.create_map().cast("map<string, string>"))
+
+
+def volumes(rows: DataFrame, order: tuple[str, ...], barcode: str = "barcode") -> DataFrame:
+    """A row for each barcode, the last by ``order``; its creators as a list and its rights as a map. Rows without a barcode are left out."""
+    last = rows.filter(filled(barcode).isNotNull()).groupBy(barcode).agg(F.max_by(F.struct(*[c for c in rows.columns if c != barcode]), F.struct(*order)).alias("__last"))
+    out = last.select(barcode, "__last.*")
+    return out.withColumns({c: f(c) for c, f in (("creators", json_list), ("rights", json_object)) if c in out.columns})
+
+
+def with_volumes(pages: DataFrame, volumes: DataFrame, barcode: str = "barcode") -> DataFrame:
+    """Every page with what is known of its volume; volumes has a row a barcode."""
+    return pages.join(volumes, barcode, "left")
+
+
 def one_verdict(rights: DataFrame, columns: tuple[str, ...] = RIGHTS) -> DataFrame:
     """The parsed verdicts, one for each combination once '' is null: the first by name, so that two raw combinations of one meaning can't double an item."""
     good = rights.filter(F.col("parsing_success")).select(*[filled(c).alias(c) for c in columns], "classification")

@@ -27,7 +27,7 @@ def test_pipe_tables():
     t = markup.table("| a | b | c |\n|:--|:--:||\n| 1 |\n| - | x |\n")
     assert (t["num_rows"], t["num_cols"]) == (3, 3) and [c[0] for c in cells(t)] == ["a", "b", "c", "1", "-", "x"] and cells(t)[0][-1] and not cells(t)[3][-1]
     assert not markup.is_delimiter(["-"]) and markup.is_delimiter(["--", ""]) and not markup.is_delimiter(["", ""])
-    assert markup.table("")["num_rows"] == 0 and markup.table(None)["cells"] == [] and markup.table("<otsl><fcel>a")["cells"] == []
+    assert markup.table("")["num_rows"] == 0 and markup.table(None)["cells"] == [] and [c[0] for c in cells(markup.table("<otsl><fcel>a"))] == ["a"]
 
 
 def test_html_tables():
@@ -38,6 +38,29 @@ def test_html_tables():
     assert (u["num_rows"], u["num_cols"]) == (3, 3)
 
 
+def test_sequence_tables():
+    t = markup.table("<otsl><ched>A<ched>B<lcel><nl><fcel>1<ecel><FCEL> x  y<nl><ucel><fcel>2<xcel></otsl>")
+    assert cells(t) == [("A", 0, 0, 1, 1, True), ("B", 0, 1, 1, 2, True), ("1", 1, 0, 2, 1, False), ("", 1, 1, 1, 1, False), ("x y", 1, 2, 1, 1, False), ("2", 2, 1, 1, 1, False)]
+    assert (t["num_rows"], t["num_cols"]) == (3, 3)
+    assert [c[0] for c in cells(markup.table("| a <nl> | b |\n|---|---|\n| 1 | 2 |"))] == ["a <nl>", "b", "1", "2"]
+    assert [c[0] for c in cells(markup.table("<XCEL><fcel>a"))] == ["a"]
+
+
+def test_odd_html():
+    rows = lambda t: [(c[0], c[1], c[2]) for c in cells(markup.html_table(t))]
+    assert rows("<tr><td>lost</tr><tr><td>a</td><td>b</td></tr>") == [("a", 1, 0), ("b", 1, 1)]
+    assert rows("<td>no row</td>") == [] and markup.html_table("<tr></tr><tr>")["num_rows"] == 1
+    assert rows("<tr><td>&amp;<br>x</td></tr>") == [("&x", 0, 0)]
+    wide = markup.html_table("<tr><td rowspan='2' colspan=' 2 '>a</td><td>b</td></tr><tr><td>c</td></tr>")
+    assert [(c["c0"], c["c1"]) for c in wide["cells"]] == [(0, 2), (2, 3), (2, 3)]
+
+
+def test_a_bad_block_costs_itself_alone():
+    blocks = '[{"category": "heading", "level": Infinity, "text": "x"}, {"category": "Text", "text": "kept"}, {"category": ["a"], "text": "y"}]'
+    assert [i["text"] for i in documents.from_layout("p", blocks)["items"]][:1] == ["kept"]
+    assert documents.from_layout("p", "[" * 200_000) is None
+
+
 def test_layout_json():
     good = {"category": "Text", "text": " t ", "bbox": [0, 1, 2, 3]}
     blocks = [good, 7, {"category": "Title", "text": "x", "bbox": [1, 2, 3]}, {"category": "heading", "level": 9, "text": "h"}, {"category": "heading", "level": "two"}, {"text": None}, {"category": "Weird"}, {"category": "picture", "bbox": [1, 1, 2, 2]}]
@@ -60,8 +83,8 @@ def test_documents_in_columns(spark):
 
 
 def test_labels_and_sizes(spark):
-    df = spark.createDataFrame([('<think>{"label":"a"}</think>{"label":"b"}',), ('{"label":"z"}',), ("none",)], "x string")
-    assert [r[0] for r in df.select(markup.label_of(F.col("x"), ["a", "b"])).collect()] == ["b", None, None]
+    df = spark.createDataFrame([('<think>{"label":"a"}</think>{"label":"b"}',), ('{"label":"z"}',), ("none",), ('so {"why": {"x": {"y": 1}}, "label": "a"} {"label":"b"}',)], "x string")
+    assert [r[0] for r in df.select(markup.label_of(F.col("x"), ["a", "b"])).collect()] == ["b", None, None, "a"]
     sizes = spark.createDataFrame([("12G",), ("12g",), ("1.5KB",), ("7",), ("x",), ("",)], "x string")
     assert [r[0] for r in sizes.select(scalars.byte_count(F.col("x"))).collect()] == [12 * 1024**3, 12 * 10**9, 1536, 7, None, None]
     assert [r[0] for r in spark.createDataFrame([("3B",), ("1.7",), ("750m",), ("big",)], "x string").select(scalars.parameter_count(F.col("x"))).collect()] == [3 * 10**9, 1_700_000_000, 750_000_000, None]
