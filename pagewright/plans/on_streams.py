@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.plans.named import query, table
+from pagewright.plans.named import query, shared_folder, table
 from pagewright.streaming import incremental
 
-_names = itertools.count()
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream; its time as a timestamp. The parent folder holds all tables, so the file is picked by name."""
     kind = table(spark, sf_dir, "events").schema
@@ -21,7 +18,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    return incremental.read_once(spark, stream, f"pagewright_stream_{next(_names)}", mode)
+    return incremental.read_once(spark, stream, f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}", mode)
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -61,15 +61,16 @@ def row_pages(df: DataFrame, parent: str, index: str, path: str | None = None) -
 
 def text_references(pages: DataFrame, root: str) -> DataFrame:
     """reference_text of each page from <root>/<page id with .txt for its suffix>, else <root>/<stem>.txt; null without either."""
-    texts = pages.sparkSession.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("p"), F.col("value").alias("text"))
+    reader = pages.sparkSession.read.option("recursiveFileLookup", True)
     base = root.split("://")[-1].split(":", 1)[-1].strip("/") + "/"
-    relative = F.substring_index(F.col("p"), base, -1)
-    texts = texts.select(relative.alias("rel"), "text")
+    relative = lambda path: F.substring_index(path, base, -1)
+    listed = reader.format("binaryFile").option("pathGlobFilter", "*.txt").load(root).select(relative("path").alias("rel"))  # names alone
+    texts = reader.option("wholetext", True).option("pathGlobFilter", "*.txt").text(root).select(relative("_metadata.file_path").alias("__rel"), F.col("value").alias("reference_text"))
     full = F.concat(F.regexp_replace("page_id", r"\.[^./]*$", ""), F.lit(".txt"))
     stem = F.concat(F.regexp_replace(F.regexp_extract("page_id", r"([^/]+)$", 1), r"\.[^./]*$", ""), F.lit(".txt"))
-    a, b = texts.toDF("__a", "__ta"), texts.toDF("__b", "__tb")
-    out = pages.join(a, full == F.col("__a"), "left").join(b, stem == F.col("__b"), "left")
-    return out.withColumn("reference_text", F.coalesce("__ta", "__tb")).drop("__a", "__ta", "__b", "__tb")
+    a, b = listed.toDF("__a"), listed.toDF("__b")
+    named = pages.join(a, full == F.col("__a"), "left").join(b, stem == F.col("__b"), "left").withColumn("__rel", F.coalesce("__a", "__b"))
+    return named.drop("__a", "__b").join(texts, "__rel", "left").drop("__rel")
 
 
 def archive_references(pages: DataFrame, texts: DataFrame, item: str = "item_id") -> DataFrame:

@@ -57,8 +57,20 @@ def stage_by_batch(stream: DataFrame, folder: str, stage: str, checkpoint: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give its result as a table; for demonstrations, as the sink is the driver's memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def read_once(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and give its result, which lies below folder, a new one that all executors share.
+
+    Each batch has a folder of its own, written anew if the batch is run again; in mode 'complete' the last one holds the result.
+    """
+    written: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        written.append(number)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(f"{folder}/rows")
+    return (rows.filter(F.col("batch") == max(written)) if mode == "complete" else rows).drop("batch")
