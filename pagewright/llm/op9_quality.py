@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,23 +175,24 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
     def train(self, x: np.ndarray, good: np.ndarray, weight: np.ndarray) -> None:
-        """Logistic regression on soft labels by gradient steps with momentum over the whole sample."""
-        weight = (weight / weight.sum()).astype("f4")  # in single precision throughout: the sample is the largest thing that the driver holds
-        self.mean = weight @ x[:, :-2]
-        off = x[:, :-2] - self.mean
-        spread = np.sqrt(np.einsum("i,ij,ij->j", weight, off, off))
-        del off
+        """Logistic regression on soft labels by gradient steps with momentum over the whole sample. x, the largest thing that the driver holds, is overwritten, some rows at a time."""
+        weight = (weight / weight.sum()).astype("f4")
+        some = [slice(k, k + 256) for k in range(0, len(x), 256)]
+        self.mean = (weight @ x)[:-2]
+        spread = np.sqrt(sum(weight[c] @ (x[c, :-2] - self.mean) ** 2 for c in some))
         self.scale = (spread + np.where(np.arange(x.shape[1] - 2) < FEATURES, 1e-4, 1e-2)).astype("f4")
-        z = self.standard(x)
-        w, b = np.zeros(z.shape[1], "f4"), self.bias
+        for c in some:
+            x[c, :-2] = self.standard(x[c])
+        x[:, -2:] = 0
+        w, b = np.zeros(x.shape[1], "f4"), self.bias
         pace_w, pace_b = np.zeros_like(w), 0.0
         for _ in range(STEPS):
-            p = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
             off = (weight * (p - good)).astype("f4")
-            pace_w = 0.9 * pace_w - RATE * (z.T @ off + SHRINK * w)
+            pace_w = 0.9 * pace_w - RATE * (x.T @ off + SHRINK * w)
             pace_b = 0.9 * pace_b - RATE * float(off.sum())
             w, b = w + pace_w, b + pace_b
-        self.weights, self.bias = w, float(b)
+        self.weights, self.bias = w[:-2], float(b)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teachers: int = TEACHERS) -> Scorer:
@@ -219,15 +221,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teacher
 
     def features(batches):
         for batch in batches:
-            held = [hashed(x, *measures(x)).tobytes() for x in batch.column(1).to_pylist()]
+            held = [zstandard.compress(hashed(x, *measures(x)).tobytes(), 3) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], ["id", "pattern", "x"])
 
     sample = texts.join(F.broadcast(picked[0].union(picked[1]).dropDuplicates(["id"])), "id").select("id", "text", "pattern")
     found = sample.mapInArrow(features, "id long, pattern int, x binary").groupBy("id").agg(F.min("pattern").alias("pattern"), F.min("x").alias("x"))
     rows = sorted(found.collect(), key=lambda r: r.id)  # a row an id, however often it occurs
     if rows:
-        x = np.stack([np.frombuffer(r.x, "f4") for r in rows])
-        soft = np.array([of[r.pattern] for r in rows])
+        x, soft = np.empty((len(rows), FEATURES + N_LABELLERS + 2), "f4"), np.array([of[r.pattern] for r in rows])
+        for k, r in enumerate(rows):
+            x[k] = np.frombuffer(zstandard.decompress(r.x), "f4")
         del rows
         n = {side: max(1, int(((soft >= 0.5) == side).sum())) for side in sides}
         scorer.train(x, soft, np.array([total[g >= 0.5] / n[g >= 0.5] for g in soft]))
