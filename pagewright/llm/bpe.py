@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import heapq
 import json
 import re
@@ -173,15 +174,31 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 SLICE_BYTES = 6 << 20
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """What gives freed memory of the C library back to the system; nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def released() -> None:
+    """Give back what a worker has freed: it stays for later stages, whose memory would come on top."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
     """The batch in runs of rows with up to so many bytes of text, a single longer text by itself."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("i8"))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    released()
 
 
 class Batches:

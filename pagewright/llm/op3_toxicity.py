@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from pagewright.llm.bpe import slices
+from pagewright.llm.bpe import released, slices
 from pagewright.llm.common import durable, table, whole_text
 from pagewright.llm.unions import runs
 
@@ -399,6 +399,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             evidence = pa.array([index.ids[x].tolist() for x in found], pa.list_(pa.int64()))
             nearest = pa.array([float(x[0]) if len(x) else 0.0 for x in cosines], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, nearest], ["id", "score", "evidence", "cosine"])
+        released()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), TERMS).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosine")
@@ -433,5 +434,6 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             stay = pa.array([sent.value.scored(*_unpacked(x), k)[0] < most for x in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
             yield batch.filter(stay).drop_columns(TERMS)
+        released()
 
     return known.mapInArrow(work, docs.schema)

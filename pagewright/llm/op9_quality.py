@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.bpe import slices
 from pagewright.llm.common import durable, table, whole_text
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teacher
     at most ``teachers`` each, those of the least hash of their id, weighted to stand for all of their side."""
 
     def work(batches):
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, 1)):
             votes = [sum(v * 3**k for k, v in enumerate(votes_on(measures(x)[0]))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.int32())], ["id", "pattern"])
 
@@ -220,7 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", teacher
         return scorer
 
     def features(batches):
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, 1)):
             held = [zstandard.compress(hashed(x, *measures(x)).tobytes(), 3) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], ["id", "pattern", "x"])
 
@@ -244,7 +245,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     def work(batches):
         held = sent.value
         known: dict[tuple, float] = {}
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, 1)):
             weak, scores = [], []
             for text in batch.column(1).to_pylist():
                 values, words = measures(text)
@@ -281,7 +282,7 @@ def good_rows(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: flo
     sent, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
 
     def work(batches):
-        for batch in batches:
+        for batch in (some for batch in batches for some in slices(batch, at)):
             texts = [x or "" for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([sent.value.probability(hashed(x, *measures(x))) >= keep for x in texts], pa.bool_()))
 

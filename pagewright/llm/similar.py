@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import slices
+from pagewright.llm.bpe import released, slices
 from pagewright.llm.common import durable, narrow, whole_text
 from pagewright.llm.components import connected
 from pagewright.llm.op4_simhash import near_pairs
@@ -23,7 +23,7 @@ TABLES, BITS, MAX_BITS = 16, 32, 3
 #: all tables: 0.151 of them and about four standard deviations.
 CHECK_BITS, WIDE, WIDE_BITS = 21, 24, 285
 #: Rounds in which each node's nearest candidate that leads out of its group is tried, before all that are still apart.
-ROUNDS = 6
+ROUNDS = 4
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
@@ -195,6 +195,7 @@ def _across(batches):
                 fit = np.bitwise_count(apart).sum(axis=1) <= WIDE_BITS
                 fit &= _first_part(apart[:, :_WORDS64].copy().view("<u4")) == part[a] >> TOP
                 yield _edges(node[a[fit]], node[b[fit]])
+    released()
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -231,17 +232,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
         return durable(rows.filter(F.col("both") >= F.col("either") * similarity - 1e-9).select("a", "b"))
 
-    links, roots, tried = None, None, None
-    for _ in range(ROUNDS):
-        some = candidates
-        if roots is not None:
-            x, y = ends(roots, "root", "x", "y")
-            some = candidates.join(tried, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    links, roots, left = None, None, candidates
+    for turn in range(ROUNDS):
         nearest = F.min_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("x")
-        picked = durable(some.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "bits").groupBy("end").agg(nearest).select("x.a", "x.b").distinct())
+        picked = durable(left.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "bits").groupBy("end").agg(nearest).select("x.a", "x.b").distinct())
         found = verified(picked)
-        links, tried = (found, picked) if links is None else (links.union(found), tried.union(picked))
+        links = found if links is None else links.union(found)
         roots = durable(connected(links, "a", "b"))
+        if turn + 1 < ROUNDS:  # what has been tried or connected by now needn't be looked at again
+            x, y = ends(roots, "root", "x", "y")
+            left = left.join(picked, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
+            left = durable(left.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "bits"))
     own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
     later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
     roots = durable(connected(links.union(later), "a", "b"))
