@@ -243,6 +243,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x, y = ends(roots, "root", "x", "y")
             left = left.join(picked, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
             left = durable(left.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "bits"))
+            if left.isEmpty():
+                break
     own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
     later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
     roots = durable(connected(links.union(later), "a", "b"))
