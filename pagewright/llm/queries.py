@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagewright.llm import op8_exact_dedup as exact
+from pagewright.llm import op13_merkle as manifest
 from pagewright.llm.op1_lm_score import op1_lm_score
 from pagewright.llm.op2_lattice import op2_lattice
 from pagewright.llm.op3_toxicity import op3_toxicity
@@ -13,6 +14,7 @@ from pagewright.llm.op7_sharding import op7_sharding
 from pagewright.llm.op8_exact_dedup import op8_exact_dedup
 from pagewright.llm.op9_quality import op9_quality
 from pagewright.llm.op10_bpe_codec import op10_bpe_codec
+from pagewright.llm.op13_merkle import op13_merkle
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec)}
-ORACLES = {"op8_exact_dedup": exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec, op13_merkle)}
+ORACLES = {"op8_exact_dedup": exact.ORACLE, "op13_merkle": manifest.ORACLE}
