@@ -14,7 +14,9 @@ from pagewright.llm.op7_sharding import op7_sharding
 from pagewright.llm.op8_exact_dedup import op8_exact_dedup
 from pagewright.llm.op9_quality import op9_quality
 from pagewright.llm.op10_bpe_codec import op10_bpe_codec
+from pagewright.llm.op11_neighbours import op11_neighbours
+from pagewright.llm.op12_prefix_trie import op12_prefix_trie
 from pagewright.llm.op13_merkle import op13_merkle
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_lattice, op3_toxicity, op4_simhash, op5_token_counts, op6_packing, op7_sharding, op8_exact_dedup, op9_quality, op10_bpe_codec, op11_neighbours, op12_prefix_trie, op13_merkle)}
 ORACLES = {"op8_exact_dedup": exact.ORACLE, "op13_merkle": manifest.ORACLE}
