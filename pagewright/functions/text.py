@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pandas as pd
@@ -10,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import schemas
+from pagewright.functions.distances import edit_distance
+from pagewright.functions.sequences import opcodes
 
 #: Words and runs of newlines; other white space separates.
 TOKEN = r"(?U)\S+|\n+"
 _PY_TOKEN = re.compile(r"\S+|\n+")
-#: First code point that stands for a word in the word error rate, how many there are before surrogates, and with those of the further planes.
-_FIRST_WORD, _LOW_POINTS = 0x4E00, 0xD800 - 0x4E00
-_WORD_POINTS = _LOW_POINTS + 0x110000 - 0x10000
+#: Product of two lengths up to which the built-in edit distance, quadratic, is the quicker one.
+_SHORT = 1_000_000
 
 
 def tokens(column: str | Column) -> Column:
@@ -28,44 +28,24 @@ def py_tokens(text: str) -> list[str]:
 
 
 def stripped(column: str | Column) -> Column:
-    """The text without white space at its ends."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    """The text without white space at its ends, in one pass: from its first to its last visible character."""
+    return F.regexp_extract(column, r"(?Us)^\s*+(.*\S)?", 1)
 
 
 def cer(base: str, pred: str) -> Column:
-    """Character edit distance over the length of the baseline, both stripped; null where either is empty. Can exceed 1."""
-    b, p = stripped(base), stripped(pred)
-    return F.when((F.length(b) > 0) & (F.length(p) > 0), F.levenshtein(b, p) / F.length(b))
+    """Character edit distance over the length of the baseline, both stripped; null where either is empty. Can exceed 1.
 
+    Long pairs take the bit-parallel distance, which two texts of 200,000 characters keep busy for seconds.
+    """
+    b, p = stripped(base), stripped(pred)
+    short = F.length(b).cast("long") * F.length(p) <= _SHORT
+    long = _by_pairs(_py_distance, F.when(~short, b), F.when(~short, p))
+    return F.when((F.length(b) > 0) & (F.length(p) > 0), F.when(short, F.levenshtein(b, p)).otherwise(long) / F.length(b))
 
-def wer(base: str, pred: str) -> Column:
-    """Word edit distance over the number of baseline words, both stripped; null where either is empty. Words end at a blank, or where two white spaces or more meet; a lone line break doesn't end one.
 
-    Each distinct word becomes one code point, so that the character distance of the rewritten texts is the word distance.
-    Pairs with more distinct words than there are code points go to ``wer_python``.
-    """
-    words = lambda c: F.filter(F.split(F.regexp_replace(stripped(c), r"(?U)\s\s+", " "), " "), lambda w: w != "")
-    low, high = _FIRST_WORD - 1, 0x10000 - 1 - _LOW_POINTS
-    code = lambda at: at + F.when(at <= _LOW_POINTS, low).otherwise(high)
-    point = lambda w, known: F.lpad(F.hex(F.transform(F.array(F.array_position(known, w)), code)[0]), 8, "0")
-    written = lambda ws, known: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: point(w, known)), "")), "UTF-32")
-    # one-element arrays bind what is used more than once, so it is worked out once
-    bound = F.transform(F.array(F.struct(words(base).alias("b"), words(pred).alias("p"))), lambda s: F.struct(s["b"].alias("b"), s["p"].alias("p"), F.array_distinct(F.concat(s["b"], s["p"])).alias("k")))
-    fits = lambda s: (F.size(s["b"]) > 0) & (F.size(s["p"]) > 0) & (F.size(s["k"]) <= _WORD_POINTS)
-    rate = F.transform(bound, lambda s: F.when(fits(s), F.levenshtein(written(s["b"], s["k"]), written(s["p"], s["k"])) / F.size(s["b"])))[0]
-    # n words take 2 * n - 1 characters at least
-    many = F.when(F.length(base) + F.length(pred) >= 2 * _WORD_POINTS, F.size(F.array_distinct(F.concat(words(base), words(pred)))) > _WORD_POINTS)
-    return F.coalesce(rate, wer_python(F.when(many, F.col(base)), F.when(many, F.col(pred))))
-
-
-def edit_distance(a: list, b: list) -> int:
-    """Insertions, deletions and replacements from a to b, row by row."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+def wer(base: str | Column, pred: str | Column) -> Column:
+    """Word edit distance over the number of baseline words, both stripped; null where either is empty. Words end at a blank, or where two white spaces or more meet; a lone line break doesn't end one."""
+    return _by_pairs(_py_wer, base, pred)
 
 
 def py_words(text: str | None) -> list[str]:
@@ -73,6 +53,10 @@ def py_words(text: str | None) -> list[str]:
     return [w for w in re.sub(r"\s\s+", " ", (text or "").strip()).split(" ") if w]
 
 
+def _py_distance(a: str | None, b: str | None) -> float | None:
+    return None if a is None or b is None else float(edit_distance(a, b))
+
+
 def _py_wer(b: str | None, p: str | None) -> float | None:
     b, p = py_words(b), py_words(p)
     return edit_distance(b, p) / len(b) if b and p else None
@@ -87,11 +71,6 @@ def _by_pairs(one, base: str | Column, pred: str | Column) -> Column:
     return F.pandas_udf(work, "double")(base, pred)
 
 
-def wer_python(base: str | Column, pred: str | Column) -> Column:
-    """As wer, for any number of words."""
-    return _by_pairs(_py_wer, base, pred)
-
-
 def disagreement(rows: DataFrame, page: str, model: str, text: str) -> DataFrame:
     """(page, disagreement, n_models): the mean over pairs of a page's texts of 1 - 2 * common tokens / all tokens.
 
@@ -118,12 +97,6 @@ def disagreement(rows: DataFrame, page: str, model: str, text: str) -> DataFrame
     return models.join(mean, "page", "left").select("page", F.coalesce("mean", F.lit(0.0)).alias("disagreement"), "n_models")
 
 
-def opcodes(base: list[str], pred: list[str]) -> tuple[list[tuple], float]:
-    """How base becomes pred, and the share of both that matches (0 to 100)."""
-    matcher = difflib.SequenceMatcher(None, base, pred, autojunk=False)
-    return [tuple(x) for x in matcher.get_opcodes()], matcher.ratio() * 100
-
-
 _FIELDS = ("tag", "i1", "i2", "j1", "j2")
 
 

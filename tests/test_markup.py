@@ -100,3 +100,16 @@ def test_arguments(spark):
     df = spark.createDataFrame([({"a": "1", "b": None, "c": "3"},)], "m map<string, string>")
     inside, rest = scalars.allowed(F.col("m"), ["a", "b"])
     assert tuple(df.select(inside, rest).first()) == ({"a": "1"}, {"c": "3"})
+
+
+def test_labels_of_long_and_odd_answers(spark):
+    """A megabyte of nested objects, braces and quotes within strings, what isn't closed, isn't JSON or names no known label."""
+    deep = '{"label": "a", "why": [' + ", ".join('{"k": {"v": {"w": {"x": "}{"}}}}' for _ in range(30_000)) + "]}"
+    cases = {
+        deep: "a", '{"label": "b", "why": "' + "x" * 1_000_000 + '"} and {"label": "a"}': "b", r'{"why": "\\\"}{", "label": "a"}': "a", '{"label": "a"': None, '{"label": "a", }': None, "{" * 100_000: None,
+        '{"label": "c"}': None, '{"label": ["a"]}': None, '{"label": 1}': None, "{}": None, "": None, None: None, 'x</think>{"label": "a"}</think>{"label": "b"}': "a", '{"label": "b"}</think>none': None,
+    }
+    assert len(deep) > 900_000
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x string").repartition(2)
+    got = {r.i: r.l for r in df.select("i", markup.label_of(F.col("x"), ["a", "b"]).alias("l")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())

@@ -1,9 +1,12 @@
 import difflib
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from pagewright.functions import text
 
-CASES = ["a b\n\nc", "\n lead and trail \n", "tab\tand nbsp", "", None, "one", "Ünï cödé wörd", "x x x y", "y x x x"]
+CASES = ["a b\n\nc", "a\nb c", "a\tb", "a\u00a0b \u00a0c", "\n lead and trail \n", "tab\tand nbsp", "", None, "one", "Ünï cödé wörd", "x x x y", "y x x x"]
 
 
 def pairs(spark):
@@ -15,14 +18,55 @@ def test_tokens(spark):
     assert all(r.k == text.py_tokens(r.t) for r in got)
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_words_of_the_error_rate():
+    """Runs of white space are one blank, and blanks part words; a lone line break, tab or other space doesn't."""
+    words = {"a\nb c": ["a\nb", "c"], "a\tb": ["a\tb"], "a\u00a0b": ["a\u00a0b"], "a \u00a0b": ["a", "b"], " a \n\n b ": ["a", "b"], "a  b": ["a", "b"], "": []}
+    assert {t: text.py_words(t) for t in words} == words
+
+
 def test_error_rates(spark):
-    for r in pairs(spark).select("a", "b", text.cer("a", "b").alias("cer"), text.wer("a", "b").alias("wer"), text.wer_python("a", "b").alias("py")).collect():
+    for r in pairs(spark).select("a", "b", text.cer("a", "b").alias("cer"), text.wer("a", "b").alias("wer")).collect():
         a, b = (r.a or "").strip(), (r.b or "").strip()
         if not a or not b:
-            assert r.cer is None and r.wer is None and r.py is None
+            assert r.cer is None and r.wer is None
             continue
-        assert abs(r.cer - text.edit_distance(list(a), list(b)) / len(a)) < 1e-12
-        assert abs(r.wer - text.edit_distance(a.split(), b.split()) / len(a.split())) < 1e-12 and abs(r.py - r.wer) < 1e-12
+        x, y = text.py_words(a), text.py_words(b)
+        assert abs(r.cer - plain_distance(a, b) / len(a)) < 1e-12 and abs(r.wer - plain_distance(x, y) / len(x)) < 1e-12
+
+
+def test_bit_parallel_distance():
+    pick = random.Random(7)
+    for n in (0, 1, 2, 9, 63, 64, 65, 130):
+        for letters in ("ab", "abcdefgh", [("a", 1), ("b", 2), None]):
+            for _ in range(12):
+                a, b = pick.choices(letters, k=n), pick.choices(letters, k=pick.randint(0, 140))
+                assert text.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_long_texts(spark):
+    """Two pages of 200,000 characters, and long runs of blanks; each in seconds."""
+    pick = random.Random(1)
+    page = "".join(pick.choices("abcdefghij klmno", k=200_000))
+    other = "".join(pick.choices("abcdefghij klmno", k=200_000))
+    few = list(page)
+    for at in range(100, 200_000, 4000):
+        few[at] = "#"
+    blanks = "x" + " " * 1_000_000 + "y"
+    df = spark.createDataFrame([("few", page, "".join(few)), ("other", page, other), ("blanks", blanks + "   ", blanks), ("trail", "z" + " \n" * 500_000, "z")], "k string, a string, b string")
+    began = time.time()
+    got = {r.k: r for r in df.select("k", text.cer("a", "b").alias("cer"), text.wer("a", "b").alias("wer"), F.length(text.stripped("a")).alias("n")).collect()}
+    assert time.time() - began < 90
+    assert abs(got["few"].cer * len(page.strip()) - 50) < 1e-6 and 0.3 < got["other"].cer < 1 and got["blanks"].cer == 0 and got["trail"].cer == 0
+    assert got["blanks"].n == 1_000_002 and got["trail"].n == 1 and 0 < got["few"].wer < 0.01
 
 
 def test_comparison_against_difflib(spark):
@@ -56,12 +100,24 @@ def test_disagreement_is_quick_ratio(spark):
     assert got["same"].disagreement == 0 and got["apart"].disagreement == 1 and got["nameless"].n_models == 0
 
 
-def test_word_error_rate_of_many_words(spark, monkeypatch):
+def test_word_error_rate_of_many_words(spark):
     many = " ".join(f"w{i}" for i in range(36000))
     rows = spark.createDataFrame([(many, "w35999 w2 x"), ("w1 w2 x", many), ("a b c d e", "a x c y e z"), ("", many), (None, many)], "a string, b string")
-    want = [text._py_wer(r.a, r.b) for r in rows.collect()]
-    assert want[0] is not None and want[3] is None
-    assert [r.w for r in rows.select(text.wer("a", "b").alias("w")).collect()] == want
-    monkeypatch.setattr(text, "_WORD_POINTS", 5)
-    small = rows.filter("length(a) < 20 and length(b) < 20").union(spark.createDataFrame([("a b c", "a b d")], "a string, b string"))
-    assert [r.w for r in small.select(text.wer("a", "b").alias("w")).collect()] == [text._py_wer(r.a, r.b) for r in small.collect()]
+    got = [r.w for r in rows.select(text.wer("a", "b").alias("w")).collect()]
+    assert got == [35999 / 36000, 35998 / 3, 3 / 5, None, None]
+
+
+def test_matching_blocks_are_those_of_the_longest_runs():
+    """Against the standard library's matcher: random sequences of few and of many different items."""
+    pick = random.Random(5)
+    for letters in ("ab", "abc", "abcdefghijklmnop", ["x"]):
+        for _ in range(150):
+            a, b = pick.choices(letters, k=pick.randint(0, 40)), pick.choices(letters, k=pick.randint(0, 40))
+            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            codes, share = text.opcodes(a, b)
+            assert codes == m.get_opcodes() and abs(share - 100 * m.ratio()) < 1e-9
+    a = [str(pick.randint(0, 3000)) for _ in range(20_000)]
+    b = [x if pick.random() < 0.98 else "changed" for x in a]
+    began = time.time()
+    codes, share = text.opcodes(a, b)
+    assert time.time() - began < 60 and 97 < share < 99 and [x for c in codes if c[0] == "equal" for x in a[c[1] : c[2]]] == [x for c in codes if c[0] == "equal" for x in b[c[3] : c[4]]]
