@@ -132,6 +132,19 @@ def unseen(new: DataFrame, done: DataFrame, mode: str = "page") -> DataFrame:
     return new.join(seen, keys, "left_anti")
 
 
+#: Where marked notes whether a row is done.
+SEEN = "__seen"
+
+
+def marked(new: DataFrame, done: DataFrame, mode: str = "page") -> DataFrame:
+    """new with SEEN: whether unseen would drop the row."""
+    keys = schemas.RESUME_KEYS[mode]
+    if not keys:
+        return new.withColumn(SEEN, F.lit(False))
+    seen = done.select(*keys).dropna().distinct().withColumn(SEEN, F.lit(True))
+    return new.join(seen, keys, "left").withColumn(SEEN, F.coalesce(SEEN, F.lit(False)))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts; a column that a part lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

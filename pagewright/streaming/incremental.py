@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import UTC, datetime
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright import schemas
 from pagewright.sources import artifacts
@@ -74,3 +78,80 @@ def read_once(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{folder}/rows")
     return (rows.filter(F.col("batch") == max(written)) if mode == "complete" else rows).drop("batch")
+
+
+def stale(launches: DataFrame, now: Column, key: str = "run", phase: str = "phase", time: str = "ts", silent: int = 900) -> DataFrame:
+    """(key, since, age) of keys whose last row says 'launching' and is more than ``silent`` seconds old. Ties in time go to the greater phase; rows without a key or time say nothing."""
+    last = launches.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key).agg(F.max(F.struct(time, phase)).alias("last"))
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.col(f"last.{time}"))
+    return last.filter((F.col(f"last.{phase}") == "launching") & (age > silent)).select(key, F.col(f"last.{time}").alias("since"), age.alias("age"))
+
+
+def stale_as_they_fall_silent(launches: DataFrame, key: str = "run", phase: str = "phase", time: str = "ts", silent: float = 900) -> DataFrame:
+    """The stream of (key, since): a key that said 'launching' last and then nothing for ``silent`` seconds on the clock, each time once.
+
+    The state of a key is its last launch with a timer, and is gone when another phase comes or the timer has rung. launches: string key, phase, timestamp.
+    """
+
+    def last(own: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            (since,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [own[0]], "since": [pd.Timestamp(since, unit="us")]})
+            return
+        rows = pd.concat(list(batches)).dropna(subset=[time]).sort_values([time, phase], na_position="first")
+        if len(rows) and rows[phase].iloc[-1] == "launching":
+            state.update((int(rows[time].iloc[-1].value // 1000),))
+            state.setTimeoutDuration(int(silent * 1000))
+        elif len(rows) and state.exists:
+            state.remove()
+
+    own = launches.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), phase, F.col(time).cast("timestamp").alias(time))
+    return own.groupBy(key).applyInPandasWithState(last, f"{key} string, since timestamp", "since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+PROGRESS = "query string, name string, batch long, at timestamp, rows long, rows_per_second double, seconds double, state_rows long, ended boolean, error string"
+
+
+class ProgressTable(StreamingQueryListener):
+    """Writes a row to a table for every batch of every streaming query of the session, and one when a query ends. Add it with spark.streams.addListener.
+
+    Rows go to a folder as JSON lines, one file a row, so that what a driver wrote before it was lost stays readable.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def _write(self, **row) -> None:
+        names = [x.split()[0] for x in PROGRESS.split(", ")]
+        self._spark.createDataFrame([tuple(row.get(n) for n in names)], PROGRESS).coalesce(1).write.mode("append").json(self._folder)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        state = sum(o.numRowsTotal for o in p.stateOperators)
+        at = datetime.fromisoformat(p.timestamp.replace("Z", "+00:00"))
+        self._write(query=str(p.id), name=p.name, batch=p.batchId, at=at, rows=p.numInputRows, rows_per_second=p.processedRowsPerSecond, seconds=p.batchDuration / 1000, state_rows=state, ended=False)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._write(query=str(event.id), ended=True, at=datetime.now(UTC), error=event.exception)
+
+
+def progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that a ProgressTable has written."""
+    return spark.read.schema(PROGRESS).json(folder)
+
+
+def status(rows: DataFrame) -> DataFrame:
+    """From progress rows one a query: state (running, ended, failed), batches, rows done, mean rows a second of busy time, time of the last batch."""
+    at = F.when(~F.col("ended"), F.col("at"))
+    held = rows.groupBy("query").agg(
+        F.max("name").alias("name"), F.max("ended").alias("ended"), F.max("error").alias("error"), F.count_distinct("batch").alias("batches"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("seconds").alias("seconds"), F.max(at).alias("last_batch"),
+    )
+    state = F.when(F.col("error").isNotNull(), "failed").when(F.col("ended"), "ended").otherwise("running")
+    return held.select("query", "name", state.alias("state"), "batches", "rows", (F.col("rows") / F.nullif(F.col("seconds"), F.lit(0.0))).alias("rows_per_second"), "last_batch")
