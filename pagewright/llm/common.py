@@ -59,3 +59,11 @@ def without(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col:
     own = narrow(dropped.select(F.col("id").alias("__dropped_id"), F.col("h").alias("__dropped_h")))
     same = F.col(id_col).eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(whole_text(text_col)) == F.col("__dropped_h"))
     return df.join(own, same, "left_anti")
+
+
+def sql_crc32(number: str) -> str:
+    """DuckDB SQL for the crc32 of a number's decimal digits, bit by bit."""
+    digits = f"{number}::VARCHAR"
+    mixed = f"xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr({digits}, i // 8 + 1, 1)) ELSE 0 END)"
+    step = f"xor({mixed} >> 1, CASE WHEN {mixed} & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length({digits}))), lambda c, i: {step}), 4294967295)"

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, narrow, table, written
+from pagewright.llm.common import durable, narrow, sql_crc32, table, written
 from pagewright.llm.ranks import ranked
 
 #: Ids that are put together before those of a large group of copies meet in order.
@@ -88,7 +88,7 @@ def _refined(turns: DataFrame, seqs: DataFrame, root: int) -> tuple[list[tuple[D
     # at: depth down to which the class is known to agree; before: bytes above its first node; upto: bytes down to at
     classes = whole.select(*start, "n_convs", "seqs", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("upto"))
     classes = durable(classes.filter("seqs > 0"))
-    active = seqs.select("seq", "copies", "total", "length", F.lit(root).cast("long").alias("conv"), F.lit(0).cast("long").alias("at"))
+    active = durable(seqs.select("seq", "copies", "total", "length", F.lit(root).cast("long").alias("conv"), F.lit(0).cast("long").alias("at")))
     rounds, ends, ahead = [], [], 1
     while not (rounds and classes.isEmpty()):
         lo, hi = classes.agg(F.coalesce(F.min("at"), F.lit(0)), F.coalesce(F.max("at"), F.lit(0))).first()
@@ -206,3 +206,29 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     length = F.crc32(conv.cast("string").cast("binary")) % 9
     return prefix_trie(*with_shared_heads(digests(table(spark, sf_dir, "conversations")), conv - conv % 5, length))
+
+
+ORACLE = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS family, {sql_crc32("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.family WHERE k <= h
+  UNION ALL
+  SELECT conv_id, 1, k, role, text FROM c JOIN t USING (conv_id) WHERE k > h),
+s AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, k) AS turns FROM rebuilt GROUP BY conv_id),
+p AS (
+  SELECT conv_id, turns, d, turns[1:d] AS pre, d = len(turns) AS ended
+  FROM (SELECT conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN s USING (conv_id)), unnest(range(len(turns) + 1)) AS u(d)),
+n AS (
+  SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(octet_length(encode(pre[d].text)), 0) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ids
+  FROM p GROUP BY pre, d),
+below AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN below USING (pre, d)),
+sums AS (
+  SELECT pre[1:e] AS pre, e AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * bytes)::BIGINT AS saved_tokens
+  FROM own, unnest(range(d + 1)) AS u(e) GROUP BY ALL)
+SELECT own.conv_id, d AS depth, up.conv_id AS parent_conv_id, own.n AS n_convs, own.n_children, n_leaves, saved_tokens, sha256(own.ids) AS ends_sha256
+FROM own JOIN sums USING (pre, d) LEFT JOIN n up ON up.d = own.d - 1 AND up.pre = own.pre[1:own.d - 1]
+"""

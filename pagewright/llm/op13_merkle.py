@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import durable, narrow, table
+from pagewright.llm.common import durable, narrow, sql_crc32, table
 from pagewright.llm.ranks import ranked
 from pagewright.llm.unions import runs, whole_groups
 
@@ -213,9 +213,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UP, _LOW = string.ascii_uppercase, string.ascii_lowercase
-_BYTE = "xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END)"
-#: crc32 of the decimal doc_id, bit by bit.
-_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(doc_id::VARCHAR))), lambda c, i: xor({_BYTE} >> 1, CASE WHEN {_BYTE} & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+_CRC = sql_crc32("doc_id")
 
 
 def _sql_part(value: str) -> str:
