@@ -54,10 +54,19 @@ def narrow(small: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= bound else small
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it what no column of df is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id and text, by its xxhash64, aren't in dropped (id, h; durable). So rows that share an id alone stay."""
-    own = narrow(dropped.select(F.col("id").alias("__dropped_id"), F.col("h").alias("__dropped_h")))
-    same = F.col(id_col).eqNullSafe(F.col("__dropped_id")) & (F.xxhash64(whole_text(text_col)) == F.col("__dropped_h"))
+    i, h = free_name(df, "dropped_id"), free_name(df, "dropped_h")
+    own = narrow(dropped.select(F.col("id").alias(i), F.col("h").alias(h)))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(whole_text(text_col)) == F.col(h))
     return df.join(own, same, "left_anti")
 
 

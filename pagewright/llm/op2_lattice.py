@@ -177,7 +177,7 @@ def _verify(cosine: float, tables: int, probes: int):
 
 
 def _own_blocks(part: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (np.minimum(a, b) == part >> 16) & (np.maximum(a, b) == part & 0xFFFF)
+    return (np.minimum(a, b) == part >> 32) & (np.maximum(a, b) == part & 0xFFFFFFFF)
 
 
 def lattice_links(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
@@ -195,10 +195,10 @@ def lattice_links(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES
     rows = spread.join(narrow(shared), "cell")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, F.col("block")) * 65536 + F.greatest(x, F.col("block")))
-    rows = rows.withColumn("part", F.explode(F.when(F.col("n") > block_rows, pairs).otherwise(F.array(F.lit(-1)))))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.shiftleft(F.least(x, F.col("block")).cast("long"), 32) + F.greatest(x, F.col("block")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("n") > block_rows, pairs).otherwise(F.array(F.lit(-1).cast("long")))))
     rows = rows.join(given.mapInArrow(_carried(*lattice), "rep long, weight long, vec binary, all binary"), "rep")
-    rows = rows.select("cell", F.col("part").cast("int").alias("part"), "rep", "weight", "t", "probe", "block", "vec", "all")
+    rows = rows.select("cell", "part", "rep", "weight", "t", "probe", "block", "vec", "all")
     return rows.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_verify(cosine, tables, probes), "rep long, n long, root long")
 
 
@@ -215,7 +215,10 @@ def near_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
     vec = F.col("vec")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
-    rows = rows.withColumn("usable", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False)))
+    # the direction counts alone; very long and very short vectors are made about 1 long, so that no square of a component overflows or vanishes
+    most = F.array_max(F.transform(vec, lambda x: F.abs(x)))
+    scaled = F.when((most > 0) & (most < float("inf")) & ((most > 1e100) | (most < 1e-100)), F.transform(vec, lambda x: x / most)).otherwise(vec)
+    rows = rows.withColumn("usable", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))).withColumn("vec", scaled)
     key = [F.xxhash64("label", "vec").alias("h1"), F.xxhash64(F.lit("second"), "vec", "label").alias("h2")]
     good = rows.filter("usable").select("id", "label", "vec", *key)
     alike = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("weight"), F.first("vec").alias("vec"), F.first(F.xxhash64("label")).alias("salt"))

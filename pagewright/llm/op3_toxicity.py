@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pagewright.llm.bpe import released, slices
-from pagewright.llm.common import durable, table, whole_text
+from pagewright.llm.common import durable, free_name, table, whole_text
 from pagewright.llm.unions import runs
 
 #: Labelled rows of each class that are indexed at most; chi-square and odds ratio from which a term tells the classes apart, weight of one that doesn't.
@@ -296,18 +296,18 @@ def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numbered(docs: DataFrame, vocabulary: Vocabulary, text_col: str, keep_text: bool) -> DataFrame:
-    """docs, durable, with the terms of each text and their counts in a column more, TERMS; so that a text is read once for frequencies and scores."""
+    """docs, durable, with the terms of each text and their counts in a column more, the last; so that a text is read once for frequencies and scores."""
     sent, at = docs.sparkSession.sparkContext.broadcast(vocabulary), docs.columns.index(text_col)
-    fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    fields, name = [f for f in docs.schema.fields if keep_text or f.name != text_col], free_name(docs, TERMS)
 
     def work(batches):
         read = sent.value.reader()
         for batch in (some for batch in batches for some in slices(batch, at)):
             held = pa.array([_packed(*read(x or "")) for x in batch.column(at).to_pylist()], pa.binary())
             kept = [batch.column(i) for i in range(batch.num_columns) if keep_text or i != at]
-            yield pa.RecordBatch.from_arrays([*kept, held], [*[f.name for f in fields], TERMS])
+            yield pa.RecordBatch.from_arrays([*kept, held], [*[f.name for f in fields], name])
 
-    out = durable(docs.mapInArrow(work, StructType([*fields, StructField(TERMS, BinaryType())])))
+    out = durable(docs.mapInArrow(work, StructType([*fields, StructField(name, BinaryType())])))
     sent.destroy()
     return out
 
@@ -325,7 +325,7 @@ def _document_frequency(known: DataFrame, size: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(held[at])], ["term", "n"])
 
-    rows = known.select(TERMS).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = known.select(known.columns[-1]).mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1)
     df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return df[:-1], int(df[-1])
@@ -388,8 +388,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     """(id, held_out, score, predicted, evidence, cosine) for every row of docs; evidence: ids of the nearest examples, nearest first. Equal texts score equal: the id is not looked at, so an example is its own nearest."""
-    if TERMS not in docs.columns:
-        docs = numbered(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), index.vocabulary, text_col, False)
+    return _scored(numbered(docs.select(id_col, text_col), index.vocabulary, text_col, False), index, id_col, k)
+
+
+def _scored(docs: DataFrame, index: Index, id_col: str, k: int = NEIGHBOURS) -> DataFrame:
+    """As score, for docs whose last column has their terms."""
     sent = docs.sparkSession.sparkContext.broadcast(replace(index, vocabulary=None))  # terms are numbers by now
 
     def work(batches):
@@ -401,7 +404,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, nearest], ["id", "score", "evidence", "cosine"])
         released()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), TERMS).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), docs.columns[-1]).mapInArrow(work, "id long, score double, evidence array<long>, cosine double")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosine")
 
 
@@ -418,7 +421,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Texts of any length are read whole, a text at a time.
     """
     index, known = fitted(docs.select(id_col, text_col), labels, id_col, text_col)
-    return score(known, index, id_col)
+    return _scored(known, index, id_col)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +436,7 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def work(batches):
         for batch in batches:
             stay = pa.array([sent.value.scored(*_unpacked(x), k)[0] < most for x in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
-            yield batch.filter(stay).drop_columns(TERMS)
+            yield pa.RecordBatch.from_arrays([c.filter(stay) for c in batch.columns[:-1]], batch.schema.names[:-1])
         released()
 
     return known.mapInArrow(work, docs.schema)

@@ -14,7 +14,7 @@ from pagewright.llm.common import durable, narrow, table, whole_text
 SHARDS = 40
 #: Bytes that every row counts on top of its text.
 ROW_BYTES = 16
-#: A cut may miss its median by this share of a shard to keep equal texts together.
+#: A cut may miss its median by this share of a shard; where it would miss by more, equal texts that it falls among are set aside.
 TOLERANCE = 0.02
 #: Rows that get their slots in one task, on average.
 SLOT_ROWS = 50_000
@@ -26,12 +26,14 @@ PASSES = (13, 13, 13, 8, 15)
 
 @dataclass
 class _Node:
-    """Part of the tree: shards first to first + n - 1. A cut node holds the keys up to ``cut`` on the left."""
+    """Part of the tree: shards first to first + n - 1. A cut node holds the keys up to ``cut`` on the left; texts in ``before`` and ``behind`` (by their part of the key) go left and right wherever they are."""
 
     first: int
     n: int
     dim: int | None = None
     cut: int | None = None
+    before: tuple[int, ...] = ()
+    behind: tuple[int, ...] = ()
     left: _Node | None = None
     right: _Node | None = None
 
@@ -39,14 +41,20 @@ class _Node:
         """The first shard of the leaf that a row falls into, as an expression."""
         if self.left is None:
             return F.lit(self.first)
-        return F.when(F.col(f"k{self.dim}") <= self.cut, self.left.place()).otherwise(self.right.place())
+        key = F.col(f"k{self.dim}")
+        left, text = key <= self.cut, F.shiftright(key, ID_BITS)
+        if self.behind:
+            left &= ~text.isin(*self.behind)
+        if self.before:
+            left |= text.isin(*self.before)
+        return F.when(left, self.left.place()).otherwise(self.right.place())
 
     def leaves(self) -> list[_Node]:
         return [self] if self.left is None else self.left.leaves() + self.right.leaves()
 
-    def split(self, dim: int, cut: int) -> None:
+    def split(self, dim: int, cut: int, before: list[int], behind: list[int]) -> None:
         half = self.n // 2
-        self.dim, self.cut = dim, cut
+        self.dim, self.cut, self.before, self.behind = dim, cut, tuple(before), tuple(behind)
         self.left, self.right = _Node(self.first, half), _Node(self.first + half, self.n - half)
 
 
@@ -90,8 +98,13 @@ def _crossing(placed: DataFrame, targets: dict[int, float]) -> dict[int, tuple[i
     return {r.node: (r.bin, r.upto - r.w, r.upto) for r in hit.select("node", "bin", "w", "upto").collect()}
 
 
-def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, slack: float) -> None:
-    """Cut every open node along its widest dimension at its weighted median."""
+def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, shard: float) -> None:
+    """Cut every open node along its widest dimension at its weighted median.
+
+    Where the median falls into the rows of one text that weigh more than the slack but fit into a shard, the text is set aside
+    to the right, or to the left if the right is full of such, and the median of the rest is looked for again.
+    """
+    slack = TOLERANCE * shard
     at = points.withColumn("node", root.place())
     spans = [F.max(f"k{d}").alias(f"hi{d}") for d in range(n_dims)] + [F.min(f"k{d}").alias(f"lo{d}") for d in range(n_dims)]
     stats = {r.node: r for r in at.groupBy("node").agg(F.sum("size").alias("w"), *spans).collect()}
@@ -101,25 +114,44 @@ def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, slac
     for node, d in dim.items():
         key = F.when(F.col("node") == node, F.col(f"k{d}")).otherwise(key)
     at = at.withColumn("key", key)
-    prefix, below, shift, cut = {n: 0 for n in want}, dict.fromkeys(want, 0), sum(PASSES), {}
-    for bits in PASSES:
-        if not prefix:
-            break
-        inside = at.filter(F.col("node").isin(list(prefix))).filter(F.shiftright("key", shift) == _pick(prefix))
-        shift -= bits
-        found = _crossing(inside.select("node", F.shiftright("key", shift).alias("bin"), "size"), {n: want[n] - below[n] for n in prefix})
-        for n, (bin_, before, upto) in found.items():
-            prefix[n], start = bin_, below[n]
-            below[n] = start + before
-            if shift <= ID_BITS:  # one text, or its last rows
+    cut, before_, behind = {}, {n: [] for n in want}, {n: [] for n in want}
+    room = {x.first: stats[x.first].w - want[x.first] for x in open_ if x.first in want}  # for what is set aside to the right
+    waiting = set(want)
+    while waiting:
+        again = set()
+        rest = at
+        for n in waiting:
+            if aside := before_[n] + behind[n]:
+                rest = rest.filter((F.col("node") != n) | ~F.shiftright("key", ID_BITS).isin(*aside))
+        prefix, below, shift = {n: 0 for n in waiting}, dict.fromkeys(waiting, 0), sum(PASSES)
+        for bits in PASSES:
+            if not prefix:
+                break
+            inside = rest.filter(F.col("node").isin(list(prefix))).filter(F.shiftright("key", shift) == _pick(prefix))
+            shift -= bits
+            found = _crossing(inside.select("node", F.shiftright("key", shift).alias("bin"), "size"), {n: want[n] - below[n] for n in prefix})
+            for n, (bin_, before, upto) in found.items():
+                prefix[n], start = bin_, below[n]
+                below[n] = start + before
+                if shift > ID_BITS:
+                    continue
                 over, under = start + upto - want[n], want[n] - below[n]
-                if shift == 0 or min(over, under) <= slack:
-                    cut[n] = ((bin_ + (shift == 0 or over <= under)) << shift) - (shift > 0)
-                    if shift == 0:
-                        cut[n] = bin_ if over <= under else bin_ - 1
-        prefix = {n: p for n, p in prefix.items() if n not in cut and n in found}
+                if shift == 0:  # the last rows of a text that no shard can hold
+                    cut[n] = bin_ if over <= under else bin_ - 1
+                elif min(over, under) <= slack:
+                    cut[n] = ((bin_ + (over <= under)) << shift) - 1
+                elif upto - before <= shard:
+                    again.add(n)
+                    if upto - before <= room[n]:
+                        behind[n].append(bin_)
+                        room[n] -= upto - before
+                    else:
+                        before_[n].append(bin_)
+                        want[n] -= upto - before
+            prefix = {n: p for n, p in prefix.items() if n not in cut and n not in again and n in found}
+        waiting = again
     for x in open_:
-        x.split(dim[x.first], cut.get(x.first, -1))
+        x.split(dim[x.first], cut.get(x.first, -1), before_.get(x.first, []), behind.get(x.first, []))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -129,8 +161,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     hash coordinates); a node is cut along the one its rows spread widest in, at the weighted median, or at the share that
     fits if its number of leaves is odd, until ``shards`` leaves are left, or as many as make ``target_bytes`` each.
     Medians come from histograms that are refined in five passes; the driver sees one row a node. Equal texts have
-    equal coordinates and stay together unless a cut would then miss by over TOLERANCE of a shard, so a text that fills
-    a third of the table is shared out by id. Slots count from 0 in each shard without a gap, in no particular order of
+    equal coordinates and stay together if together they fit into a shard; a text that fills more, a third of the table say, is shared out by id
+    where a cut would else miss by over TOLERANCE of a shard. Slots count from 0 in each shard without a gap, in no particular order of
     texts. Null texts count as empty, null metadata as '', a null id is hashed as null; repeated rows each get a slot.
     An empty table gives an empty result. grown_shard is null under this law.
     """
@@ -139,7 +171,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     n = shards or max(1, math.ceil(total / (target_bytes or total or 1)))
     root = _Node(0, n)
     while open_ := [x for x in root.leaves() if x.n > 1]:
-        _level(points, root, open_, n_dims, TOLERANCE * total / n)
+        _level(points, root, open_, n_dims, total / n)
     parts = max(1, math.ceil(rows / (n * SLOT_ROWS)))
     placed = points.select("id", "size", "crc", root.place().alias("shard")).withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.lit(parts)))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import BROADCAST_ROWS, durable, narrow, table, whole_text
 
 PREFIX_CHARS = 256
-#: Bits of the bitmap that stands for groups beyond a broadcast: 32 MB.
-BITMAP_BITS = 28
+#: A bitmap stands for groups beyond a broadcast: bits a group, so that one in as many other rows hits it by chance, and at most so many in all (as a power of two: 256 MB).
+GROUP_BITS, BITMAP_BITS = 16, 31
 #: Groups with their digests are wider than ids; fewer of them are broadcast.
 BROADCAST_GROUPS = 100_000
 
@@ -22,13 +22,15 @@ def normalised(text: Column) -> Column:
 
 
 def _survivors(rows: DataFrame, groups: DataFrame, bound: int) -> DataFrame:
-    """rows whose keys are in groups (its columns); where groups has over ``bound`` rows, rows that hit the bitmap of its keys, which is as large however many they are.
+    """rows whose keys are in groups (its columns); where groups has over ``bound`` rows, rows that hit the bitmap of its keys, sized by their count.
 
     A row that hits the bitmap by chance is hashed in vain and forms no group; no text is moved, and the result is the same.
     """
-    if groups.count() <= bound:
+    n = groups.count()
+    if n <= bound:
         return rows.join(F.broadcast(groups), groups.columns, "left_semi")
-    bit = F.xxhash64(*groups.columns).bitwiseAND((1 << BITMAP_BITS) - 1)
+    bits = min(BITMAP_BITS, max(15, (GROUP_BITS * n - 1).bit_length()))
+    bit = F.xxhash64(*groups.columns).bitwiseAND((1 << bits) - 1)
     set_ = groups.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("__page")).agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("__bits"))
     byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3).bitwiseAND(4095).cast("int") + 1, 1)), 16, 10).cast("int")
     hit = F.expr("shiftright(__byte, cast(__at & 7 as int)) & 1") == 1

@@ -2,7 +2,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
-from pagewright.llm.op7_sharding import TOLERANCE, kd_shards, op7_sharding
+from pagewright.llm.op7_sharding import kd_shards, op7_sharding
 from pagewright.llm.op8_exact_dedup import copies, exact_duplicates, op8_exact_dedup
 
 
@@ -61,9 +61,25 @@ def test_shards(spark):
     of = defaultdict(set)
     for r in rows:
         of[texts[r.doc_id]].add(r.shard)
-    small = 2 * TOLERANCE * sum(sizes) / 40
-    light = [t for t, n in Counter(texts.values()).items() if n > 1 and n * (len(t.encode()) + 16) <= small]
-    assert len(light) > 100 and all(len(of[t]) == 1 for t in light)
+    fit = [t for t, n in Counter(texts.values()).items() if n > 1 and n * (len(t.encode()) + 16) <= sum(sizes) / 40]
+    assert len(fit) > 100 and all(len(of[t]) == 1 for t in fit)
+
+
+def test_groups_that_fit_stay_whole(spark):
+    """Many texts of a tenth to nearly all of a shard, one of two shards, and light ones between."""
+    rows = [(i, f"light {i} " + "x" * (i % 50)) for i in range(6000)]
+    for g, share in enumerate([0.3, 0.12, 0.5, 0.9, 0.31, 0.2, 0.45, 0.15, 0.8, 0.33, 2.0]):
+        rows += [(10_000 + 1000 * g + i, f"group {g} " + "y" * 60) for i in range(int(share * 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "if(doc_id % 3 = 0, 'a', concat('s', doc_id % 7)) as source")
+    texts, count = dict(rows), Counter(t for _, t in rows)
+    for n in (8, 11):
+        got = kd_shards(docs, shards=n).collect()
+        sizes, of = held(got, texts, n), defaultdict(set)
+        for r in got:
+            of[texts[r.doc_id]].add(r.shard)
+        mean = sum(sizes) / n
+        assert max(sizes) < 1.06 * mean and min(sizes) > 0.94 * mean
+        assert all(len(of[t]) == 1 for t, c in count.items() if c * (len(t.encode()) + 16) <= mean) and any(c > 100 for c in count.values())
 
 
 def test_shards_hot_text_and_odd_rows(spark, odd):

@@ -85,3 +85,10 @@ def test_odd_rows(spark):
     want = [(r[0], linked.get(r[0], 0), 0 if r[0] in linked else r[0], r[0] is None or r[0] not in linked or r[0] == 0) for r in rows]
     assert got == sorted(want, key=str)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_very_long_and_very_short_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 1e199]), (2, [1e-200, 0.0]), (3, [2e-200, 1e-201]), (4, [1.0, 0.0]), (5, [0.0, 1e300]), (6, [1e308, 1e308]), (7, [5e-324, 5e-324])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()}
+    assert got == {k: (4, 0, k == 0) for k in range(5)} | {5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False)}

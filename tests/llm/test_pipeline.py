@@ -1,6 +1,8 @@
 from collections import defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from pagewright.llm.op3_toxicity import toxicity
 from pagewright.llm.op9_quality import quality
 
@@ -39,7 +41,6 @@ def least(rows):
 
 
 def test_stages(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/pagewright-test-checkpoints")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     for name, docs, after in stages(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL):
         rows = docs.collect()
@@ -81,3 +82,15 @@ def test_odd_rows(spark, odd, tmp_path):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns[0] == "doc_id" and got.count() > 0
+
+
+def test_stages_with_clashing_names(spark, odd):
+    """Columns named as those that the stages make on their way go through."""
+    names = ["__terms", "terms", "dropped_id", "dropped_h", "__dropped_id", "__dropped_h", "keep_id", "h", "id", "size", "kept", "score", "prefix", "digest", "node", "fingerprint", "group_size", "key", "rep"]
+    docs = odd
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        after = stage(spark, docs, SMALL)
+        assert name == "packing" or after.columns == docs.columns
+        assert after.count() > 0
