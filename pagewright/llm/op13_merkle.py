@@ -176,7 +176,7 @@ def merkle(docs: DataFrame, forged_text: Column | None = None, forge: Column | N
     head = [_part(F.col(c)) for c in fields[:-1]]
     leaf = lambda text: F.sha2(F.concat(*head, _part(text)), 256)
     rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), leaf(F.col(text_col)).alias("hash"), F.when(forge, leaf(forged_text)).alias("forged"))
-    rows = ranked(rows, ["source"], ["id", "hash"])
+    rows = ranked(durable(rows), ["source"], ["id", "hash"])  # durable, as a sort by range reads its input twice
     sources = durable(rows.filter("at = 0").select("source"))
     sources = ranked(sources.withColumn("all", F.lit(0)), ["all"], ["source"]).select("source", F.col("at").alias("g"), F.col("n").alias("sources"))
     nodes = _numbered(rows, sources)
