@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Image extensions, size suffixes, bytes a parameter takes.
-IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".gif", ".webp", ".jp2", ".jpx", ".j2k")
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp", ".bmp", ".gif", ".jp2", ".j2k", ".jpx")
 BYTE_SUFFIXES = {"": 1, "k": 1000, "K": 1024, "m": 1000**2, "M": 1024**2, "g": 1000**3, "G": 1024**3, "t": 1000**4, "T": 1024**4}
 PARAMETER_SUFFIXES = {"K": 10**3, "M": 10**6, "B": 10**9, "T": 10**12}
 BYTES_PER_PARAMETER = {"auto": 2, "bfloat16": 2, "bf16": 2, "float16": 2, "fp16": 2, "half": 2, "float32": 4, "fp32": 4, "float": 4, "fp8": 1, "float8": 1, "fp8_e4m3": 1, "fp8_e5m2": 1, "int8": 1, "int4": 0.5, "uint4": 0.5}

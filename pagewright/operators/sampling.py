@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.durable import durable
+
 SEED = 42
 
 
@@ -70,14 +72,31 @@ def sampled_volumes(rows: DataFrame, link: str = "https://example.org/item/%s")
 
 
 def index_window(df: DataFrame, order: list[str], start: int, end: int | None) -> DataFrame:
-    """The rows with an index from start up to, not including, end in the given order. Only rows before end are ranked."""
+    """The rows with an index from start up to, not including, end in the given order. Only rows before end are ranked; without an end all are, in as many tasks as they fill."""
     if end is not None and end < start:
         raise ValueError("end lies before start")
-    head = df.orderBy(*order).limit(end) if end is not None else df
-    ranked = head.withColumn("index", F.row_number().over(Window.orderBy(*order)) - 1)
+    if end is None:
+        return indexed(df, order).filter(F.col("index") >= start)
+    ranked = df.orderBy(*order).limit(end).withColumn("index", F.row_number().over(Window.orderBy(*order)) - 1)
     return ranked.filter(F.col("index") >= start)
 
 
+def indexed(df: DataFrame, order: list[str], column: str = "index") -> DataFrame:
+    """df with each row's place in order, from 0; nulls first, equal rows one after another in no particular order.
+
+    Rows are sorted by range, so that no task has more than its share even of equal ones; a task counts its own rows, and only one number a task
+    is summed up over all of them.
+    """
+    keys = [*order, "__from"]
+    ranges = df.withColumn("__from", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__from")
+    kept = durable(ranges.withColumn("__row", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__row", 33))
+    parts = kept.groupBy("__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    index = F.col("__before") + F.col("__row") - F.col("__first")
+    return kept.join(F.broadcast(parts), "__part").withColumn(column, index).drop("__part", "__row", "__first", "__before")
+
+
 def rank_slice(total: int, ranks: int, rank: int) -> tuple[int, int]:
     """The index range of one of several workers; the last one takes what is left over."""
     step = total // ranks

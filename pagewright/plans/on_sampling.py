@@ -228,9 +228,33 @@ def gpu_pricing_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.with_price(rows).select("s_suppkey", "gpu_type", "price_provider", "price")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderpriority, o_orderkey) - 1 AS index FROM orders QUALIFY index >= 100")
+def index_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders from the hundredth on by date, each with its place."""
+    return sampling.index_window(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderpriority", "o_orderkey"], 100, None).select("o_orderkey", "index")
+
+
 @query(
-    """WITH g(gpu, total_bytes, free_bytes, budget, bandwidth) AS (VALUES ('large', 85899345920, 84000000000, 0.9, 3350.0), ('small', 25769803776, 25000000000, 0.9, 300.0), ('odd', 51539607552, 51000000000, 0.8, NULL)),
-w AS (SELECT *, floor(least(floor(free_bytes * 0.95), floor(total_bytes * budget))) AS cap FROM g),
+    """WITH c AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 13 > 0 THEN CAST(o_custkey AS VARCHAR) END AS item, CAST(o_orderkey AS VARCHAR) AS page, CASE WHEN o_orderstatus <> 'P' THEN 'bar' || o_custkey END AS barcode,
+  o_orderkey % 7 AS k, o_orderkey % 10000 AS s FROM orders)
+SELECT page AS page_id, barcode || '/' || barcode || '_' || lpad(CAST(s AS VARCHAR), 4, '0') || '.jp2' AS file_id, barcode, s AS sequence, 's3://archive/images/' || barcode || '/' || barcode || '_' || lpad(CAST(s AS VARCHAR), 4, '0') || '.jp2' AS source_uri
+FROM c WHERE item <> '' AND barcode IS NOT NULL AND k NOT IN (1, 2, 3)"""
+)
+def catalog_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as catalog rows, some without an identifier or with a sequence that is no number."""
+    key = F.col("o_orderkey")
+    sequence = F.when(key % 7 == 1, F.lit("NULL")).when(key % 7 == 2, F.concat(key.cast("string"), F.lit("a"))).when(key % 7 != 3, F.concat(F.lit(" "), (key % 10000).cast("string"), F.lit(" ")))
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(key % 11 == 0, F.lit("")).when(key % 13 > 0, F.col("o_custkey").cast("string")).alias("ItemID"), key.cast("string").alias("PageID"),
+        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("bar"), "o_custkey")).alias("BarCode"), sequence.alias("SequenceOrder"),
+    )
+    return catalog.page_rows(rows).select("page_id", "file_id", "barcode", "sequence", "source_uri")
+
+
+@query(
+    """WITH g AS (SELECT 'gpu ' || s_suppkey AS gpu, (16 + 8 * (s_nationkey % 9)) * 1073741824::BIGINT AS total_bytes, (16 + 8 * (s_nationkey % 9)) * 1073741824::BIGINT - CAST(abs(s_acctbal) * 100000 AS BIGINT) AS free_bytes,
+  CASE WHEN s_suppkey % 4 = 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS budget, CASE WHEN s_suppkey % 3 > 0 THEN 300.0 + 50 * (s_suppkey % 61) END AS bandwidth FROM supplier),
+w AS (SELECT *, floor(least(floor(free_bytes * 0.95::DOUBLE), floor(total_bytes * budget))) AS cap FROM g),
 p(name, backend, weights, max_model_len, planned) AS (VALUES ('whole', 'litellm', 3400000000, 32768, 1000), ('regions', 'layout_chat', 1800000000, 16384, 400)),
 r AS (SELECT gpu, name, backend, bandwidth, weights, max_model_len, planned, weights + greatest(2147483648, weights // 2) AS overhead,
   CAST(cap - sum(weights + greatest(2147483648, weights // 2)) OVER (PARTITION BY gpu) AS BIGINT) AS available, max_model_len * 30000 AS request, sum(max_model_len * 30000) OVER (PARTITION BY gpu) AS all_requests FROM w, p),
@@ -240,13 +264,14 @@ c AS (SELECT *, greatest(1, least(floor(floor(CAST(available AS DOUBLE) * reques
 SELECT gpu, name AS profile, CAST(n AS BIGINT) AS concurrent_requests, CAST(n AS BIGINT) * request AS kv_cache_memory_bytes, CAST(overhead AS BIGINT) AS overhead_bytes, CAST(max_model_len AS INTEGER) AS max_model_len FROM c"""
 )
 def autoscale_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two profiles on three GPUs, one of unknown bandwidth; the figures are inline, as the driver's tables hold none."""
+    """Two profiles on a fleet in which each supplier stands for a GPU, of a third of which the bandwidth is unknown."""
     profiles = spark.createDataFrame(
         [("whole", "litellm", "1.7B", None, 32768, 20000, None), ("regions", "layout_chat", "0.9B", "bf16", 16384, 4096, 400)],
         "name string, backend string, model_size string, dtype string, max_model_len int, max_tokens int, expected_tokens int",
     )
-    gpus = spark.createDataFrame(
-        [("large", 85899345920, 84000000000, 0.9, 3350.0), ("small", 25769803776, 25000000000, 0.9, 300.0), ("odd", 51539607552, 51000000000, 0.8, None)],
-        "gpu string, total_bytes long, free_bytes long, budget double, bandwidth double",
-    )
+    key, total = F.col("s_suppkey"), (F.lit(16).cast("bigint") + F.col("s_nationkey") % 9 * 8) * 1073741824
+    gpus = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("gpu "), key).alias("gpu"), total.alias("total_bytes"), (total - F.round(F.abs("s_acctbal") * 100000).cast("bigint")).alias("free_bytes"),
+        F.when(key % 4 == 0, 0.8).otherwise(0.9).alias("budget"), F.when(key % 3 > 0, (300 + key % 61 * 50).cast("double")).alias("bandwidth"),
+    )
     return costs.autoscale(profiles, gpus)

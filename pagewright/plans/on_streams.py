@@ -58,3 +58,16 @@ def stream_not_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("page_id"))
     rows = _events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("page_id"))
     return _read(spark, incremental.not_done(rows, done, "page"))
+
+
+@query(
+    """WITH l AS (SELECT 'run ' || user_id AS run, CASE event_type WHEN 'signup' THEN 'launching' WHEN 'error' THEN NULL ELSE event_type END AS phase, ts FROM events),
+last AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts DESC, phase DESC NULLS LAST) = 1)
+SELECT run, ts AS since, CAST(epoch(date_trunc('second', (SELECT max(ts) FROM l))) - epoch(date_trunc('second', ts)) AS BIGINT) AS age FROM last WHERE phase = 'launching' AND age > 900"""
+)
+def stale_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs, their events as phases; as of the last event of all."""
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("run "), "user_id").alias("run"), F.when(kind == "signup", "launching").when(kind != "error", kind).alias("phase"), F.col("ts").cast("timestamp").alias("ts"))
+    last = rows.agg(F.max("ts")).first()[0]
+    return incremental.stale(rows, F.lit(last)).select("run", F.col("since").cast("timestamp_ntz").alias("since"), "age")

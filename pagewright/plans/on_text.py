@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import markup, text
 from pagewright.operators import comparison, stats
 from pagewright.plans.named import query, table
+from pagewright.sources import catalog
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +117,8 @@ def text_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def classify_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size") % 4
-    said = F.when(size == 0, '<think>{"label": "closed"}</think> Sure: {"label": "open", "why": "age"}').when(size == 1, '{"label": "closed"}').when(size == 2, '{"label": "maybe"}').otherwise("no idea")
+    long = F.concat(F.lit('<think>{"label": "closed"}</think> Sure: {"why": [{"of": {"age": {"said": "}{"}}}, "'), F.repeat("p_name", 2000), F.lit('"], "label": "open"} or {"label": "closed"}'))
+    said = F.when(size == 0, long).when(size == 1, '{"label": "closed"}').when(size == 2, '{"label": "maybe"}').otherwise("no idea")
     return table(spark, sf_dir, "part").select("p_partkey", markup.label_of(said, ["open", "closed"]).alias("label"), markup.classifiable(F.col("p_name"), 14, 12).alias("input"))
 
 
@@ -124,3 +126,15 @@ def classify_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = markup.label_descriptions(F.concat(F.lit(" open : "), "p_type", F.lit(" ;nothing;closed:b:"), "p_brand"))
     return table(spark, sf_dir, "part").withColumn("m", m).select("p_partkey", F.try_element_at("m", F.lit("open")).alias("open"), F.try_element_at("m", F.lit("closed")).alias("closed"), F.size("m").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, 'You are a helpful classification assistant that thinks step by step.' AS system, 'Classify this text into one of these categories:' || chr(10) || chr(10) || 'Categories:' || chr(10) || '- open: free to use' || chr(10) || '- closed'
+  || chr(10) || chr(10) || 'Text: ' || p_name || chr(10) || chr(10) || 'Think through your classification step by step, then provide your final answer in this JSON format:' || chr(10) || '{"label": "your_chosen_label"}' AS reasoned,
+  'Classify this text as one of: open, closed' || chr(10) || chr(10) || 'Text: ' || p_name || chr(10) || chr(10) || 'Label:' AS short FROM part"""
+)
+def classifier_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a classifier of part names is asked, with reasoning and without."""
+    ask = lambda reasoning: catalog.classifier_messages(F.col("p_name"), ["open", "closed"], {"open": "free to use"}, reasoning)
+    rows = table(spark, sf_dir, "part").select("p_partkey", ask(True).alias("a"), ask(False).alias("b"))
+    return rows.select("p_partkey", F.col("a")[0]["content"].alias("system"), F.col("a")[1]["content"].alias("reasoned"), F.col("b")[1]["content"].alias("short"))

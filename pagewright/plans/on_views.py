@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.durable import durable
 from pagewright.functions import scalars, text
 from pagewright.operators import documents, sampling, stats
 from pagewright.plans import pipeline
@@ -82,7 +83,7 @@ _ORDERS = {"file_id": "file_id", "chars": "char_count DESC, file_id", "errors":
 @query(_VIEW + " UNION ALL ".join(f"(SELECT '{by}' AS sorting, file_id FROM i ORDER BY {keys} LIMIT 20)" for by, keys in _ORDERS.items()))
 def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty pages in each order that a list of pages has."""
-    index = _view(spark, sf_dir).withColumn("ord", F.col("file_id").cast("bigint"))
+    index = durable(_view(spark, sf_dir).withColumn("ord", F.col("file_id").cast("bigint")))  # worked out once for all orders
     parts = [stats.ordered_pages(index, by).limit(20).select(F.lit(by).alias("sorting"), "file_id") for by in _ORDERS]
     out = parts[0]
     for part in parts[1:]:

@@ -41,6 +41,11 @@ REQUIRED = {"pages": ["page_id", "file_id"], "layout": ["page_id", "file_id"], "
 RESUME_KEYS = {"page": ["page_id"], "page_model": ["page_id", "model"], "off": []}
 
 
+def ddl(name: str) -> str:
+    """An artifact's columns as text, for where there is no session."""
+    return _DDL[name]
+
+
 def schema(name: str) -> StructType:
     """The StructType of an artifact."""
     return StructType.fromDDL(_DDL[name])

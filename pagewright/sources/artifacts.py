@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,18 +46,54 @@ def read(spark: SparkSession, folder: str, stage: str) -> DataFrame:
     return spark.read.schema(kind).parquet(*found) if found else spark.createDataFrame([], kind)
 
 
-def read_projected(spark: SparkSession, paths: list[str], *columns: str) -> DataFrame:
-    """Some columns of all files; files that can't be read or lack one of the columns are passed over."""
-    reader = spark.read.option("ignoreCorruptFiles", True)
-    usable = []
-    for path in paths:
+def footers(spark: SparkSession, paths: list[str], *columns: str, files_a_task: int = 50) -> DataFrame:
+    """(path, rows, reason) of each file, its footer read in tasks: reason says why the file can't be read or which of the columns it lacks, and is null for a usable one."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // files_a_task)), "path")
+
+    def one(path: str) -> tuple[int | None, str | None]:
         try:
-            if set(columns) <= set(reader.parquet(path).columns):
-                usable.append(path)
-        except Exception:  # noqa: BLE001  a damaged file is what this is about
-            continue
+            store, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+            with store.open_input_file(place) as held:
+                footer = pq.ParquetFile(held)
+                lacks = [c for c in columns if c not in footer.schema_arrow.names]
+                return footer.metadata.num_rows, f"lacks {', '.join(lacks)}" if lacks else None
+        except Exception as e:  # noqa: BLE001  a damaged file is what this is about
+            return None, f"{type(e).__name__}: {e}"
+
+    def work(batches):
+        for batch in batches:
+            rows = [one(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["path", "rows", "reason"])
+
+    return listed.mapInArrow(work, "path string, rows bigint, reason string")
+
+
+def read_projected(spark: SparkSession, paths: list[str], *columns: str) -> DataFrame:
+    """Some columns of all files; files that can't be read or lack one of the columns are passed over, footers says which and why."""
+    usable = sorted(r.path for r in footers(spark, paths, *columns).filter("reason is null").select("path").collect()) if paths else []
     kind = ", ".join(f"{c} string" for c in columns)
-    return reader.parquet(*usable).select(*columns) if usable else spark.createDataFrame([], kind)
+    return spark.read.option("ignoreCorruptFiles", True).parquet(*usable).select(*columns) if usable else spark.createDataFrame([], kind)
+
+
+def is_stage(spark: SparkSession, source: str | None) -> bool:
+    """Whether a source is a stage artifact that lies here: a parquet file or a folder with shards. What another store holds, by its scheme, never is."""
+    return bool(source) and "://" not in source and (source.endswith(".parquet") or not any(c in source for c in "*?[")) and bool(resolve(spark, source))
+
+
+def route(spark: SparkSession, source: str | None, name: str = "images", **options) -> tuple[str, dict]:
+    """(adapter, options) for a source: stage artifacts go to 'pages', other paths to 'images'; an adapter that is named otherwise gets no path. Options that are null are left out."""
+    held = {k: v for k, v in options.items() if v is not None}
+    if name != "images":
+        return name, held
+    return "pages" if is_stage(spark, source) else name, held | {"path": source}
+
+
+def results_at(spark: SparkSession, output: str) -> DataFrame:
+    """The result rows of a run, wherever its output lies: <output>/data/train-*.parquet on any store that Spark reads."""
+    found = shards(spark, output.rstrip("/"), "train")
+    if not found:
+        raise FileNotFoundError(f"no results in {output}")
+    return spark.read.schema(schemas.schema("train")).parquet(*found)
 
 
 def identities(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagewright.functions import scalars
+
 RIGHTS = ("CopyrightStatus", "RightsStatement", "LicenseType", "RightsHolder")
 
 
@@ -65,8 +67,9 @@ def json_object(column: str | Column) -> Column:
 
 
 def volumes(rows: DataFrame, order: tuple[str, ...], barcode: str = "barcode") -> DataFrame:
-    """A row for each barcode, the last by ``order``; its creators as a list and its rights as a map. Rows without a barcode are left out."""
-    last = rows.filter(filled(barcode).isNotNull()).groupBy(barcode).agg(F.max_by(F.struct(*[c for c in rows.columns if c != barcode]), F.struct(*order)).alias("__last"))
+    """A row for each barcode, the last by ``order`` and then by its other columns; its creators as a list and its rights as a map. Rows without a barcode are left out."""
+    rest = [c for c in rows.columns if c != barcode and c not in order and not rows.schema[c].dataType.simpleString().startswith("map")]
+    last = rows.filter(filled(barcode).isNotNull()).groupBy(barcode).agg(F.max_by(F.struct(*[c for c in rows.columns if c != barcode]), F.struct(*order, *rest)).alias("__last"))
     out = last.select(barcode, "__last.*")
     return out.withColumns({c: f(c) for c, f in (("creators", json_list), ("rights", json_object)) if c in out.columns})
 
@@ -107,6 +110,35 @@ def number_in(column: str) -> Column:
     return F.trim(column).try_cast("bigint")
 
 
+def page_rows(rows: DataFrame, prefix: str = "s3://archive/images") -> DataFrame:
+    """Catalog rows as pages: page_id, file_id, barcode, sequence, source_uri and what else the catalog says. Rows without an item, page or barcode ('' counts as none) or with a sequence that isn't a whole number are left out."""
+    sequence = number_in("SequenceOrder")
+    own = rows.filter(filled("ItemID").isNotNull() & filled("PageID").isNotNull() & filled("BarCode").isNotNull() & sequence.isNotNull())
+    uri, name = scalars.archive_image(F.col("BarCode"), sequence, prefix)
+    more = [c for c in ("PageTypeName", "PagePrefix", "PageNumber") if c in rows.columns]
+    return own.select(F.col("PageID").alias("page_id"), name.alias("file_id"), F.col("BarCode").alias("barcode"), sequence.alias("sequence"), uri.alias("source_uri"), "ItemID", *more)
+
+
+# What a classifier is told, with and without reasoning.
+REASONING = (
+    "You are a helpful classification assistant that thinks step by step.",
+    "Classify this text into one of these categories:\n\n%s\n\nText: %s\n\nThink through your classification step by step, then provide your final answer in this JSON format:\n{\"label\": \"your_chosen_label\"}",
+)
+PLAIN = ("You are a helpful classification assistant. /no_think", "Classify this text as one of: %s\n\nText: %s\n\nLabel:")
+
+
+def classifier_messages(text: Column, labels: list[str], descriptions: dict[str, str] | None = None, reasoning: bool = True) -> Column:
+    """The chat that asks for a text's label: array of (role, content). With reasoning, labels are listed with their descriptions, one a line, if any label has one."""
+    if reasoning and descriptions:
+        listed = "Categories:\n" + "\n".join(f"- {x}: {descriptions[x]}" if descriptions.get(x) else f"- {x}" for x in labels)
+    else:
+        listed = f"Categories: {', '.join(labels)}" if reasoning else ", ".join(labels)
+    system, user = REASONING if reasoning else PLAIN
+    before, after = (user % (listed, "\0")).split("\0")
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(before), text, F.lit(after))))
+
+
 def rule_for_rights(text: Column) -> Column:
     """A rule in place of a language model: what a rights statement allows, by its words; null where it says nothing of it."""
     low = F.lower(text)

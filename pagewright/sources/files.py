@@ -52,7 +52,12 @@ def id_column(df: DataFrame, but: str | None = None) -> str | None:
 
 
 def row_pages(df: DataFrame, parent: str, index: str, path: str | None = None) -> DataFrame:
-    """Page identities of table rows, in an explicit order given by the column ``index``."""
+    """Page identities of table rows, in an explicit order given by the column ``index``. Rows of an image column that has neither bytes nor a path are passed over."""
+    image = image_column(df)
+    if image is not None:
+        held = F.col(image) if isinstance(df.schema[image].dataType, BinaryType) else F.col(image)["bytes"]
+        inner = F.col(image)["path"] if "path" in getattr(df.schema[image].dataType, "names", ()) else F.lit(None)
+        df = df.filter(held.isNotNull() | inner.isNotNull() | (F.col(path).isNotNull() if path else F.lit(False)))
     where = F.col(path) if path else F.lit(None).cast("string")
     given = id_column(df, but=path)
     page = scalars.page_id(F.col(given).cast("string") if given else F.lit(None).cast("string"), where, F.col(index))
