@@ -161,7 +161,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     distinct words, and a text is kept as those numbers. All blocks' words meet by hash, so every distinct word is
     encoded once; the ids go back to the blocks, where texts are put together again by position. A word that makes up
     a third of all positions is one entry a block. Null counts as empty and gives no ids; a null document id stays null;
-    other columns aren't read. Special strings are ordinary text. A block's numbers follow the order of its rows, so docs has to
+    other columns aren't read. An empty table gives an empty result. Of adjacent pairs of equal rank (ties) the leftmost is merged first. A text of any length is
+    matched whole, and makes up a block of its own if it is long. Special strings are ordinary text. A block's numbers follow the order of its rows, so docs has to
     give its rows in the same order when a lost task reads them again, as files and checkpoints do.
     """
 

@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes. component_id is the least id that links reach. Null counts as empty; texts without words have the
     fingerprint 0 and are linked like any other; a text of fewer words than a shingle is one shingle. A null id stays
     and is passed over in component_id, which is null only if no row of the component has an id. Other columns aren't
-    read. Texts are read whole; memory follows the longest text and a batch of fingerprints.
+    read. Texts are read whole; memory follows the longest text and a batch of fingerprints. Ties, fingerprints that are equal or equally far apart, are all
+    linked, so no order decides. An empty table gives an empty result.
     """
     prints = durable(fingerprints(docs, id_col, text_col, words))
     classes = durable(prints.groupBy("fp").agg(F.min("id").alias("first")))

@@ -21,7 +21,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One pass without a shuffle: the distinct parts of a batch are matched once, the counts of their pre-tokens are remembered (a
     bounded number of them), and what isn't remembered is merged with a heap over a linked list. Null counts as empty: 0 bytes and 0
     tokens. A null id stays null. Other columns are not read, whatever their names. Texts of any length are counted
-    whole; a run of n characters without a boundary takes n log n steps.
+    whole; a run of n characters without a boundary takes n log n steps. Of adjacent pairs of equal rank (ties) the leftmost is merged first, as the
+    library does. An empty table gives an empty result.
     """
 
     def work(batches):

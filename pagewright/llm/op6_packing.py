@@ -124,7 +124,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     over range partitions. Small rows (place, tokens) are range-sorted and summed up to each document's place in the
     stream of all ids; documents follow one another without padding and are cut where a sequence is full, so only the
     last sequence is short. Null counts as empty and packs as the end id alone; a null id stays null; repeated rows are
-    packed each. Other columns aren't read. An empty table gives an empty result.
+    packed each. Documents that tie on the curve follow one another in no particular order. A text of any length is encoded whole by one task and
+    cut into as many pieces as it fills sequences. Other columns aren't read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     held = durable(texts.mapInArrow(_tokenise(vocabulary, end_id), "id long, row long, key long, n long, ids binary"))

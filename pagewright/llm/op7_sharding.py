@@ -164,7 +164,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     equal coordinates and stay together if together they fit into a shard; a text that fills more, a third of the table say, is shared out by id
     where a cut would else miss by over TOLERANCE of a shard. Slots count from 0 in each shard without a gap, in no particular order of
     texts. Null texts count as empty, null metadata as '', a null id is hashed as null; repeated rows each get a slot.
-    An empty table gives an empty result. grown_shard is null under this law.
+    Rows that tie on a key, rows of one text and id, stay together. Of a long text only size and hashes are kept; other columns than id, text and dims
+    aren't read. An empty table gives an empty result. grown_shard is null under this law.
     """
     points, n_dims = _points(docs, id_col, text_col, dims)
     rows, total = points.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()

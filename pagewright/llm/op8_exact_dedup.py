@@ -67,7 +67,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty, and all empty texts are one
     group. The largest id of a group stays; repeated rows of that id all stay, as an id stands for a document. Rows
-    without an id stay, with the largest id of their group, if any, as keep_id. Other columns aren't read.
+    without an id stay, with the largest id of their group, if any, as keep_id. Texts that tie on length and prefix are told apart by their full
+    hash. Long texts are hashed where they are read; no text is moved. Other columns aren't read. An empty table gives an empty result.
     """
     rows, _, groups = duplicate_groups(docs, id_col, text_col, prefix_chars, bound)
     found = rows.drop("text").join(narrow(groups, BROADCAST_GROUPS), ["size", "prefix", "digest"], "left")
