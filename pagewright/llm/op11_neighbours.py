@@ -15,12 +15,16 @@ NEAREST, KEPT, BACK = 20, 64, 48
 #: Orders of the first lists, pivots of each, pivots that make a sort key, vectors compared with one another along an order.
 TABLES, PIVOTS, KEY_LENGTH, ALONG = 8, 64, 6, 512
 #: Rounds of joins at most; they end before where less than this share of the lists changed. Nodes of one block.
-ROUNDS, SETTLED, BLOCK_NODES = 4, 0.02, 1024
+ROUNDS, SETTLED, BLOCK_NODES = 4, 0.02, 4096
 #: Best nodes that a query expands in a step, steps, and found ones that are ranked in double precision.
 BEAM, STEPS, RANKED = 24, 2, 40
 SEED = 11
 
+#: Ids of one part, whose lists are merged together.
+PART_IDS = 512
+
 _LISTS = "id long, block long, near array<long>, sims array<float>, fresh array<boolean>"
+_PARTED = "part long, ids array<long>, block long, counts array<int>, near array<long>, sims array<float>, fresh array<boolean>"
 
 
 def _rows_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -46,6 +50,16 @@ def _best(of, near, sims, fresh, k: int):
     return of[kept], near[kept], sims[kept], fresh[kept]
 
 
+def _chain(sims: np.ndarray) -> list[int]:
+    """All of some items, each followed by the most similar one that is left, so that neighbours in number are alike."""
+    out, left = [0], np.ones(len(sims), bool)
+    left[0] = False
+    while left.any():
+        out.append(int(np.where(left, sims[out[-1]], -np.inf).argmax()))
+        left[out[-1]] = False
+    return out
+
+
 def _keys(pivots: np.ndarray, length: int):
     """(id, vec) to (t, key, id, vec): for each order of vectors the numbers of the pivots nearest in angle, nearest first."""
 
@@ -94,31 +108,36 @@ def _along(dim: int, k: int, width: int, block_nodes: int):
     return work
 
 
-def _merged(k: int):
-    """Sorted lists to one list an id: the k nearest of them all. Lists of one id stream, so it may have any number."""
+def _merged(k: int, most: int = 4_000_000):
+    """Sorted rows of lists by part of the ids (part, ids, block, counts, near, sims, fresh) to one list an id: the k nearest of all of its lists. Rows of a part stream and are thinned out on the way, so there may be any number."""
 
     def work(batches):
-        held = None
+        part, lists, known, size = None, [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = batch.column(2)
-            counts = pa.compute.list_value_length(near).to_numpy(zero_copy_only=False)
-            ids, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat = [np.repeat(ids, counts), near.flatten().to_numpy(), batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy(zero_copy_only=False)]
-            own = ids, blocks, flat
-            if held is not None:
-                own = np.concatenate([held[0], ids]), np.concatenate([held[1], blocks]), [np.concatenate(x) for x in zip(held[2], flat, strict=True)]
-            ids, blocks, flat = own
-            last = ids == ids[-1]
-            over = flat[0] == ids[-1]
-            if not last.all():
-                yield out(ids[~last], blocks[~last], _best(*(x[~over] for x in flat), k))
-            held = ids[-1:], blocks[last].max(keepdims=True), list(_best(*(x[over] for x in flat), k))
-        if held is not None:
-            yield out(*held)
-
-    def out(ids, blocks, best):
+            parts = batch.column(0).to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, parts[1:] != parts[:-1])[: len(parts)]), len(parts))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if part is not None and parts[lo] != part:
+                    yield out(known, lists)
+                    lists, known, size = [], [], 0
+                part = parts[lo]
+                _, ids, block, counts, near, sims, fresh = batch.slice(lo, hi - lo).columns
+                own = ids.flatten().to_numpy()
+                known.append((own, np.repeat(block.to_numpy(), pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))))
+                flat = near.flatten().to_numpy(), sims.flatten().to_numpy(), fresh.flatten().to_numpy(zero_copy_only=False)
+                lists.append((np.repeat(own, counts.flatten().to_numpy()), *flat))
+                size += len(flat[0])
+                if size > most:
+                    lists = [_best(*(np.concatenate(x) for x in zip(*lists, strict=True)), k)]
+                    size = len(lists[0][0])
+        if part is not None:
+            yield out(known, lists)
+
+    def out(known, lists):
+        ids, blocks = (np.concatenate(x) for x in zip(*known, strict=True))
+        best = _best(*(np.concatenate(x) for x in zip(*lists, strict=True)), k)
+        order = np.argsort(ids, kind="stable")
+        ids, blocks = ids[order], blocks[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         own = ids[first]
         counts = np.searchsorted(best[0], own, "right") - np.searchsorted(best[0], own)
@@ -127,8 +146,19 @@ def _merged(k: int):
     return work
 
 
+def _part(parts: int) -> Column:
+    """The part of the ids that an id belongs to: lists of a part come to one task."""
+    return F.pmod(F.xxhash64("id"), F.lit(parts))
+
+
 def _as_lists(rows: DataFrame, k: int) -> DataFrame:
-    return durable(rows.repartition("id").sortWithinPartitions("id").mapInArrow(_merged(k), _LISTS))
+    """One list an id from rows of lists by part, durable."""
+    rows = rows.select("part", "ids", "block", "counts", "near", "sims", "fresh")
+    return durable(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_merged(k), _LISTS))
+
+
+def _by_part(lists: DataFrame, parts: int) -> DataFrame:
+    return lists.select(_part(parts).alias("part"), F.array("id").alias("ids"), "block", F.array(F.size("near")).alias("counts"), "near", "sims", "fresh")
 
 
 def _padded(lists: pa.ChunkedArray, known: np.ndarray) -> np.ndarray:
@@ -140,22 +170,22 @@ def _padded(lists: pa.ChunkedArray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(held: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted ids, their vectors and a zero one at the end, their bounds and an infinite one at the end."""
+def _vectors(held: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted ids, their vectors and a zero one at the end, their bounds and an infinite one at the end, and the order that sorts held."""
     held = held.combine_chunks()
     ids = held.column("id").to_numpy()
     order = np.argsort(ids)
     m = held.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
     bound = held.column("bound").to_numpy()[order]
-    return ids[order], np.vstack([m, np.zeros((1, dim), "f4")]), np.append(bound, np.float32(np.inf))
+    return ids[order], np.vstack([m, np.zeros((1, dim), "f4")]), np.append(bound, np.float32(np.inf)), order
 
 
 def _joined(dim: int, k: int, step: int = 32, most: int = 2_000_000):
-    """Cogrouped blocks to lists: at each centre every fresh neighbour meets every other, and what brings either nearer than its farthest so far is kept."""
+    """Cogrouped blocks to rows of lists, one a part of the ids: at each centre every fresh neighbour meets every other, and what brings either nearer than its farthest so far is kept."""
 
     def work(centres: pa.Table, held: pa.Table) -> pa.Table:
-        ids, m, bound = _vectors(held, dim)
-        none = len(ids)
+        ids, m, bound, order = _vectors(held, dim)
+        part_of, none = held.column("part").to_numpy()[order], len(ids)
         new, every = _padded(centres.column("new"), ids), _padded(centres.column("every"), ids)
         found, size = [], 0
 
@@ -178,16 +208,23 @@ def _joined(dim: int, k: int, step: int = 32, most: int = 2_000_000):
                 found = [tuple(compact(found))]
                 size = len(found[0][0])
         of, near, sims = compact(found) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "f4"))
-        own, counts = np.unique(of, return_counts=True)
-        return pa.Table.from_batches([_lists(ids[own], np.full(len(own), -1, "i8"), counts, ids[near], sims, np.ones(len(of), bool))])
+        by = np.argsort(part_of[of], kind="stable")
+        of, near, sims = of[by], near[by], sims[by]
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])  # of the lists
+        own, counts = of[starts], np.diff(np.append(starts, len(of)))
+        rows = np.flatnonzero(np.append(True, part_of[own][1:] != part_of[own][:-1])[: len(own)])  # of the parts
+        per, ends = np.append(rows, len(own)).astype("i4"), np.append(starts[rows], len(of)).astype("i4")
+        lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in ((per, ids[own]), (per, counts.astype("i4")), (ends, ids[near]), (ends, sims), (ends, np.ones(len(of), bool)))]
+        columns = [pa.array(part_of[own][rows]), lists[0], pa.array(np.full(len(rows), -1, "i8")), *lists[1:]]
+        return pa.Table.from_arrays(columns, ["part", "ids", "block", "counts", "near", "sims", "fresh"])
 
     return work
 
 
 def _needed(centres: DataFrame, lists: list[str], vectors: DataFrame) -> DataFrame:
-    """(home, id, vec, bound) for all that the centres of a block name: a vector comes once to a block, not once to a centre."""
+    """(home and the columns of vectors) for all that the centres of a block name: a vector comes once to a block, not once to a centre."""
     named = centres.select(F.col("block").alias("home"), F.explode(F.concat(*lists)).alias("id")).distinct()
-    return named.join(vectors, "id").select("home", "id", "vec", "bound")
+    return named.join(vectors, "id")
 
 
 def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BACK, rounds: int = ROUNDS, settled: float = SETTLED, tables: int = TABLES, along: int = ALONG, block_nodes: int = BLOCK_NODES, seed: int = SEED) -> DataFrame:
@@ -203,11 +240,13 @@ def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BAC
     pivots = (pivots / np.where(norms > 0, norms, 1)).astype("f4")
     each = max(1, min(PIVOTS, len(pivots)))
     pivots = pivots[np.arange(tables * each) % max(1, len(pivots))].reshape(tables, each, dim)
+    pivots = np.stack([own[_chain(own @ own.T)] for own in pivots])
     keyed = vectors.select("id", "vec").mapInArrow(_keys(pivots, min(KEY_LENGTH, each)), "t int, key binary, id long, vec array<float>")
     order = ["t", "key", F.xxhash64("id"), "id"]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    graph = _as_lists(ordered.mapInArrow(_along(dim, k, along, block_nodes), _LISTS), k)
-    n = graph.count()
+    n = vectors.count()
+    parts = max(1, -(-n // PART_IDS))
+    graph = _as_lists(_by_part(ordered.mapInArrow(_along(dim, k, along, block_nodes), _LISTS), parts), k)
     for _ in range(rounds):
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         if changed <= settled * n * k:
@@ -222,10 +261,10 @@ def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BAC
             "block", F.array_union(fresh_near, F.coalesce("fresh_back", none)).alias("new"), F.array_union("near", F.coalesce("back", none)).alias("every")
         )
         centres = durable(centres.filter(F.size("new") > 0))
-        bounds = vectors.join(graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("bound")), "id")
-        met = centres.groupBy("block").cogroup(_needed(centres, ["every"], bounds).groupBy("home")).applyInArrow(_joined(dim, k), _LISTS)
+        bounds = vectors.join(graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("bound")), "id").withColumn("part", _part(parts))
+        met = centres.groupBy("block").cogroup(_needed(centres, ["every"], bounds).groupBy("home")).applyInArrow(_joined(dim, k), _PARTED)
         settled_lists = graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
-        graph = _as_lists(settled_lists.unionByName(met), k)
+        graph = _as_lists(_by_part(settled_lists, parts).unionByName(met), k)
     return graph
 
 
@@ -234,7 +273,7 @@ def _seen(dim: int, most: int):
 
     def work(queries: pa.Table, held: pa.Table) -> pa.Table:
         queries = queries.combine_chunks()
-        ids, m, _ = _vectors(held, dim)
+        ids, m, _, _ = _vectors(held, dim)
         own = queries.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         new = queries.column("new").combine_chunks()
         counts = pa.compute.list_value_length(new).to_numpy(zero_copy_only=False)
@@ -324,3 +363,16 @@ def _found(classes: DataFrame, dim: int, k: int, **graph_options) -> DataFrame:
 
 def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+#: Every pair, summed up in the order of components; the same where few enough vectors are compared outright, as on the driver's tables.
+ORACLE = f"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), lambda s, x: s + x) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= {NEAREST}
+"""
