@@ -16,6 +16,8 @@ SHARDS = 40
 ROW_BYTES = 16
 #: A cut may miss its median by this share of a shard; where it would miss by more, equal texts that it falls among are set aside.
 TOLERANCE = 0.02
+#: Groups that a cut sets aside at most before it misses by what the next one weighs.
+SET_ASIDE = 12
 #: Rows that get their slots in one task, on average.
 SLOT_ROWS = 50_000
 #: A key is the coordinate, then bits of the text's hash, then bits of the id's hash.
@@ -87,22 +89,23 @@ def _points(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...])
     return durable(rows.select("id", "size", "crc", key(x0).alias("k0"), *[key(F.col(f"x{i}")).alias(f"k{i}") for i in range(1, len(own) + 1)])), 1 + len(own)
 
 
-def _crossing(placed: DataFrame, targets: dict[int, float]) -> dict[int, tuple[int, int, int]]:
-    """For each node the first bin where the running bytes reach the target: (bin, bytes before it, bytes with it). placed: node, bin, size."""
-    by_bin = placed.groupBy("node", "bin").agg(F.sum("size").alias("w"))
+def _crossing(placed: DataFrame, targets: dict[int, float]) -> dict[int, tuple[int, int, int, int]]:
+    """For each node the first bin where the running bytes reach the target: (bin, bytes before it, bytes with it, its rows). placed: node, bin, size."""
+    by_bin = placed.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
     run = by_bin.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     target = F.lit(0.0)
     for node, value in targets.items():
         target = F.when(F.col("node") == node, F.lit(float(value))).otherwise(target)
     hit = run.filter((F.col("upto") >= target) & (F.col("upto") - F.col("w") < target))
-    return {r.node: (r.bin, r.upto - r.w, r.upto) for r in hit.select("node", "bin", "w", "upto").collect()}
+    return {r.node: (r.bin, r.upto - r.w, r.upto, r.n) for r in hit.select("node", "bin", "w", "upto", "n").collect()}
 
 
 def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, shard: float) -> None:
     """Cut every open node along its widest dimension at its weighted median.
 
     Where the median falls into the rows of one text that weigh more than the slack but fit into a shard, the text is set aside
-    to the right, or to the left if the right is full of such, and the median of the rest is looked for again.
+    to the right, or to the left if the right is full of such, and the median of the rest is looked for again. A text that occurs once just goes to
+    the nearer side.
     """
     slack = TOLERANCE * shard
     at = points.withColumn("node", root.place())
@@ -116,9 +119,9 @@ def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, shar
     at = at.withColumn("key", key)
     cut, before_, behind = {}, {n: [] for n in want}, {n: [] for n in want}
     room = {x.first: stats[x.first].w - want[x.first] for x in open_ if x.first in want}  # for what is set aside to the right
-    waiting = set(want)
+    waiting, tries = set(want), 0
     while waiting:
-        again = set()
+        again, tries = set(), tries + 1
         rest = at
         for n in waiting:
             if aside := before_[n] + behind[n]:
@@ -130,7 +133,7 @@ def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, shar
             inside = rest.filter(F.col("node").isin(list(prefix))).filter(F.shiftright("key", shift) == _pick(prefix))
             shift -= bits
             found = _crossing(inside.select("node", F.shiftright("key", shift).alias("bin"), "size"), {n: want[n] - below[n] for n in prefix})
-            for n, (bin_, before, upto) in found.items():
+            for n, (bin_, before, upto, n_rows) in found.items():
                 prefix[n], start = bin_, below[n]
                 below[n] = start + before
                 if shift > ID_BITS:
@@ -138,7 +141,7 @@ def _level(points: DataFrame, root: _Node, open_: list[_Node], n_dims: int, shar
                 over, under = start + upto - want[n], want[n] - below[n]
                 if shift == 0:  # the last rows of a text that no shard can hold
                     cut[n] = bin_ if over <= under else bin_ - 1
-                elif min(over, under) <= slack:
+                elif min(over, under) <= slack or upto - before <= shard and (n_rows == 1 or tries > SET_ASIDE):
                     cut[n] = ((bin_ + (over <= under)) << shift) - 1
                 elif upto - before <= shard:
                     again.add(n)
