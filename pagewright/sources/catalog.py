@@ -150,6 +150,12 @@ def classified(combinations: DataFrame, rule=rule_for_rights, column: str = "rig
     return combinations.withColumn("classification", rule(F.col(column))).withColumn("parsing_success", F.col("classification").isNotNull())
 
 
+def write_classified(combinations: DataFrame, path: str, rule=rule_for_rights, column: str = "rights_json") -> DataFrame:
+    """The classified combinations, with all of their columns, as a compressed parquet table at path in place of an earlier one; gives the table as written."""
+    classified(combinations, rule, column).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return combinations.sparkSession.read.parquet(path)
+
+
 def parsed_share(verdicts: DataFrame) -> DataFrame:
     """How many combinations there are, and how many of them have a verdict."""
     return verdicts.agg(F.count("*").alias("n"), F.count_if("parsing_success").alias("parsed"))

@@ -153,6 +153,14 @@ def test_catalog_rows_and_last_volume(spark):
     assert [r.title for r in catalog.volumes(tied, ("at",)).collect()] == ["y"]
 
 
+def test_classified_table(spark, tmp_path):
+    df = spark.createDataFrame([("Public domain", 3), ("In copyright", 2), ("?", 1), (None, 1)], "rights_json string, n long")
+    out = catalog.write_classified(df, f"file://{tmp_path}/rights")
+    assert sorted((r.n, r.classification, r.parsing_success) for r in out.collect()) == sorted([(3, "public_domain", True), (2, "in_copyright", True), (1, None, False), (1, None, False)], key=lambda x: (x[0], str(x[1])))
+    assert catalog.parsed_share(out).first().parsed == 2
+    assert catalog.write_classified(df.limit(1), f"file://{tmp_path}/rights").count() == 1
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("some % text",), (None,)], "t string")
     ask = lambda **o: [r.m for r in df.select(catalog.classifier_messages(F.col("t"), ["a", "b"], **o).alias("m")).collect()]

@@ -138,6 +138,23 @@ def test_progress_of_streams(spark, tmp_path):
     assert (own.state, own.rows, own.batches >= 2) == ("ended", 12, True) and own.rows_per_second > 0 and own.last_batch is not None
 
 
+def test_partial_results_can_be_read(spark, tmp_path):
+    """While a stage still follows its folder, what its finished batches wrote is there to be read, each row once."""
+    pages(spark, 5).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = incremental.follow(spark, f"{tmp_path}/in", pages(spark).schema)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    try:
+        for n in (5, 12):
+            until = time.time() + 60
+            while time.time() < until and not (list((tmp_path / "out").glob("*.parquet")) and spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").count() >= n):
+                time.sleep(0.5)
+            assert query.isActive and spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").count() == n
+            if n == 5:
+                pages(spark, 7).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    finally:
+        query.stop()
+
+
 def test_stale_launches(spark, tmp_path):
     kind = "run string, phase string, ts timestamp"
     base = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS t").first().t
