@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import durable, narrow, table
+from pagewright.llm.ranks import ranked
 
 #: Neighbours that are returned, and that the graph keeps of each vector; reverse ones that join in at a node.
 NEAREST, KEPT, BACK = 20, 64, 48
@@ -77,33 +77,32 @@ def _keys(pivots: np.ndarray, length: int):
     return work
 
 
-def _along(dim: int, k: int, width: int, block_nodes: int):
-    """Sorted (t, key, id, vec) to lists: every vector's nearest among the ``width`` that stand together in the order of t. In the first order, where they stand also is their block."""
+def _along(dim: int, k: int, width: int):
+    """Sorted (t, key, id, vec) to lists: every vector's nearest among the ``width`` that stand together in the order of t."""
 
-    def lists(t, ids, m, number):
+    def lists(ids, m):
         sims = m @ m.T
         np.fill_diagonal(sims, -np.inf)
         n = min(k, len(ids) - 1)
         top = np.argpartition(-sims, n - 1, axis=1)[:, :n] if 0 < n < len(ids) - 1 else np.argsort(-sims, axis=1)[:, :n]
-        block = TaskContext.get().partitionId() << 32 | number * width // block_nodes if t == 0 else -1
-        return _lists(ids, np.full(len(ids), block, "i8"), np.full(len(ids), n), ids[top].reshape(-1), np.take_along_axis(sims, top, 1).reshape(-1).astype("f4"), np.ones(n * len(ids), bool))
+        return _lists(ids, np.full(len(ids), -1, "i8"), np.full(len(ids), n), ids[top].reshape(-1), np.take_along_axis(sims, top, 1).reshape(-1).astype("f4"), np.ones(n * len(ids), bool))
 
     def work(batches):
-        held, number = (0, np.zeros(0, "i8"), np.zeros((0, dim), "f4")), 0
+        held = 0, np.zeros(0, "i8"), np.zeros((0, dim), "f4")
         for batch in batches:
             t, ids, m = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _rows_of(batch.column(3), dim)
             for own in np.unique(t):
                 if own != held[0] and len(held[1]):
-                    yield lists(*held, number)
-                    held, number = (own, held[1][:0], held[2][:0]), 0
+                    yield lists(*held[1:])
+                    held = own, held[1][:0], held[2][:0]
                 at = t == own
                 held = (own, np.concatenate([held[1], ids[at]]), np.concatenate([held[2], m[at]]))
                 while len(held[1]) >= 2 * width:  # what is left over at the end of a task is never alone
-                    yield lists(own, held[1][:width], held[2][:width], number)
-                    held, number = (own, held[1][width:], held[2][width:]), number + 1
+                    yield lists(held[1][:width], held[2][:width])
+                    held = own, held[1][width:], held[2][width:]
         for lo in range(0, len(held[1]), max(1, -(-len(held[1]) // max(1, len(held[1]) // width)))):
             size = -(-len(held[1]) // max(1, len(held[1]) // width))
-            yield lists(held[0], held[1][lo : lo + size], held[2][lo : lo + size], number)
+            yield lists(held[1][lo : lo + size], held[2][lo : lo + size])
 
     return work
 
@@ -227,6 +226,16 @@ def _needed(centres: DataFrame, lists: list[str], vectors: DataFrame) -> DataFra
     return named.join(vectors, "id")
 
 
+def _in_blocks(graph: DataFrame, order: DataFrame, block_nodes: int, some: int = 32) -> DataFrame:
+    """graph, durable, with blocks of so many nodes that are near one another, so that few vectors serve a block: nodes are sorted by the median of their neighbours' places in the first order."""
+    places = ranked(order, ["t"], ["key"]).select("id", "at")
+    near = graph.select("id", F.explode_outer(F.slice("near", 1, some)).alias("other"))
+    middle = near.join(places.withColumnRenamed("id", "other"), "other", "left").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    middle = middle.select(F.lit(0).alias("t"), "id", F.try_element_at("at", F.greatest(F.size("at") / 2, F.lit(1)).cast("int")).alias("middle"))
+    blocks = ranked(middle, ["t"], ["middle", "id"]).select("id", F.expr(f"at div {block_nodes}").alias("block"))
+    return durable(graph.drop("block").join(blocks, "id").select("id", "block", "near", "sims", "fresh"))
+
+
 def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BACK, rounds: int = ROUNDS, settled: float = SETTLED, tables: int = TABLES, along: int = ALONG, block_nodes: int = BLOCK_NODES, seed: int = SEED) -> DataFrame:
     """(id, block, near, sims, fresh), durable: the k nearest found of each of vectors (id long, vec array<float> of dim), nearest first.
 
@@ -246,7 +255,8 @@ def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BAC
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     n = vectors.count()
     parts = max(1, -(-n // PART_IDS))
-    graph = _as_lists(_by_part(ordered.mapInArrow(_along(dim, k, along, block_nodes), _LISTS), parts), k)
+    graph = _as_lists(_by_part(ordered.mapInArrow(_along(dim, k, along), _LISTS), parts), k)
+    graph = _in_blocks(graph, keyed.filter("t = 0").select("t", "key", "id"), block_nodes)
     for _ in range(rounds):
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0] or 0
         if changed <= settled * n * k:
