@@ -29,6 +29,8 @@ PREFIXES = (4, 5, 6)
 LEVELS = ((3, 1 / 200), (4, 1 / 80))
 #: Added to a distance before it is inverted.
 SOFT = 0.05
+#: Share by which sums in single precision of some hundred terms may be off at most.
+ROUGH = 5e-5
 #: The column of packed terms.
 TERMS = "__terms"
 
@@ -112,6 +114,8 @@ class Index:
     row: np.ndarray | None = None
     peak: np.ndarray | None = None
     often: np.ndarray | None = None
+    #: often in single precision, by row, made where it is used.
+    rough: np.ndarray | None = None
     #: Blocks whose postings were read so far, and blocks that there were.
     read: int = 0
     there: int = 0
@@ -155,9 +159,12 @@ class Index:
         """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the number of one to leave out.
 
         The largest weights of the query's terms in a block bound its cosines. Postings are read of the best-bounded blocks first,
-        then of those whose bound reaches the k-th best cosine so far; the others are never touched, and the result is exact.
+        then of those whose bound reaches the k-th best cosine so far; the others are never touched. Frequent terms are summed up in single precision,
+        and what comes within ROUGH of the k-th best is worked out again in double precision, so the result is exact.
         """
         blocks = self.often.shape[1]
+        if self.rough is None:
+            self.rough = self.often.astype("f4")
         row = self.row[terms]
         heavy = w[row >= 0]
         row, terms, w = row[row >= 0], terms[row < 0], w[row < 0]
@@ -165,35 +172,40 @@ class Index:
         entry, own = _ranges(self.start[terms], size), np.repeat(w, size)
         block = self.block[entry]
         bound = np.bincount(block, self.most[entry] * own, minlength=blocks) + heavy.astype("f4") @ self.peak[row]
-        score, best = np.zeros((blocks, BLOCK)), 1e-12
+        score, light, best = np.zeros((blocks, BLOCK)), np.zeros(blocks * BLOCK), 1e-12
         flat = score.reshape(-1)
         first = min(first, blocks)
         front = np.zeros(blocks, bool)
         front[np.argpartition(-bound, first - 1)[:first] if first else []] = True
         for some in (front, None):
             if some is None:
-                some = ~front & (bound >= best * (1 - 1e-5))
+                some = ~front & (bound >= best * (1 - ROUGH))
             some &= bound > 0
             if not some.any():
                 continue
             here = np.flatnonzero(some)
             self.read += len(here)
-            score[here] = (heavy @ self.often[row[:, None], here].reshape(len(row), len(here) * BLOCK)).reshape(-1, BLOCK)
+            part = self.rough[row[:, None], here] if 2 * len(here) < blocks else self.rough[row]
+            dense = (heavy.astype("f4") @ part.reshape(len(row), part.shape[1] * BLOCK)).reshape(-1, BLOCK)
+            score[here] = dense if len(dense) == len(here) else dense[here]
             kept = some[block]
             chosen = entry[kept]
             begin = self.begin[chosen]
             many = self.begin[chosen + 1] - begin
             places = _ranges(begin, many)
-            flat += np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat))
+            more = np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat))
+            flat += more
+            light += more
             if without is not None:
                 flat[without] = 0
             top = score[here].reshape(-1)
             if len(top) > k:
                 best = max(best, np.partition(top, len(top) - k)[len(top) - k])
         self.there += blocks
-        found = np.flatnonzero(flat >= best)  # places beyond the last example hold 0
-        found = found[np.lexsort((found, -flat[found]))][:k]
-        return found, flat[found]
+        found = np.flatnonzero(flat >= best * (1 - ROUGH))  # places beyond the last example hold 0
+        cosine = light[found] + heavy @ self.often.reshape(len(self.often), -1)[row[:, None], found]
+        order = np.lexsort((found, -cosine))[:k]
+        return found[order], cosine[order]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Votes weighted by inverse distance and by how many rows an example stands for: 0 to 1."""
