@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright import schemas
 from pagewright.functions.distances import edit_distance
+from pagewright.functions.pieces import by_pieces
 from pagewright.functions.sequences import opcodes
 
 #: Words and runs of newlines; other white space separates.
@@ -123,9 +124,14 @@ def compared(base: str | None, pred: str | None) -> dict | None:
     return out | {"inline_word_opcodes": {str(i): _diffed(a, b)[0] for i, a, b in beside if a or b}}
 
 
+def _py_comparison(base: str | None, pred: str | None) -> dict | None:
+    out = compared(base, pred)
+    return out and out | {"inline_word_opcodes": list(out["inline_word_opcodes"].items())}
+
+
 def text_comparison(base: str | Column, pred: str | Column) -> Column:
     """The diff of two texts; sequence matching is order-bound and has no counterpart among built-in functions."""
-    return F.udf(compared, schemas.TEXT_COMPARISON, useArrow=True)(base, pred)
+    return by_pieces(_py_comparison, schemas.TEXT_COMPARISON)(base, pred)
 
 
 def _py_similarity(b: str | None, p: str | None) -> float | None:
