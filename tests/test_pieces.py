@@ -48,3 +48,13 @@ def test_comparisons_are_made_by_pieces(spark, monkeypatch):
     rows = spark.createDataFrame(pairs, "i int, b string, p string").coalesce(1)
     got = {r.i: r.d and r.d.asDict(recursive=True) for r in rows.select("i", text.text_comparison("b", "p").alias("d")).collect()}
     assert made and got == {i: text.compared(b, p) for i, b, p in pairs} and got[1]["inline_word_opcodes"]
+
+
+def test_counts_of_many_comparisons(spark):
+    """Counts read from comparisons of several pieces, evaluated by iterators of Arrow arrays and not by the row."""
+    pairs = [(i, f"a b\nc {i % 7}\nsame", f"a x\nc {i % 3} {i}\nsame") for i in range(600)]
+    d = text.text_comparison("b", "p")
+    rows = spark.createDataFrame(pairs, "i int, b string, p string").coalesce(1).select("i", d["common"].alias("common"), d["lines_added"].alias("lines_added"), d["similarity"].alias("similarity"))
+    want = {i: text.compared(b, p) for i, b, p in pairs}
+    assert all((r.common, r.lines_added, r.similarity) == tuple(want[r.i][k] for k in ("common", "lines_added", "similarity")) for r in rows.collect())
+    assert text.text_comparison.__globals__["by_pieces"] is pieces.by_pieces
