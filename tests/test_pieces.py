@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.functions import pieces, text
+from pagewright.operators import comparison
 
 
 class Held(dict):
@@ -58,3 +59,12 @@ def test_counts_of_many_comparisons(spark):
     want = {i: text.compared(b, p) for i, b, p in pairs}
     assert all((r.common, r.lines_added, r.similarity) == tuple(want[r.i][k] for k in ("common", "lines_added", "similarity")) for r in rows.collect())
     assert text.text_comparison.__globals__["by_pieces"] is pieces.by_pieces
+
+
+def test_envelopes_of_many_comparisons(spark):
+    """Flat metrics come back from the envelopes of several pieces; a pair without a side has none."""
+    pairs = [(i, None if i % 50 == 0 else f"a b\nc {i % 7}", f"a x\nc {i % 3} {i}") for i in range(600)]
+    rows = comparison.compare(spark.createDataFrame(pairs, "i int, b string, p string").coalesce(1), ("text",), "p", "b", base_doc=None)
+    got = comparison.flattened(rows.select("i", F.to_json("comparisons").alias("comparisons_json"))).collect()
+    want = {i: text.compared(b, p) for i, b, p in pairs}
+    assert all(r.text_similarity == (want[r.i] and want[r.i]["similarity"]) and (r.text_wer is None) == (want[r.i] is None) for r in got) and len(got) == 600
