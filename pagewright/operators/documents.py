@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright import schemas
 from pagewright.functions import geometry, markup
+from pagewright.functions.pieces import by_pieces
 
 # Labels of text items by kind of block, and labels that count as headings.
 TEXT_LABELS = {"text": "text", "paragraph": "paragraph", "list_item": "list_item", "caption": "caption", "footnote": "footnote", "page_header": "page_header", "page_footer": "page_footer", "formula": "formula", "code": "code", "furniture": "page_header", "reference": "reference"}
@@ -84,7 +85,7 @@ def from_layout(name: str, payload: str | None, categories: dict[str, str] | Non
 
 
 def markdown_document(name: str | Column, text: str | Column) -> Column:
-    return F.udf(from_markdown, schemas.DOCUMENT, useArrow=True)(name, text)
+    return by_pieces(from_markdown, schemas.DOCUMENT)(name, text)
 
 
 def layout_document(categories: dict[str, str] | None = None, resized: bool = False, **limits):

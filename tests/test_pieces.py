@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.functions import pieces, text
-from pagewright.operators import comparison
+from pagewright.operators import comparison, documents
 
 
 class Held(dict):
@@ -68,3 +68,17 @@ def test_envelopes_of_many_comparisons(spark):
     got = comparison.flattened(rows.select("i", F.to_json("comparisons").alias("comparisons_json"))).collect()
     want = {i: text.compared(b, p) for i, b, p in pairs}
     assert all(r.text_similarity == (want[r.i] and want[r.i]["similarity"]) and (r.text_wer is None) == (want[r.i] is None) for r in got) and len(got) == 600
+
+
+MARKDOWN = [(i, None if i % 50 == 0 else f"# T{i}\n\npara {i % 7}\n\n| a | b |\n|---|---|\n| {i} | 2 |\n\n<table><tr><th colspan=2>h</th></tr><tr><td>a<td>{i}</table>" + "\n\nx" * (i % 5)) for i in range(600)]
+
+
+def markdown(spark):
+    return spark.createDataFrame(MARKDOWN, "i int, t string").coalesce(1)
+
+
+def test_documents_are_made_by_pieces(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(documents, "by_pieces", lambda *of: made.append(of) or pieces.by_pieces(*of))
+    got = {r.i: r.d.asDict(recursive=True) for r in markdown(spark).select("i", documents.markdown_document(F.col("i").cast("string"), "t").alias("d")).collect()}
+    assert made and got == {i: documents.from_markdown(str(i), t) for i, t in MARKDOWN} and got[1]["items"][2]["cells"]
