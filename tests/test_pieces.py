@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pagewright.functions import pieces, text
+from pagewright.functions import markup, pieces, text
 from pagewright.operators import comparison, documents
 
 
@@ -82,3 +82,10 @@ def test_documents_are_made_by_pieces(spark, monkeypatch):
     monkeypatch.setattr(documents, "by_pieces", lambda *of: made.append(of) or pieces.by_pieces(*of))
     got = {r.i: r.d.asDict(recursive=True) for r in markdown(spark).select("i", documents.markdown_document(F.col("i").cast("string"), "t").alias("d")).collect()}
     assert made and got == {i: documents.from_markdown(str(i), t) for i, t in MARKDOWN} and got[1]["items"][2]["cells"]
+
+
+def test_blocks_are_made_by_pieces(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(markup, "by_pieces", lambda *of: made.append(of) or pieces.by_pieces(*of))
+    got = {r.i: [b.asDict() for b in r.b] for r in markdown(spark).select("i", markup.markdown_blocks("t").alias("b")).collect()}
+    assert made and got == {i: markup.blocks(t) for i, t in MARKDOWN}
