@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by their key over two tasks a core. A table of few bytes is read by a task or two, however many rows it has and however long each takes."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which all executors share; a temporary folder only where the session names none and its executors are this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import markup, scalars, text
 from pagewright.operators import documents
-from pagewright.plans.named import query, shared_folder, table
+from pagewright.plans.named import query, shared_folder, spread, table
 from pagewright.sources import catalog
 
 _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
@@ -37,7 +37,7 @@ FROM part, (VALUES (0), (1)) x(r), (VALUES (0), (1)) y(c)"""
 )
 def pipe_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("| name | size |\n|:--|---|\n| "), "p_name", F.lit(" | "), "p_size", F.lit(" |\n"))
-    cells = table(spark, sf_dir, "part").select("p_partkey", F.explode(markup.table_cells(made)["cells"]).alias("c"))
+    cells = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.explode(markup.table_cells(made)["cells"]).alias("c"))
     return cells.select("p_partkey", F.col("c.r0").alias("row"), F.col("c.c0").alias("col"), "c.text", F.col("c.column_header").alias("header"))
 
 
@@ -49,7 +49,7 @@ UNION ALL SELECT p_partkey, 1, 2, '1', false, 3, 3 FROM part UNION ALL SELECT p_
 def html_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans in both directions, a header row, unclosed cells, a colspan that isn't one."""
     made = F.concat(F.lit("<table><thead><tr><td rowspan=2>"), "p_name", F.lit("</td><td colspan='2'>b\n <b>c</b></td></tr></thead><tr><td>"), "p_type", F.lit("</td><td colspan=x>1</td></tr><tr><td>"), "p_brand", F.lit("</table>"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", markup.table_cells(made).alias("t"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", markup.table_cells(made).alias("t"))
     cells = rows.select("p_partkey", "t.num_rows", "t.num_cols", F.explode("t.cells").alias("c"))
     return cells.select("p_partkey", "c.r0", "c.c0", "c.text", F.col("c.column_header").alias("header"), "num_rows", "num_cols")
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import markup, pieces, text
 from pagewright.operators import comparison, documents
+from pagewright.plans import named, on_documents  # noqa: F401  the latter registers queries
 
 
 class Held(dict):
@@ -89,3 +90,11 @@ def test_blocks_are_made_by_pieces(spark, monkeypatch):
     monkeypatch.setattr(markup, "by_pieces", lambda *of: made.append(of) or pieces.by_pieces(*of))
     got = {r.i: [b.asDict() for b in r.b] for r in markdown(spark).select("i", markup.markdown_blocks("t").alias("b")).collect()}
     assert made and got == {i: markup.blocks(t) for i, t in MARKDOWN}
+
+
+def test_cells_are_spread_over_the_cores(spark):
+    """A file that one task reads is parsed by all of them."""
+    of = named.QUERIES["html_table_cells"](spark, "/root/testdata/sf0.001")
+    assert of.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    made = of.select("p_partkey").distinct()
+    assert made.count() == named.table(spark, "/root/testdata/sf0.001", "part").count()
