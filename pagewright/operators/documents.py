@@ -94,7 +94,7 @@ def layout_document(categories: dict[str, str] | None = None, resized: bool = Fa
     def convert(name, payload, width, height):
         return from_layout(name, payload, categories, width, height, scale_of(height, width, **limits) if resized else None)
 
-    return F.udf(convert, schemas.DOCUMENT, useArrow=True)
+    return by_pieces(convert, schemas.DOCUMENT)
 
 
 def scale_of(height: float | None, width: float | None, factor: int = 28, min_pixels: int = 3136, max_pixels: int = 11289600) -> tuple[float, float] | None:

@@ -61,7 +61,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"category": "Section-header", "level": 9, "text": "s", "bbox": [1, 2, 3]}, {"category": "Section-header", "level": 9, "text": "s"}, '),
         F.lit('{"category": "Picture", "bbox": [1, 1, 5, 5]}, {"category": "Table", "text": "| a | b |\\n|---|---|\\n| 1 | 2 |"}, {"category": "Odd", "text": "'), "p_brand", F.lit('"}]'),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 9, '{"no": "list"}').otherwise(blocks).alias("payload"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.when(F.col("p_partkey") % 10 == 9, '{"no": "list"}').otherwise(blocks).alias("payload"))
 
 
 _BLOCKS = """
@@ -77,7 +77,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BLOCKS + "SELECT p_partkey, ord, label, text, level, b FROM i WHERE p_partkey % 10 <> 9")
 def layout_json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _documents(spark, sf_dir).select("p_partkey", F.explode("document.items").alias("i"))
+    # explode puts a filter on its array below, for which every document would be made twice
+    items = _documents(spark, sf_dir).select("p_partkey", F.explode_outer("document.items").alias("i")).filter("i is not null")
     return items.select("p_partkey", "i.ord", "i.label", "i.text", "i.level", F.col("i.bbox.b").alias("b"))
 
 

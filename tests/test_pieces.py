@@ -98,3 +98,12 @@ def test_cells_are_spread_over_the_cores(spark):
     assert of.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     made = of.select("p_partkey").distinct()
     assert made.count() == named.table(spark, "/root/testdata/sf0.001", "part").count()
+
+
+def evaluations(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_layouts_are_made_once(spark):
+    of = named.QUERIES["layout_json_blocks"](spark, "/root/testdata/sf0.001")
+    assert evaluations(of) == 1 and of.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
