@@ -102,7 +102,9 @@ def text_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line opcodes, and how many lines have a word diff of their own."""
     rows = _pairs(spark, sf_dir).withColumn("d", text.text_comparison("base", "pred"))
-    return rows.select("conv_id", "turn", F.size("d.inline_word_opcodes").alias("n_inline"), F.posexplode("d.line_opcodes").alias("at", "o")).select("conv_id", "turn", "n_inline", "at", "o.*")
+    # posexplode puts a filter on its array below, for which every pair would be compared twice
+    codes = rows.select("conv_id", "turn", F.size("d.inline_word_opcodes").alias("n_inline"), F.posexplode_outer("d.line_opcodes").alias("at", "o")).filter("at is not null")
+    return codes.select("conv_id", "turn", "n_inline", "at", "o.*")
 
 
 @query()

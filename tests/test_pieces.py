@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import markup, pieces, text
 from pagewright.operators import comparison, documents
-from pagewright.plans import named, on_documents  # noqa: F401  the latter registers queries
+from pagewright.plans import named, on_documents, on_text  # noqa: F401  the latter two register queries
 
 
 class Held(dict):
@@ -107,3 +107,7 @@ def evaluations(rows):
 def test_layouts_are_made_once(spark):
     of = named.QUERIES["layout_json_blocks"](spark, "/root/testdata/sf0.001")
     assert evaluations(of) == 1 and of.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_are_compared_once(spark):
+    assert evaluations(named.QUERIES["line_diff"](spark, "/root/testdata/sf0.001")) == 1
