@@ -21,6 +21,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH, END_ID = 1024, 0
 #: Documents are hashed vectors of so many token buckets, projected to DIMS dimensions of BITS bits each.
 BUCKETS, DIMS, BITS, SEED = 1 << 13, 3, 10, 6
+#: Bytes of text that are encoded at a time: what that takes of memory comes on top of what earlier stages left in an executor.
+SLICE_BYTES = 2 << 20
 #: What the mean projected token differs by from text to text: puts coordinates across the whole range.
 SPREAD = 0.15
 
@@ -83,8 +85,9 @@ def _unpacked(held: bytes) -> np.ndarray:
 def _tokenise(vocabulary: str, end_id: int):
     def work(batches):
         encode = bpe.encoder(vocabulary, public_tokenizers.PATTERN)
+        bpe.released()  # what the vocabulary's file took
         row = TaskContext.get().partitionId() << 40
-        for batch in (some for batch in batches for some in bpe.slices(batch, 1)):
+        for batch in (some for batch in batches for some in bpe.slices(batch, 1, SLICE_BYTES)):
             n = batch.num_rows
             flat, ends = encode(batch.column(1))
             ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -159,6 +159,7 @@ def _spanning(batches):
             alike = alike[np.argsort(bits[alike], kind="stable")]
             for a, b in _forest(label, i[alike], j[alike]):
                 yield _edges(node[a], node[b], np.bitwise_count(other[a] ^ other[b]) + np.bitwise_count(top[a] ^ top[b]))
+    released()
 
 
 def _first_part(apart: np.ndarray) -> np.ndarray:

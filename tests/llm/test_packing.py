@@ -1,10 +1,13 @@
 import zlib
 from collections import defaultdict
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+import pagewright.llm.op6_packing as packing
 from pagewright.llm.op6_packing import VOCABULARY, hilbert_key, op6_packing, pack
 
 
@@ -75,3 +78,16 @@ def test_batch_encoder():
             ids, ends = encoder(pa.array(some[k : k + size], pa.string()))
             got += [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         assert got == want[: len(some)]
+
+
+def test_few_bytes_are_encoded_at_a_time(monkeypatch):
+    """A batch of 12 MB goes through in pieces of 2 MB, a longer text by itself, and every document comes out once."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    text = "some words that repeat " * 2000
+    texts = [text] * 200 + [text * 60] + [""] * 5 + [text] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = list(packing._tokenise(packing.VOCABULARY, 0)([batch]))
+    sizes = [sum(len(texts[i]) for i in x.column("id").to_pylist()) for x in out]
+    assert max(s for s, x in zip(sizes, out, strict=True) if x.num_rows > 1) <= 2 << 20 and len(text) * 60 > 2 << 20
+    assert [i for x in out for i in x.column("id").to_pylist()] == list(range(len(texts)))
+    assert [r for x in out for r in x.column("row").to_pylist()] == [(3 << 40) + i for i in range(len(texts))]
