@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
 
@@ -27,6 +28,8 @@ OFTEN = 16
 #: A prefix of a text's longer words is a term where it is dense: so often at least, and so often a word at least; denser, it is another term as well.
 PREFIXES = (4, 5, 6)
 LEVELS = ((3, 1 / 200), (4, 1 / 80))
+#: Texts whose frequent terms are summed up in one product of matrices.
+TOGETHER = 64
 #: Added to a distance before it is inverted.
 SOFT = 0.05
 #: Share by which sums in single precision of some hundred terms may be off at most.
@@ -37,26 +40,37 @@ TERMS = "__terms"
 _WORDS = re.compile(r"\w+").findall
 
 
-def dense_prefixes(words: list[str]) -> list[str]:
-    """The terms of a text's dense prefixes, with the level that each one reaches."""
+def dense_prefixes(words: list[str], held: Counter | None = None) -> list[str]:
+    """The terms of a text's dense prefixes, with the level that each one reaches; held: how often each of the words occurs, where that is known."""
+    held = Counter(words) if held is None else held
     least, rate = LEVELS[0]
     bound, n = max(least, rate * len(words)), PREFIXES[0]
-    hot = {p for p, count in Counter([w[:n] for w in words if len(w) > n]).items() if count >= bound}
+    hot = {p for p, count in _prefixes(held.items(), n).items() if count >= bound}
     if not hot:
         return []
-    some = [w for w in words if w[:n] in hot]
+    some = [(w, count) for w, count in held.items() if w[:n] in hot]
     out = []
     for n in PREFIXES:
-        for p, count in Counter([w[:n] for w in some if len(w) > n]).items():
+        for p, count in _prefixes(some, n).items():
             out += [f"{p}*{k}" for k, (least, rate) in enumerate(LEVELS) if count >= least and count >= rate * len(words)]
     return out
 
 
+def _prefixes(held: Iterable[tuple[str, int]], n: int) -> dict[str, int]:
+    """How often each prefix of n characters occurs in longer words."""
+    out: dict[str, int] = {}
+    for w, count in held:
+        if len(w) > n:
+            p = w[:n]
+            out[p] = out.get(p, 0) + count
+    return out
+
+
 def terms_of(text: str) -> Counter:
     """How often each term occurs: lower-cased words, and dense prefixes once each."""
     words = _WORDS(text.lower())
     held = Counter(words)
-    held.update(dense_prefixes(words))
+    held.update(dense_prefixes(words, held))
     return held
 
 
@@ -155,24 +169,33 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int | None = None, first: int = FIRST_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the number of one to leave out.
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms of each query, terms and weights, add to its cosine with each example, in single precision: by query, block and place in the block."""
+        if self.rough is None:
+            self.rough = self.often.astype("f4")
+        heavy = np.zeros((len(queries), len(self.rough)), "f4")
+        for own, (terms, w) in zip(heavy, queries, strict=True):
+            row = self.row[terms]
+            own[row[row >= 0]] = w[row >= 0]
+        return (heavy @ self.rough.reshape(len(self.rough), self.rough.shape[1] * BLOCK)).reshape(len(queries), *self.rough.shape[1:])
 
-        The largest weights of the query's terms in a block bound its cosines. Postings are read of the best-bounded blocks first,
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int | None = None, first: int = FIRST_BLOCKS, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the highest positive cosine (equal ones by number) and the cosines; ``without``: the number of one to leave out; ``dense``: the query's sums where they are known.
+
+        The largest sum of frequent terms in a block and the largest weights there of the query's other terms bound its cosines. Postings are read of the best-bounded blocks first,
         then of those whose bound reaches the k-th best cosine so far; the others are never touched. Frequent terms are summed up in single precision,
         and what comes within ROUGH of the k-th best is worked out again in double precision, so the result is exact.
         """
         blocks = self.often.shape[1]
-        if self.rough is None:
-            self.rough = self.often.astype("f4")
+        dense = self.sums([(terms, w)])[0] if dense is None else dense
         row = self.row[terms]
         heavy = w[row >= 0]
         row, terms, w = row[row >= 0], terms[row < 0], w[row < 0]
         size = self.start[terms + 1] - self.start[terms]
         entry, own = _ranges(self.start[terms], size), np.repeat(w, size)
         block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * own, minlength=blocks) + heavy.astype("f4") @ self.peak[row]
-        score, light, best = np.zeros((blocks, BLOCK)), np.zeros(blocks * BLOCK), 1e-12
+        bound = np.bincount(block, self.most[entry] * own, minlength=blocks) + dense.max(axis=1)
+        score, light, best = np.zeros((blocks, BLOCK)), np.zeros((blocks, BLOCK)), 1e-12
         flat = score.reshape(-1)
         first = min(first, blocks)
         front = np.zeros(blocks, bool)
@@ -185,17 +208,13 @@ class Index:
                 continue
             here = np.flatnonzero(some)
             self.read += len(here)
-            part = self.rough[row[:, None], here] if 2 * len(here) < blocks else self.rough[row]
-            dense = (heavy.astype("f4") @ part.reshape(len(row), part.shape[1] * BLOCK)).reshape(-1, BLOCK)
-            score[here] = dense if len(dense) == len(here) else dense[here]
             kept = some[block]
             chosen = entry[kept]
             begin = self.begin[chosen]
             many = self.begin[chosen + 1] - begin
             places = _ranges(begin, many)
-            more = np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat))
-            flat += more
-            light += more
+            light += np.bincount(self.at[places], self.of[places] * np.repeat(own[kept], many), minlength=len(flat)).reshape(-1, BLOCK)
+            score[here] = dense[here] + light[here]
             if without is not None:
                 flat[without] = 0
             top = score[here].reshape(-1)
@@ -203,7 +222,8 @@ class Index:
                 best = max(best, np.partition(top, len(top) - k)[len(top) - k])
         self.there += blocks
         found = np.flatnonzero(flat >= best * (1 - ROUGH))  # places beyond the last example hold 0
-        cosine = light[found] + heavy @ self.often.reshape(len(self.often), -1)[row[:, None], found]
+        each = heavy[:, None] * self.often.reshape(len(self.often), blocks * BLOCK)[row[:, None], found]
+        cosine = np.cumsum(np.vstack([light.reshape(-1)[found], each]), axis=0)[-1]  # one after another, so that equal examples tie to the last bit
         order = np.lexsort((found, -cosine))[:k]
         return found[order], cosine[order]
 
@@ -220,10 +240,15 @@ class Index:
 
     def scored(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
         """The score of a text with these terms, the numbers of its nearest examples and their cosines."""
-        if not len(terms):
-            return self.empty, np.zeros(0, int), np.zeros(0)
-        found, cosine = self.nearest(terms, self.vector(terms, counts), k)
-        return self.calibrated(self.vote(found, cosine)) if len(found) else self.empty, found, cosine
+        return next(self.scores([(terms, counts)], k))
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """scored of each of many texts, terms and counts: the sums of TOGETHER of them are made in one product."""
+        for lo in range(0, len(texts), TOGETHER):
+            queries = [(terms, self.vector(terms, counts)) for terms, counts in texts[lo : lo + TOGETHER]]
+            for (terms, w), dense in zip(queries, self.sums(queries), strict=True):
+                found, cosine = self.nearest(terms, w, k, dense=dense) if len(terms) else (np.zeros(0, int), np.zeros(0))
+                yield self.calibrated(self.vote(found, cosine)) if len(found) else self.empty, found, cosine
 
 
 def _clustered(terms: np.ndarray, size: np.ndarray, weights: np.ndarray, n_terms: int) -> np.ndarray:
@@ -392,8 +417,10 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index.arrange(terms, example, weights)
     if len(ids):
         votes = np.zeros(len(ids))
-        for i, a, m in zip(place, start, size, strict=True):
-            votes[i] = index.vote(*index.nearest(terms[a : a + m], weights[a : a + m], NEIGHBOURS, i))
+        for lo in range(0, len(ids), TOGETHER):
+            own = [(terms[a : a + m], weights[a : a + m]) for a, m in zip(start[lo : lo + TOGETHER], size[lo : lo + TOGETHER], strict=True)]
+            for i, query, dense in zip(place[lo : lo + TOGETHER], own, index.sums(own), strict=True):
+                votes[i] = index.vote(*index.nearest(*query, NEIGHBOURS, i, dense=dense))
         index.slope, index.offset = _platt(votes, index.toxic, index.weight)
     return index, known
 
@@ -410,7 +437,7 @@ def _scored(docs: DataFrame, index: Index, id_col: str, k: int = NEIGHBOURS) ->
     def work(batches):
         index = sent.value
         for batch in batches:
-            scores, found, cosines = zip(*[index.scored(*_unpacked(x), k) for x in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
+            scores, found, cosines = zip(*index.scores([_unpacked(x) for x in batch.column(1).to_pylist()], k), strict=True) if batch.num_rows else ((), (), ())
             evidence = pa.array([index.ids[x].tolist() for x in found], pa.list_(pa.int64()))
             nearest = pa.array([float(x[0]) if len(x) else 0.0 for x in cosines], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), evidence, nearest], ["id", "score", "evidence", "cosine"])
@@ -447,7 +474,8 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def work(batches):
         for batch in batches:
-            stay = pa.array([sent.value.scored(*_unpacked(x), k)[0] < most for x in batch.column(batch.num_columns - 1).to_pylist()], pa.bool_())
+            texts = [_unpacked(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            stay = pa.array([score < most for score, _, _ in sent.value.scores(texts, k)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(stay) for c in batch.columns[:-1]], batch.schema.names[:-1])
         released()
 

@@ -116,3 +116,34 @@ def test_equal_texts_score_equal_and_blocks_are_skipped(spark):
     for r in rows[:400]:
         index.scored(*read(r.text or ""))
     assert index.read < 0.6 * index.there
+
+
+def test_sums_made_together_are_exact(spark):
+    """Many texts at once score as each alone and by brute force; equal examples tie to the last bit and go by number."""
+    index = tox.fit(*load(spark, "sf0.1"))
+    dense = np.zeros((len(index.vocabulary), len(index.ids)))
+    for t, (at, w) in enumerate(index.postings):
+        dense[t, at] = w
+    read = index.vocabulary.reader()
+    texts = [read(r.text or "") for r in load(spark, "sf0.1")[0].orderBy("doc_id").limit(3 * tox.TOGETHER // 2).collect()] + [read("")]
+    together = list(index.scores(texts))
+    assert len(together) == len(texts) > tox.TOGETHER and together[-1][0] == index.empty
+    for (terms, counts), (score, found, cosine) in zip(texts[:-1], together, strict=False):
+        alone = index.scored(terms, counts)
+        assert abs(score - alone[0]) < 1e-12 and np.array_equal(found, alone[1]) and np.array_equal(cosine, alone[2])
+        best = np.sort(index.vector(terms, counts) @ dense[terms])[::-1][: len(cosine)]
+        assert np.allclose(best, cosine) and np.array_equal(np.lexsort((found, -cosine)), np.arange(len(found)))
+
+
+def test_no_term_is_frequent(spark):
+    """More examples than OFTEN, none of which shares a term with another."""
+    ids = [i for i in range(1, 300) if zlib.crc32(str(i).encode()) % 5][:40]
+    docs = spark.createDataFrame([(i, f"word{i} other{i} third{i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tox.toxicity(docs, labels).collect()}
+    assert all(list(got[i].evidence) == [i] for i in ids)
+
+
+def test_dense_prefixes_from_counts():
+    words = ("badword badwords badly badness " * 3 + "other thing").split()
+    assert sorted(tox.dense_prefixes(words)) == sorted([f"{p}*0" for p in ("badl", "badn", "badne", "badnes")] + [f"{p}*{k}" for p in ("badw", "badwo", "badwor") for k in (0, 1)])
