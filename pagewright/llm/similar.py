@@ -22,8 +22,10 @@ TABLES, BITS, MAX_BITS = 16, 32, 3
 #: Bits that a pair may differ in on 64 bits of other tables, and on a wide fingerprint of so many 64-bit numbers that begins with those of
 #: all tables: 0.151 of them and about four standard deviations.
 CHECK_BITS, WIDE, WIDE_BITS = 21, 24, 285
-#: Rounds in which each node's nearest candidate that leads out of its group is tried, before all that are still apart.
-ROUNDS = 4
+#: Bits, of 96, in which candidates differ at most that are tried first: 2.4 of 32 and 0.151 of 64, and one standard deviation. All others are tried later.
+TRIED_BITS = 15
+#: Bytes of shingles that may be broadcast.
+BROADCAST_BYTES = 24_000_000
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
@@ -205,9 +207,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Links are the pairs of texts whose fingerprints differ in at most three of 32 bits in one of 16 tables (and in no more of
     the other bits than similar sets do) and whose sets of five-word shingles have a Jaccard similarity of
     ``similarity`` or more, worked out exactly. Equal sets are one node from the start. The tries are traversed twice:
-    at first for a forest of candidates, a few of which for each node already connect large groups of copies; then for all
-    candidates between groups that are still apart, sifted by wide fingerprints. So a large group of copies costs a few rows a
-    copy; texts that are just short of similar cost a row a pair.
+    at first for a forest of candidates, the nearest of which already connect large groups of copies;
+    then for all candidates between groups that are still apart, sifted by wide fingerprints. So a large group of copies costs a few rows a
+    copy; texts that are just short of similar cost a row a pair. Sets go to the pairs by broadcast while all of them are few bytes.
 
     Null counts as empty, and texts without words are alike. component_id is the least id that links reach; a null id
     comes after all others, and component_id is null only if no row of the component has an id. kept: rows without an id, and of the
@@ -227,28 +229,19 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = texts.join(narrow(asked), "h", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>, wide binary")
     sets = durable(sets.dropDuplicates(["node"]))
 
+    few = (sets.agg(F.sum(8 * F.size("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
+
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = ends(sets, "shingles", "x", "y")
+        x, y = (F.broadcast(side) if few else side for side in ends(sets, "shingles", "x", "y"))
         both = F.size(F.array_intersect("x", "y"))
         rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
         return durable(rows.filter(F.col("both") >= F.col("either") * similarity - 1e-9).select("a", "b"))
 
-    links, roots, left = None, None, candidates
-    for turn in range(ROUNDS):
-        nearest = F.min_by(F.struct("a", "b"), F.struct("bits", F.xxhash64("a", "b"))).alias("x")
-        picked = durable(left.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "bits").groupBy("end").agg(nearest).select("x.a", "x.b").distinct())
-        found = verified(picked)
-        links = found if links is None else links.union(found)
-        roots = durable(connected(links, "a", "b"))
-        if turn + 1 < ROUNDS:  # what has been tried or connected by now needn't be looked at again
-            x, y = ends(roots, "root", "x", "y")
-            left = left.join(picked, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
-            left = durable(left.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "bits"))
-            if left.isEmpty():
-                break
+    links = verified(candidates.filter(F.col("bits") <= TRIED_BITS).select("a", "b"))
+    roots = durable(connected(links, "a", "b"))
     own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
     later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
-    roots = durable(connected(links.union(later), "a", "b"))
+    roots = durable(connected(roots.union(later), "node", "root"))
     rooted = durable(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of = durable(rooted.join(least, "root").select("node", "least"))

@@ -90,3 +90,24 @@ def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
     assert kept(corpus_pipeline.exact_dedup(spark, docs, "")) == [(3, "unique text"), (8, "a b c d e f g h i j k"), (9, "same text here"), (None, "same text here")]
     near = kept(corpus_pipeline.near_dedup(spark, docs, ""))
     assert len([x for x in near if x[0] in (7, 8)]) == 1 and (3, "unique text") in near and (3, "same text here") in near and (9, "same text here") not in near
+
+
+def test_candidates_of_near_and_of_nearly_similar_copies_are_tried_once(spark):
+    """Copies that differ in so many words that half of them link with none: the number of jobs doesn't follow rounds over all candidates."""
+    pick = random.Random(9)
+    base, texts = [f"w{pick.randrange(900)}" for _ in range(150)], []
+    for i in range(250):
+        own = list(base)
+        for k in range(pick.randint(0, 9)):
+            own[pick.randrange(len(own))] = f"x{i}y{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near copies", "near copies")
+    try:
+        got = similar.similar_texts(docs).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = components(docs.collect())
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want and 20 < len({c for _, c in want}) < 240
+    assert jobs <= 150, jobs
