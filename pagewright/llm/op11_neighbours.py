@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import durable, narrow, table
 from pagewright.llm.ranks import ranked
+from pagewright.llm.unions import runs
 
 #: Neighbours that are returned, and that the graph keeps of each vector; reverse ones that join in at a node.
 NEAREST, KEPT, BACK = 20, 64, 48
@@ -24,6 +25,7 @@ SEED = 11
 PART_IDS = 512
 
 _LISTS = "id long, block long, near array<long>, sims array<float>, fresh array<boolean>"
+_HELD = "home long, part long, ids array<long>, vecs array<float>, bounds array<float>"
 _PARTED = "part long, ids array<long>, block long, counts array<int>, near array<long>, sims array<float>, fresh array<boolean>"
 
 
@@ -169,14 +171,33 @@ def _padded(lists: pa.ChunkedArray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(held: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted ids, their vectors and a zero one at the end, their bounds and an infinite one at the end, and the order that sorts held."""
-    held = held.combine_chunks()
-    ids = held.column("id").to_numpy()
+def _sorted(ids: np.ndarray, m: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted ids, their vectors and a zero one at the end, their bounds and an infinite one at the end, and the order that sorts them."""
     order = np.argsort(ids)
-    m = held.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
-    bound = held.column("bound").to_numpy()[order]
-    return ids[order], np.vstack([m, np.zeros((1, dim), "f4")]), np.append(bound, np.float32(np.inf)), order
+    return ids[order], np.vstack([m[order], np.zeros((1, m.shape[1]), "f4")]), np.append(bound[order], np.float32(np.inf)), order
+
+
+def _vectors(held: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What _sorted gives, of all rows of vectors that a block holds."""
+    ids, vecs, bounds = (held.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "vecs", "bounds"))
+    return _sorted(ids, vecs.reshape(-1, dim), bounds)
+
+
+def _packed(dim: int):
+    """Cogrouped parts of the ids, what blocks name of one and its vectors, to one row a block with all that it names of the part."""
+
+    def work(named: pa.Table, own: pa.Table) -> pa.Table:
+        ids, m, bound, _ = _sorted(own.column("id").to_numpy(), _rows_of(own.column("vec").combine_chunks(), dim), own.column("bound").to_numpy())
+        home, wanted = named.column("home").to_numpy(), named.column("id").to_numpy()
+        order = np.lexsort((wanted, home))
+        order = order[np.isin(wanted[order], ids)]
+        home, wanted = home[order], wanted[order]
+        at, edge = np.searchsorted(ids, wanted), runs(home).astype("i4")
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for ends, x in ((edge, wanted), (edge * dim, m[at].reshape(-1)), (edge, bound[at]))]
+        part = np.repeat(named.column("part").to_numpy()[:1], len(edge) - 1)
+        return pa.Table.from_arrays([pa.array(home[edge[:-1]]), pa.array(part), *lists], ["home", "part", "ids", "vecs", "bounds"])
+
+    return work
 
 
 def _joined(dim: int, k: int, step: int = 32, most: int = 2_000_000):
@@ -184,7 +205,8 @@ def _joined(dim: int, k: int, step: int = 32, most: int = 2_000_000):
 
     def work(centres: pa.Table, held: pa.Table) -> pa.Table:
         ids, m, bound, order = _vectors(held, dim)
-        part_of, none = held.column("part").to_numpy()[order], len(ids)
+        per = pa.compute.list_value_length(held.column("ids").combine_chunks()).to_numpy(zero_copy_only=False)
+        part_of, none = np.repeat(held.column("part").to_numpy(), per)[order], len(ids)
         new, every = _padded(centres.column("new"), ids), _padded(centres.column("every"), ids)
         found, size = [], 0
 
@@ -220,10 +242,11 @@ def _joined(dim: int, k: int, step: int = 32, most: int = 2_000_000):
     return work
 
 
-def _needed(centres: DataFrame, lists: list[str], vectors: DataFrame) -> DataFrame:
-    """(home and the columns of vectors) for all that the centres of a block name: a vector comes once to a block, not once to a centre."""
+def _needed(centres: DataFrame, lists: list[str], vectors: DataFrame, dim: int, parts: int) -> DataFrame:
+    """(home, part, ids, vecs, bounds): all of vectors (id, vec, bound) that the centres of a block name, one row a part of the ids. A vector comes once to a block, not once to a centre."""
     named = centres.select(F.col("block").alias("home"), F.explode(F.concat(*lists)).alias("id")).distinct()
-    return named.join(vectors, "id")
+    named, own = (rows.withColumn("part", _part(parts)) for rows in (named, vectors.select("id", "vec", "bound")))
+    return named.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(_packed(dim), _HELD)
 
 
 def _in_blocks(graph: DataFrame, order: DataFrame, block_nodes: int, some: int = 32) -> DataFrame:
@@ -271,8 +294,8 @@ def neighbour_graph(vectors: DataFrame, dim: int, k: int = KEPT, back: int = BAC
             "block", F.array_union(fresh_near, F.coalesce("fresh_back", none)).alias("new"), F.array_union("near", F.coalesce("back", none)).alias("every")
         )
         centres = durable(centres.filter(F.size("new") > 0))
-        bounds = vectors.join(graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("bound")), "id").withColumn("part", _part(parts))
-        met = centres.groupBy("block").cogroup(_needed(centres, ["every"], bounds).groupBy("home")).applyInArrow(_joined(dim, k), _PARTED)
+        bounds = vectors.join(graph.select("id", F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("bound")), "id")
+        met = centres.groupBy("block").cogroup(_needed(centres, ["every"], bounds, dim, parts).groupBy("home")).applyInArrow(_joined(dim, k), _PARTED)
         settled_lists = graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
         graph = _as_lists(_by_part(settled_lists, parts).unionByName(met), k)
     return graph
@@ -311,6 +334,7 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim:
     """
     found = queries.withColumn("fresh", F.transform("near", lambda _: F.lit(True)))
     unit = vectors.withColumn("bound", F.lit(0.0).cast("float"))
+    parts = max(1, -(-vectors.count() // PART_IDS))
     for _ in range(steps):
         ahead = F.transform(F.filter(F.slice(F.arrays_zip("near", "fresh"), 1, beam), lambda x: x["fresh"]), lambda x: x["near"])
         wave = found.select(F.col("id").alias("query"), F.explode(ahead).alias("id"))
@@ -319,7 +343,7 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, dim:
         rows = found.withColumn("done", done).join(beyond.withColumnRenamed("query", "id"), "id", "left")
         rows = rows.withColumn("new", F.array_except(F.coalesce("next", F.array().cast("array<long>")), F.concat("near", F.array("id")))).drop("next", "fresh")
         rows = durable(rows)
-        held = _needed(rows, ["new"], unit)
+        held = _needed(rows, ["new"], unit, dim, parts)
         after = rows.groupBy("block").cogroup(held.groupBy("home")).applyInArrow(_seen(dim, most), _LISTS)
         found = durable(after.join(queries.select("id", "vec"), "id"))
     return found.select("id", "near", "sims")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm.op11_neighbours import nearest, op11_neighbours
+from pagewright.llm.op11_neighbours import _needed, nearest, op11_neighbours
 
 
 def brute(rows, k=20):
@@ -70,3 +70,14 @@ def test_odd_rows(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(df, F.col("id") % 20 == 0).collect()}
     assert {k: v for k, v in got.items() if k[0] == 80} == {(80, 1): (8, 0.0)}
     assert nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_vectors_come_to_blocks_in_parts(spark):
+    """What a block names comes as one row a part of the ids, whole, and not as a row a vector."""
+    vectors = spark.range(1000).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"), (-F.col("id")).cast("float").alias("bound"))
+    centres = spark.range(1000).select((F.col("id") % 3).alias("block"), F.array("id", (F.col("id") * 7) % 500, F.lit(5).cast("long")).alias("every"))
+    rows = _needed(centres, ["every"], vectors, 2, 4).collect()
+    assert len(rows) == 3 * 4
+    got = sorted((r.home, i, *r.vecs[2 * k : 2 * k + 2], r.bounds[k]) for r in rows for k, i in enumerate(r.ids))
+    named = {(i % 3, j) for i in range(1000) for j in (i, i * 7 % 500, 5)}
+    assert got == sorted((h, j, float(j), 1.0, float(-j)) for h, j in named)
