@@ -24,8 +24,8 @@ TABLES, BITS, MAX_BITS = 16, 32, 3
 CHECK_BITS, WIDE, WIDE_BITS = 21, 24, 285
 #: Bits, of 96, in which candidates differ at most that are tried first: 2.4 of 32 and 0.151 of 64, and one standard deviation. All others are tried later.
 TRIED_BITS = 15
-#: Bytes of shingles that may be broadcast.
-BROADCAST_BYTES = 24_000_000
+#: Bytes of the sets that pairs are worked out from together.
+TILE_BYTES = 8_000_000
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
@@ -70,26 +70,84 @@ def fingerprints(own: np.ndarray, numbers: int = _WORDS64) -> np.ndarray:
 
 def _prints(batches):
     for batch in (some for batch in batches for some in slices(batch, 2)):
-        of, keys = [], []
+        of, size, keys = [], [], []
         for text in batch.column(2).to_pylist():
             own = shingles(text)
             of.append(identity(own))
+            size.append(len(own))
             keys.append(fingerprints(own))
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype="i4") * _WORDS64), pa.array(np.concatenate([*keys, np.zeros(0, "u8")]).view("i8")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(of, "u8").view("i8")), listed], ["id", "h", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(of, "u8").view("i8")), pa.array(size, pa.int32()), listed], ["id", "h", "node", "size", "keys"])
 
 
 def _sets(batches):
-    for batch in (some for batch in batches for some in slices(batch, 0)):
-        held = [shingles(text) for text in batch.column(0).to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
-        listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*held, np.zeros(0, "u8")]).view("i8")))
-        wide = pa.array([fingerprints(x, WIDE).tobytes() for x in held], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([identity(x) for x in held], "u8").view("i8")), listed, wide], ["node", "shingles", "wide"])
+    """(h, text) to (node, shingles, wide); a text that occurs again in the task is passed over."""
+    seen: set[int] = set()
+    for batch in (some for batch in batches for some in slices(batch, 1)):
+        held = []
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if h not in seen:
+                seen.add(h)
+                held.append(shingles(text))
+        columns = [pa.array(np.array([identity(x) for x in held], "u8").view("i8")), *(pa.array([x.tobytes() for x in some], pa.binary()) for some in (held, [fingerprints(x, WIDE) for x in held]))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "wide"])
 
 
-def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
-    """(part, v, other, node, more) for each table and turn of a node's fingerprints, dealt and sorted by part and v; other: 64 bits of other tables.
+def _ends(pairs: DataFrame, *more: str) -> DataFrame:
+    """(more, node) for both ends of each pair."""
+    return pairs.select(*more, F.col("a").alias("node")).union(pairs.select(*more, F.col("b").alias("node")))
+
+
+def _tiled(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Durable (tile, a, b) of the pairs whose sets are near enough in size; a < b; sizes: node, size, to be broadcast if it is marked so.
+
+    A pair goes by the least node beside one of its ends, so that the pairs of a group share a tile and each set goes there once. The pairs of a hub with over
+    TILE_BYTES of sets are dealt over a square of tiles by the hashes of both ends, which bounds a tile; a set goes to a side of the square, or to as many tiles as it has pairs. Such hubs are a row for TILE_BYTES of sets at most, few enough to broadcast.
+    """
+    hubs = narrow(durable(_ends(pairs, "a").groupBy("node").agg(F.min("a").alias("hub")).join(sizes, "node")))
+    x, y = (hubs.select(F.col("node").alias(n), F.col("hub").alias(f"hub_{n}"), F.col("size").alias(f"size_{n}")) for n in "ab")
+    fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+    near = durable(pairs.join(x, "a").join(y, "b").filter(fit).select(F.least("hub_a", "hub_b").alias("hub"), "a", "b", "size_a", "size_b"))
+    sets = near.select("hub", "a", F.col("size_a").alias("size")).union(near.select("hub", "b", "size_b")).distinct()
+    large = sets.groupBy("hub").agg(F.ceil(F.sum("size") * 8 / TILE_BYTES).alias("side")).filter("side > 1")
+    side = F.coalesce("side", F.lit(1))
+    tile = F.xxhash64("hub", *(F.pmod(F.xxhash64(n), side) for n in "ab"))
+    return durable(near.join(F.broadcast(large), "hub", "left").select(tile.alias("tile"), "a", "b"))
+
+
+def _similar(similarity: float):
+    """Sorted rows (tile, a, b, shingles), first the sets of a tile (b null) and then its pairs, to links that connect as much as all similar pairs of the tile."""
+
+    def work(batches):
+        now, held, least = None, {}, {}
+
+        def root(x: int) -> int:
+            while (up := least.get(x, x)) != x:
+                least[x] = x = least.get(up, up)
+            return x
+
+        for batch in (some for batch in batches for some in slices(batch, 3)):
+            links = []
+            for tile, a, b, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    now, held, least = tile, {}, {}
+                if b is None:
+                    held[a] = np.frombuffer(own, "u8")
+                    continue
+                i, j = sorted((root(a), root(b)))
+                if i != j:
+                    both = len(np.intersect1d(held[a], held[b], assume_unique=True))
+                    if both >= (len(held[a]) + len(held[b]) - both) * similarity - 1e-9:
+                        links.append((a, b))
+                        least[j] = i
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        released()
+
+    return work
+
+
+def _dealt(nodes: DataFrame, *more: str, other: tuple[str, ...] = ("x.other",)) -> DataFrame:
+    """(part, v, other, node, more) for each table and turn of a node's fingerprints, dealt and sorted by part and v; other: 64 bits of other tables, if they are asked for.
 
     Two fingerprints within the budget agree on one of MAX_BITS + 1 stretches at least, so each is turned to begin with each
     stretch and dealt out by it: a task gets whole subtrees.
@@ -97,13 +155,17 @@ def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
     rows = []
     for t in range(TABLES):
         low = F.shiftrightunsigned(F.col("keys")[t // 2], 32 * (t % 2)).bitwiseAND((1 << BITS) - 1)
-        other = F.col("keys")[(t // 2 + 1) % _WORDS64]
+        others = F.col("keys")[(t // 2 + 1) % _WORDS64]
         for turn in range(MAX_BITS + 1):
             v = F.shiftleft(low, turn * TOP).bitwiseOR(F.shiftrightunsigned(low, BITS - turn * TOP)).bitwiseAND((1 << BITS) - 1) if turn else low
-            rows.append(F.struct(F.lit((t * (MAX_BITS + 1) + turn) << TOP).alias("base"), v.alias("v"), other.alias("other")))
+            rows.append(F.struct(F.lit((t * (MAX_BITS + 1) + turn) << TOP).alias("base"), v.alias("v"), others.alias("other")))
     out = nodes.select("node", *more, F.explode(F.array(*rows)).alias("x"))
-    out = out.select((F.col("x.base") + F.shiftright("x.v", BITS - TOP)).cast("int").alias("part"), "x.v", "x.other", "node", *more)
-    return out.repartition("part").sortWithinPartitions("part", "v", "node")
+    out = out.select((F.col("x.base") + F.shiftright("x.v", BITS - TOP)).cast("int").alias("part"), "x.v", *other, "node", *more)
+    return _by_part(out)
+
+
+def _by_part(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part", "v", "node")
 
 
 def _edges(a: np.ndarray, b: np.ndarray, bits: np.ndarray | None = None) -> pa.RecordBatch:
@@ -172,22 +234,39 @@ def _first_part(apart: np.ndarray) -> np.ndarray:
     return table * (MAX_BITS + 1) + (leading == 0).argmax(axis=1)
 
 
+def _near_runs(part: np.ndarray, v: np.ndarray, root: np.ndarray):
+    """Runs of equal fingerprints (where they start, and how long they are), and the batches of pairs (i, j) of runs near each other that hold different roots; i = j where one does itself."""
+    edge = runs(part, v)
+    first = edge[:-1]
+    pure = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+    _, label = np.unique(root[first], return_inverse=True)
+    label = np.where(pure, label, len(label) + np.arange(len(first)))
+    top = v[first].astype("u8") << np.uint64(64 - BITS)
+    bound = runs(part[first])
+    pairs = (bound[:-1], bound[1:], bound[:-1], bound[1:], np.zeros(len(bound) - 1, "i8"))
+    mixed = np.flatnonzero(~pure)
+    found = chain([(mixed, mixed)], near_pairs(top, pairs, TOP, BITS, MAX_BITS, label))
+    return first, np.diff(edge), ((i[apart], j[apart]) for i, j, apart in ((i, j, (label[i] != label[j]) | (i == j)) for i, j in found))
+
+
+def _beside_others(batches):
+    """Those of sorted rows (part, v, node, root) that have a row of another root near them in their part: all that _across can pair."""
+    for part, v, node, root in whole_groups(batches, 1):
+        first, size, found = _near_runs(part, v, root)
+        beside = np.zeros(len(first), bool)
+        for i, j in found:
+            beside[i] = beside[j] = True
+        stay = np.repeat(beside, size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (part, v, node, root)], ["part", "v", "node", "root"])
+    released()
+
+
 def _across(batches):
-    """Sorted rows (part, v, other, node, root, wide) to all candidate pairs of different roots, each where it is met first."""
-    for part, v, other, node, root, wide in whole_groups(batches, 1):
-        edge = runs(part, v)
-        first, size = edge[:-1], np.diff(edge)
-        pure = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
-        _, label = np.unique(root[first], return_inverse=True)
-        label = np.where(pure, label, len(label) + np.arange(len(first)))
-        top = v[first].astype("u8") << np.uint64(64 - BITS)
+    """Sorted rows (part, v, node, root, wide) to all candidate pairs of different roots, each where it is met first."""
+    for part, v, node, root, wide in whole_groups(batches, 1):
+        first, size, found = _near_runs(part, v, root)
         bits = np.frombuffer(b"".join(wide), "u8").reshape(-1, WIDE)
-        bound = runs(part[first])
-        pairs = (bound[:-1], bound[1:], bound[:-1], bound[1:], np.zeros(len(bound) - 1, "i8"))
-        mixed = np.flatnonzero(~pure)
-        for i, j in chain([(mixed, mixed)], near_pairs(top, pairs, TOP, BITS, MAX_BITS, label)):
-            apart = (label[i] != label[j]) | (i == j)
-            i, j = i[apart], j[apart]
+        for i, j in found:
             step = np.cumsum(size[i] * size[j]) // PAIRS
             for s in np.unique(step):
                 k, x, y = pairs_within(size[i][step == s], size[j][step == s])
@@ -209,7 +288,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``similarity`` or more, worked out exactly. Equal sets are one node from the start. The tries are traversed twice:
     at first for a forest of candidates, the nearest of which already connect large groups of copies;
     then for all candidates between groups that are still apart, sifted by wide fingerprints. So a large group of copies costs a few rows a
-    copy; texts that are just short of similar cost a row a pair. Sets go to the pairs by broadcast while all of them are few bytes.
+    copy; texts that are just short of similar cost a row a pair. Pairs that share nodes are worked out together, so that
+    a set is sent to its group and not to each of its pairs, and wide fingerprints only where groups come near each other.
 
     Null counts as empty, and texts without words are alike. component_id is the least id that links reach; a null id
     comes after all others, and component_id is null only if no row of the component has an id. kept: rows without an id, and of the
@@ -218,34 +298,35 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of candidates that tie in nearness the one of the least hash is tried first, which changes no result. An empty table gives an empty result; columns but id and text aren't read. Texts are read whole, and memory follows the longest.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(whole_text(text_col)).alias("h"), whole_text(text_col).alias("text"))
-    prints = durable(texts.mapInArrow(_prints, "id long, h long, node long, keys array<long>"))
-    nodes = durable(prints.groupBy("node").agg(_least().alias("first"), F.min("h").alias("h"), F.first("keys").alias("keys")))
-    ends = lambda table, column, *names: (table.select(F.col("node").alias(n), F.col(column).alias(k)) for n, k in zip("ab", names, strict=True))
+    prints = durable(texts.mapInArrow(_prints, "id long, h long, node long, size int, keys array<long>"))
+    nodes = durable(prints.groupBy("node").agg(_least().alias("first"), F.min("h").alias("h"), F.first("size").alias("size"), F.first("keys").alias("keys")))
 
     candidates = _dealt(nodes.select("node", "keys")).mapInArrow(_spanning, "a long, b long, bits int")
     candidates = durable(candidates.groupBy("a", "b").agg(F.min("bits").alias("bits")))
-    met = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "keys", "h"))
+    met = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "size", "keys", "h"))
     asked = durable(met.select("h").distinct())
-    sets = texts.join(narrow(asked), "h", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>, wide binary")
-    sets = durable(sets.dropDuplicates(["node"]))
-
-    few = (sets.agg(F.sum(8 * F.size("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
+    sets = durable(texts.join(narrow(asked), "h", "left_semi").select("h", "text").mapInArrow(_sets, "node long, shingles binary, wide binary"))
+    sizes = narrow(met.select("node", "size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (F.broadcast(side) if few else side for side in ends(sets, "shingles", "x", "y"))
-        both = F.size(F.array_intersect("x", "y"))
-        rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
-        return durable(rows.filter(F.col("both") >= F.col("either") * similarity - 1e-9).select("a", "b"))
+        tiles = _tiled(pairs, sizes, similarity)
+        wanted = durable(_ends(tiles, "tile").distinct())
+        held = sets.join(narrow(wanted), "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+        rows = held.union(tiles.select("tile", "a", "b", F.lit(None).cast("binary")))
+        return durable(rows.repartition("tile").sortWithinPartitions("tile", "b").mapInArrow(_similar(similarity), "a long, b long"))
 
     links = verified(candidates.filter(F.col("bits") <= TRIED_BITS).select("a", "b"))
     roots = durable(connected(links, "a", "b"))
-    own = met.join(sets.select("node", "wide"), "node").join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"), "wide")
-    later = verified(durable(_dealt(own, "root", "wide").mapInArrow(_across, "a long, b long")))
+    own = met.join(roots, "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
+    beside = _dealt(own, "root", other=()).mapInArrow(_beside_others, "part int, v long, node long, root long")
+    wide = sets.select("node", "wide").dropDuplicates(["node"])
+    later = _by_part(beside.join(wide, "node").select("part", "v", "node", "root", "wide"))
+    later = verified(durable(later.mapInArrow(_across, "a long, b long")))
     roots = durable(connected(roots.union(later), "node", "root"))
     rooted = durable(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of = durable(rooted.join(least, "root").select("node", "least"))
-    rows = prints.drop("keys").join(narrow(of), "node")
+    rows = prints.drop("size", "keys").join(narrow(of), "node")
     kept = F.col("id").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h")))
     return rows.select(F.col("id").alias(id_col), "h", F.col("least.id").alias("component_id"), kept.alias("kept"))
 

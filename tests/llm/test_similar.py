@@ -111,3 +111,45 @@ def test_candidates_of_near_and_of_nearly_similar_copies_are_tried_once(spark):
     want = components(docs.collect())
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == want and 20 < len({c for _, c in want}) < 240
     assert jobs <= 150, jobs
+
+
+def test_what_is_shuffled_follows_sets_and_not_their_pairs(spark):
+    """Each of the groups has far more candidate pairs than texts; their sets go to the groups, not to the pairs, and wide fingerprints to no group that is far from others."""
+    pick = random.Random(4)
+    texts = []
+    for g in range(6):
+        base = [f"w{g}x{k}" for k in range(1200)]
+        for i in range(60):
+            own = list(base)
+            own[pick.randrange(len(own))] = f"x{i}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    stages = spark.sparkContext._jsc.sc().statusStore()
+    last = max((s.stageId() for s in _stages(spark, stages)), default=-1)
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(docs).collect()}
+    assert got == {i: i - i % 60 for i in range(360)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = sum(s.shuffleWriteBytes() for s in _stages(spark, stages) if s.stageId() > last)
+    once = 360 * 1196 * 8
+    assert moved <= 1.4 * once, moved / once
+
+
+def _stages(spark, store):
+    held = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return [held.apply(i) for i in range(held.size())]
+
+
+def test_sets_of_a_large_group_are_dealt_over_tiles(spark, monkeypatch):
+    """Tiles of few bytes change no component, and no tile gets all sets of a group."""
+    monkeypatch.setattr(similar, "TILE_BYTES", 20_000)
+    pick = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(f"x{i}" if k == at else w for k, w in enumerate(base))) for i, at in enumerate(pick.randrange(120) for _ in range(150))]
+    got = similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 150)] + [(i, 500) for i in range(1, 150)] + [(600, 601)], "a long, b long")
+    sizes = spark.createDataFrame([(i, 116) for i in [*range(150), 500]] + [(600, 100), (601, 79)], "node long, size int")
+    tiles = similar._tiled(pairs, sizes, 0.8).collect()
+    assert sorted((r.a, r.b) for r in tiles) == sorted((r.a, r.b) for r in pairs.collect() if r.a < 600)
+    most = max(len({x for r in tiles if r.tile == t for x in (r.a, r.b)}) for t in {r.tile for r in tiles})
+    assert most < 100
