@@ -24,8 +24,8 @@ TABLES, BITS, MAX_BITS = 16, 32, 3
 CHECK_BITS, WIDE, WIDE_BITS = 21, 24, 285
 #: Bits, of 96, in which candidates differ at most that are tried first: 2.4 of 32 and 0.151 of 64, and one standard deviation. All others are tried later.
 TRIED_BITS = 15
-#: Bytes of the sets that pairs are worked out from together.
-TILE_BYTES = 8_000_000
+#: Pairs that are worked out together, about, and bytes of their sets.
+TILE_PAIRS, TILE_BYTES = 1 << 12, 8_000_000
 #: Leading bits of a turned fingerprint by which it is dealt.
 TOP = BITS // (MAX_BITS + 1)
 #: Shingles whose bits are unfolded at a time; at most 255, so that a byte can count them. Pairs that are compared at a time.
@@ -102,14 +102,16 @@ def _tiled(pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """Durable (tile, a, b) of the pairs whose sets are near enough in size; a < b; sizes: node, size, to be broadcast if it is marked so.
 
     A pair goes by the least node beside one of its ends, so that the pairs of a group share a tile and each set goes there once. The pairs of a hub with over
-    TILE_BYTES of sets are dealt over a square of tiles by the hashes of both ends, which bounds a tile; a set goes to a side of the square, or to as many tiles as it has pairs. Such hubs are a row for TILE_BYTES of sets at most, few enough to broadcast.
+    TILE_PAIRS of them or TILE_BYTES of sets are dealt over a square of tiles by the hashes of both ends, which bounds a tile; a set goes to two sides of the square, or to as many tiles as it has pairs.
+    Such hubs are a row for so many pairs or bytes at most, few enough to broadcast.
     """
     hubs = narrow(durable(_ends(pairs, "a").groupBy("node").agg(F.min("a").alias("hub")).join(sizes, "node")))
     x, y = (hubs.select(F.col("node").alias(n), F.col("hub").alias(f"hub_{n}"), F.col("size").alias(f"size_{n}")) for n in "ab")
     fit = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
     near = durable(pairs.join(x, "a").join(y, "b").filter(fit).select(F.least("hub_a", "hub_b").alias("hub"), "a", "b", "size_a", "size_b"))
     sets = near.select("hub", "a", F.col("size_a").alias("size")).union(near.select("hub", "b", "size_b")).distinct()
-    large = sets.groupBy("hub").agg(F.ceil(F.sum("size") * 8 / TILE_BYTES).alias("side")).filter("side > 1")
+    held = sets.select("hub", "size", F.lit(0).alias("pairs")).union(near.select("hub", F.lit(0), F.lit(1)))
+    large = held.groupBy("hub").agg(F.ceil(F.greatest(F.sum("size") * 8 / TILE_BYTES, F.sqrt(F.sum("pairs") / TILE_PAIRS))).alias("side")).filter("side > 1")
     side = F.coalesce("side", F.lit(1))
     tile = F.xxhash64("hub", *(F.pmod(F.xxhash64(n), side) for n in "ab"))
     return durable(near.join(F.broadcast(large), "hub", "left").select(tile.alias("tile"), "a", "b"))

@@ -153,3 +153,12 @@ def test_sets_of_a_large_group_are_dealt_over_tiles(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in tiles) == sorted((r.a, r.b) for r in pairs.collect() if r.a < 600)
     most = max(len({x for r in tiles if r.tile == t for x in (r.a, r.b)}) for t in {r.tile for r in tiles})
     assert most < 100
+
+
+def test_pairs_of_a_large_group_are_dealt_over_tiles(spark, monkeypatch):
+    """A group with many pairs of few bytes is not one task's work."""
+    monkeypatch.setattr(similar, "TILE_PAIRS", 100)
+    pairs = spark.createDataFrame([(i, j) for j in range(60) for i in range(j)], "a long, b long")
+    sizes = spark.createDataFrame([(i, 3) for i in range(60)], "node long, size int")
+    tiles = similar._tiled(pairs, sizes, 0.8).groupBy("tile").count().collect()
+    assert sum(r["count"] for r in tiles) == 1770 and max(r["count"] for r in tiles) < 500
